@@ -1,10 +1,71 @@
-"""A corpus pipeline of the training-data operators; filled in as they are added."""
+"""A corpus pipeline: language ID, quality rules, near-duplicate removal, secret redaction, packing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns
+of ``documents`` (doc_id, text, lang, source, n_chars, and any that were added to the table). Nulls, empty and very long
+texts, repeated rows and empty tables pass through the stages as the operators' docstrings say.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gleanworks.llm import quality_rules as rules
+from gleanworks.llm.language_id import predict_language
+from gleanworks.llm.near_dedup import near_duplicates
+from gleanworks.llm.packing import pack
+from gleanworks.llm.secret_scan import redacted, scan
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is rejected (no text, no letter, or a narrow margin) go."""
+    return predict_language(docs, docs).where("NOT rejected").select(docs.columns)
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail a base rule or a rule of the threshold table go."""
+    found = rules.measure(docs)
+    return found.where(rules.verdict(F.col("_m"))[1]).select(docs.columns)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest doc_id stays; of repeated rows one.
+
+    Documents with a null doc_id stay, as they take no part in linking.
+    """
+    dropped = near_duplicates(docs.select("doc_id", "text")).where("NOT kept").select("doc_id").distinct()
+    numbered = docs.where("doc_id IS NOT NULL").join(dropped, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    return numbered.select(docs.columns).union(docs.where("doc_id IS NULL"))
+
+
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Values judged secrets are masked in the text; n_chars follows the new text where there is one."""
+    found = scan(docs, into="_findings")
+    text = redacted(F.col("text"), F.col("_findings"))
+    changed = F.size(F.filter("_findings", lambda c: c["secret"])) > 0
+    cols = {"text": text}
+    if "n_chars" in docs.columns:
+        cols["n_chars"] = F.when(changed, F.length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return found.withColumns(cols).select(docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents that are left, in sequences of 1024 tokens."""
+    return pack(docs)
+
+
+STAGES = [
+    ("language_id", language_stage),
+    ("quality_rules", quality_stage),
+    ("minhash_near_dedup", near_dedup_stage),
+    ("secret_scans", secret_stage),
+    ("packing", packing_stage),
+]
+#: SQL cannot express trained dictionaries, forests and packing; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
