@@ -1,7 +1,7 @@
 """Operator 8: language identification by compression with per-language zstandard dictionaries.
 
 A raw-content dictionary per language is cut from a bounded sample of labelled training documents. A text is compressed
-whole, in pieces that a dictionary can serve, with each of them; the language whose dictionary gives the fewest bytes is
+whole and in lower case, in pieces that a dictionary can serve, with each of them; the language whose dictionary gives the fewest bytes is
 predicted, and a narrow margin to the next one marks the prediction as rejected. Prediction is a map without a shuffle.
 """
 
@@ -14,13 +14,14 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 #: The bound of the training sample: so many documents a language, so many characters of each, so large a dictionary.
-SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 400, 3000, 131_072
+SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 800, 1500, 262_144
 #: Bytes of text compressed at once: each piece can refer to the whole dictionary.
-PIECE = 16_384
-LEVEL = 3
+PIECE = 8192
+LEVEL = 9
 #: A prediction whose margin, as a share of the second best size, is lower is rejected.
 MIN_MARGIN = 0.004
 _LETTER = re.compile(r"[^\W\d_]")
@@ -42,7 +43,7 @@ def learn(docs: DataFrame) -> dict[str, bytes]:
     sample = usable.select("lang", "doc_id", "text").withColumn("k", F.row_number().over(order)).where(F.col("k") <= SAMPLE_DOCS)
     found: dict[str, list[str]] = {}
     for r in sample.select("lang", "k", F.substring("text", 1, SAMPLE_CHARS).alias("text")).orderBy("lang", "k").collect():
-        found.setdefault(r.lang, []).append(r.text)
+        found.setdefault(r.lang, []).append(r.text.lower())
     return {lang: "\n".join(dict.fromkeys(texts)).encode()[:DICTIONARY_BYTES] for lang, texts in found.items()}
 
 
@@ -57,11 +58,11 @@ def _predictor(dictionaries):
             press.append(zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
         for batch in batches:
             out_lang, score, margin = [], [], []
-            for text in batch.column("text").to_pylist():
+            for text in batch.column("row").field("text").to_pylist():
                 if not text or not langs or not _LETTER.search(text):
                     out_lang.append("und"), score.append(0.0), margin.append(0.0)
                     continue
-                raw = text.encode()
+                raw = text.lower().encode()
                 sizes = [0] * len(langs)
                 for a in range(0, len(raw), PIECE):
                     piece = raw[a : a + PIECE]
@@ -71,25 +72,22 @@ def _predictor(dictionaries):
                 second = min((s for k, s in enumerate(sizes) if k != best), default=None)
                 gap = 1.0 if second is None else (second - sizes[best]) / second
                 out_lang.append(langs[best]), score.append(gap), margin.append(gap)
-            keep = [batch.column(i) for i in range(batch.num_columns)]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(out_lang, pa.string()), pa.array(score, pa.float64()), pa.array([m < MIN_MARGIN for m in margin], pa.bool_())], names=[*batch.schema.names, "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out_lang, pa.string()), pa.array(score, pa.float64()), pa.array([m < MIN_MARGIN for m in margin], pa.bool_())], names=["row", "lang_pred", "score", "rejected"])
 
     return predict
 
 
 def predict_language(docs: DataFrame, train: DataFrame) -> DataFrame:
-    """``docs`` with lang_pred, score (the margin, 0 to 1) and rejected added; ``text`` alone decides.
+    """(row, lang_pred, score, rejected): row is a struct of all columns of ``docs``; its ``text`` alone decides, and score
+    is the margin, 0 to 1.
 
     A text that is null or has no letter is ``und`` with score 0 and rejected. Equal sizes go to the first language in
-    order, with score 0, rejected. Other columns, of any name but these three, are passed on.
+    order, with score 0, rejected. Columns of any name pass in the struct.
     """
-    docs = docs.drop("lang_pred", "score", "rejected")
     dictionaries = docs.sparkSession.sparkContext.broadcast(learn(train))  # at most DICTIONARY_BYTES a language
-    extra = "lang_pred string, score double, rejected boolean"
-    schema = docs.schema
-    for f in extra.split(", "):
-        schema = schema.add(*f.split())
-    return docs.mapInArrow(_predictor(dictionaries), schema)
+    rows = docs.select(F.struct("*").alias("row"))
+    schema = T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
+    return rows.mapInArrow(_predictor(dictionaries), schema)
 
 
 def language_id(docs: DataFrame) -> DataFrame:
@@ -99,4 +97,4 @@ def language_id(docs: DataFrame) -> DataFrame:
     out nor learned from; repeated rows are predicted alike; an empty table gives an empty result.
     """
     found = predict_language(docs.select("doc_id", "text"), docs)
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+    return found.select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
