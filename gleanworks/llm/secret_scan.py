@@ -25,7 +25,7 @@ CANDIDATE = f"{KNOWN}|{NAMED}|{LONG}"
 PREFIX = rf"^(?i:(?:{NAMES})[A-Za-z0-9_-]{{0,20}})[\"']?\s{{0,3}}(?:=>|=|:)\s{{0,3}}[\"']?"
 #: Words whose presence in a candidate speaks for prose, code or placeholders.
 DICTIONARY = "the and for with this that your from have are not you all can example sample test demo dummy fake placeholder changeme change password secret token key value default none null true false user name admin login here insert enter xxxx todo string config file path home usr local src main index http https www com org html json data table column function return class import order number version release build commit branch merge".split()
-INNOCENT = r"(?i)example|sample|placeholder|dummy|checksum|digest|sha-?(?:1|256|512)|md5|commit|uuid|revision|etag|fingerprint|hash"
+INNOCENT = r"(?i)(?<![\w.@-])(?:example|sample|placeholder|dummy|checksum|digest|sha-?(?:1|256|512)|md5|commit|uuid|revision|etag|fingerprint|hash)(?![\w@-]|\.\w)"
 GUILTY = rf"(?i)(?:{NAMES})"
 CONTEXT = 40
 MASK = "[SECRET]"
