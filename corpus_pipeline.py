@@ -19,13 +19,13 @@ from gleanworks.llm.secret_scan import redacted, scan
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is rejected (no text, no letter, or a narrow margin) go."""
-    return predict_language(docs, docs).where("NOT rejected").select(docs.columns)
+    return predict_language(docs, docs).where("NOT rejected").select("row.*")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail a base rule or a rule of the threshold table go."""
-    found = rules.measure(docs)
-    return found.where(rules.verdict(F.col("_m"))[1]).select(docs.columns)
+    found = rules.measure(docs.select(F.struct("*").alias("row"), "text"))
+    return found.where(rules.verdict(F.col("_m"))[1]).select("row.*")
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,18 +35,17 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     dropped = near_duplicates(docs.select("doc_id", "text")).where("NOT kept").select("doc_id").distinct()
     numbered = docs.where("doc_id IS NOT NULL").join(dropped, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return numbered.select(docs.columns).union(docs.where("doc_id IS NULL"))
+    return numbered.unionByName(docs.where("doc_id IS NULL"))
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Values judged secrets are masked in the text; n_chars follows the new text where there is one."""
-    found = scan(docs, into="_findings")
-    text = redacted(F.col("text"), F.col("_findings"))
-    changed = F.size(F.filter("_findings", lambda c: c["secret"])) > 0
-    cols = {"text": text}
+    found = scan(docs.select(F.struct("*").alias("row"), "text"), into="findings")
+    masked = F.col("row").withField("text", redacted(F.col("text"), F.col("findings")))
     if "n_chars" in docs.columns:
-        cols["n_chars"] = F.when(changed, F.length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return found.withColumns(cols).select(docs.columns)
+        masked = masked.withField("n_chars", F.length(masked["text"]).cast(docs.schema["n_chars"].dataType))
+    changed = F.size(F.filter("findings", lambda c: c["secret"])) > 0
+    return found.select(F.when(changed, masked).otherwise(F.col("row")).alias("row")).select("row.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
