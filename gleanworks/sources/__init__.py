@@ -1 +1 @@
-
+"""Reading deliveries, code lists, rules and name lists, and writing exports."""
