@@ -141,7 +141,7 @@ _KIND = {t: k for k, ts in TOKENS.items() for t in ts}
 TAGS = ("p", "h", "li", "list", "div", "section", "article", "main", "nav", "aside", "header", "footer", "form", "table", "cell", "quote", "figure", "body", "control")
 _TAG_KIND = {"ul": "list", "ol": "list", "dl": "list", "dt": "li", "dd": "li", "td": "cell", "th": "cell", "tr": "cell", "blockquote": "quote", "pre": "quote", "figcaption": "figure", "html": "body", "#page": "body", "button": "control", "select": "control", "option": "control", "fieldset": "form", **{f"h{k}": "h" for k in range(1, 7)}}
 _BAD_TAGS = {"nav", "aside", "footer", "form", "button", "select", "option", "dialog", "menu", "svg", "head", "object"}
-NUMBERS = ("depth", "text", "own", "link_share", "text_per_node", "commas_per_text", "share_of_page", "index", "siblings", "sibling_text", "same_tag", "before", "bad_above", "good_above", "bad_token_above", "header_in_content", "hidden")
+NUMBERS = ("depth", "text", "own", "link_share", "text_per_node", "commas_per_text", "share_of_page", "index", "siblings", "sibling_text", "same_tag", "before", "bad", "good_above", "bad_token", "header_in_content", "hidden")
 NAMES = [*NUMBERS, *(f"token_{k}" for k in TOKENS), *(f"tag_{t}" for t in TAGS)]
 
 
@@ -190,7 +190,7 @@ def matrix(nodes: list[Node]) -> np.ndarray:
         sib_text = (p.text_len - node.text_len) / max(n_sib - 1, 1) if p else 0
         x[i, : len(NUMBERS)] = (
             node.depth, np.log1p(node.text_len), np.log1p(node.own), node.link_len / max(node.text_len, 1), np.log1p(node.text_len / node.n_nodes), node.commas / max(node.text_len, 1), node.text_len / total,
-            numbers.get(id(node), 0), n_sib, np.log1p(sib_text), same / n_sib, seen / total, bad, good, token, float(node.tag == "header" and good), node.hidden,
+            numbers.get(id(node), 0), n_sib, np.log1p(sib_text), same / n_sib, seen / total, inherit[0], good, inherit[2], float(node.tag == "header" and good), node.hidden,
         )
         for k in own_kinds:
             x[i, first_token + kinds.index(k)] = 1

@@ -39,8 +39,14 @@ def learn(docs: DataFrame) -> dict[str, bytes]:
     text has a short dictionary; without labelled text there is none, and every prediction is ``und``.
     """
     usable = docs.where(F.col("text").isNotNull() & (F.trim("text") != "") & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text"), "doc_id")
-    sample = usable.select("lang", "doc_id", "text").withColumn("k", F.row_number().over(order)).where(F.col("k") <= SAMPLE_DOCS)
+    # A uniform hash thins each language to a few times the sample before ranks are given, so that no task ranks many rows.
+    counts = usable.groupBy("lang").agg(F.count("*").alias("n")).collect()  # one row a language
+    if not counts:
+        return {}
+    bound = F.create_map(*(F.lit(x) for r in counts for x in (r.lang, min(2**63 - 1, 4 * SAMPLE_DOCS * 2**63 // r.n))))
+    hashed = usable.select("lang", "doc_id", "text", F.xxhash64("doc_id", "text").alias("h")).where(F.col("h").bitwiseAND(F.lit(2**63 - 1)) <= bound[F.col("lang")])
+    order = Window.partitionBy("lang").orderBy("h", "doc_id")
+    sample = hashed.withColumn("k", F.row_number().over(order)).where(F.col("k") <= SAMPLE_DOCS)
     found: dict[str, list[str]] = {}
     for r in sample.select("lang", "k", F.substring("text", 1, SAMPLE_CHARS).alias("text")).orderBy("lang", "k").collect():
         found.setdefault(r.lang, []).append(r.text.lower())

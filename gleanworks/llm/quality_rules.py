@@ -139,7 +139,7 @@ def oracle_sql() -> str:
     return rf"""
     WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
     w AS (SELECT r, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws,
-          list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+          list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
     win AS (SELECT r, unnest(generate_series(1, len(ws) - {WINDOW - 1})) AS i, ws FROM w WHERE len(ws) >= {WINDOW}),
     keyed AS (SELECT r, i, array_to_string(list_slice(ws, i, i + {WINDOW - 1}), ' ') AS k FROM win),
     twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, k) AS n FROM keyed) WHERE n > 1),
@@ -149,7 +149,7 @@ def oracle_sql() -> str:
           (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
           len(ls) AS n_lines, length(text) - length(translate(text, '!', '')) AS bangs,
           length(text) - length(translate(text, '{UPPER}', '')) AS uppers,
-          len(list_filter(regexp_extract_all(lower(translate(text, '{PUNCTUATION}', '')), '[^\x20\x09-\x0D]+'), x -> x IN ({stops}))) AS stops
+          len(list_filter(regexp_extract_all(lower(translate(text, '{PUNCTUATION}', '')), '[^\x20\x09-\x0D]+'), lambda x: x IN ({stops}))) AS stops
           FROM w LEFT JOIN rep ON w.r = rep.r),
     f AS (SELECT *, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
           {share("word_chars", "n_words")} AS mean_word, {share("n_symbols", "n_words")} AS symbol_ratio, {share("bangs", "n_words")} AS bang_ratio,
