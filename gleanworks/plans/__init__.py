@@ -1,3 +1,3 @@
 """The registered queries over the driver's tables: customers are records, orders their objects, line items the persons."""
 
-from . import delivery, scores, texts  # noqa: F401
+from . import delivery, ingest, scores, texts  # noqa: F401

@@ -220,14 +220,13 @@ def recovered_rows(rows: DataFrame, files: DataFrame) -> DataFrame:
     lost = ~F.col("starts") & ((F.col("island") == 0) | head["broken"])
     marked = marked.withColumn("lost", lost).withColumn("part", F.when(F.col("lost"), F.col("line_no")).otherwise(F.lit(0)))
     grouped = marked.groupBy("path", "kind", "delimiter", "key_index", "expected", "island", "part").agg(F.sort_array(F.collect_list(F.struct("line_no", "fields", "line_span", "error"))).alias("rows"), F.max("lost").alias("lost"), F.max("broken").alias("broken"))
-    first = F.col("rows")[0]
+    # A text row takes its continuations onto its last field, and fields beyond two are parts of the narrative.
     is_text = F.col("kind") == "text"
-    glued = F.concat(F.slice(first["fields"], 1, F.greatest(F.size(first["fields"]) - 1, F.lit(0))), F.array(F.concat(F.element_at(first["fields"], -1), F.expr("array_join(transform(slice(rows, 2, greatest(size(rows) - 1, 0)), x -> concat('\n', array_join(x.fields, delimiter))), '')"))))
-    fields = F.when(is_text & (F.size("rows") > 1) & ~F.col("lost"), glued).otherwise(first["fields"])
-    collapsed = is_text & (F.size(fields) > 2) & ~F.col("lost")
-    final = F.when(collapsed, F.array(fields[0], F.array_join(F.slice(fields, 2, F.greatest(F.size(fields) - 1, F.lit(1))), F.lit("\u0000")))).otherwise(fields)
-    g = grouped.withColumns({"f0": final, "collapsed": collapsed, "more": F.size("rows") - 1, "line_no": first["line_no"], "span": F.aggregate("rows", F.lit(0), lambda a, x: a + x["line_span"]), "error": first["error"]})
-    g = g.withColumn("fields", F.when(F.col("collapsed"), F.expr("array(f0[0], replace(f0[1], '\u0000', delimiter))")).otherwise(F.col("f0")))
+    g = grouped.withColumns({"more": F.size("rows") - 1, "line_no": F.col("rows")[0]["line_no"], "error": F.col("rows")[0]["error"], "own": F.col("rows")[0]["fields"], "span": F.expr("aggregate(rows, 0, (a, x) -> a + x.line_span)")})
+    glued = F.expr("concat(slice(own, 1, size(own) - 1), array(concat(element_at(own, -1), array_join(transform(slice(rows, 2, more), x -> concat('\n', array_join(x.fields, delimiter))), ''))))")
+    g = g.withColumn("joined", F.when(is_text & (F.col("more") > 0) & ~F.col("lost"), glued).otherwise(F.col("own")))
+    g = g.withColumn("collapsed", is_text & (F.size("joined") > 2) & ~F.col("lost"))
+    g = g.withColumn("fields", F.when(F.col("collapsed"), F.expr("array(joined[0], array_join(slice(joined, 2, size(joined)), delimiter))")).otherwise(F.col("joined")))
     key = F.get("fields", F.col("key_index"))
     g = g.withColumn("key", F.when(key.rlike(KEY) & ~F.col("broken") & ~F.col("lost"), key))
     wrong_count = (F.col("expected") > 0) & (F.size("fields") != F.col("expected"))
@@ -283,3 +282,11 @@ def preview(files: DataFrame, lines: int, scrub=None) -> DataFrame:
             yield pd.DataFrame(out, columns=["path", "lines"])
 
     return files.mapInPandas(work, "path string, lines array<string>")
+
+
+def override_findings(detected: DataFrame, effective: DataFrame) -> DataFrame:
+    """path, setting, detected, effective of each encoding, delimiter or kind that an analyst changed."""
+    names = ["encoding", "delimiter", "kind"]
+    long = lambda df, value: df.unpivot("path", names, "setting", value)
+    both = long(detected, "detected").join(long(effective, "effective"), ["path", "setting"])
+    return both.where(~F.col("detected").eqNullSafe(F.col("effective")))
