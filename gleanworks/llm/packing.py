@@ -89,8 +89,8 @@ def pack(docs: DataFrame, capacity: int = 1024, path: str | None = None, end_id:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     groups = max(1, -(-chars // group_chars))
-    group = F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id(), F.monotonically_increasing_id()), F.lit(groups))
-    # Equal documents go apart too; a retried task sees the same rows in the same order and deals them alike.
+    group = F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(groups))
+    # The partition sends equal rows apart, and a retried task deals its rows as before, in whatever order it sees them.
     def work(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _pack_group(key[0].as_py(), batches, path, end_id, capacity)
 
