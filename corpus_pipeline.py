@@ -31,11 +31,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest doc_id stays; of repeated rows one.
 
-    Documents with a null doc_id stay, as they take no part in linking.
+    Documents with a null doc_id stay, as they take no part in linking; rows with one doc_id and different texts are
+    judged apart.
     """
-    dropped = near_duplicates(docs.select("doc_id", "text")).where("NOT kept").select("doc_id").distinct()
-    numbered = docs.where("doc_id IS NOT NULL").join(dropped, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return numbered.unionByName(docs.where("doc_id IS NULL"))
+    dropped = near_duplicates(docs.select("doc_id", "text")).where("NOT kept").select(F.col("doc_id").alias("d"), F.col("text_id").alias("t")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"))
+    numbered = rows.where("d IS NOT NULL").join(dropped, ["d", "t"], "left_anti").dropDuplicates(["d", "t"])
+    return numbered.unionByName(rows.where("d IS NULL")).select("row.*")
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
