@@ -46,10 +46,11 @@ def two_hop_counts(parents: DataFrame, middle: DataFrame, leaves: DataFrame, key
 
 def text_join_check(texts: DataFrame, records: DataFrame, key: str) -> DataFrame:
     """Keys on one side only: key, finding. Nothing where either side is absent."""
-    t, r = texts.select(key).distinct(), records.select(key).distinct()
+    present = F.col(key).isNotNull() & (F.col(key).cast("string") != "")
+    t, r = (df.where(present).select(key).distinct() for df in (texts, records))
     # A side is absent when it has no row; one-row counts are joined so that this stays part of the plan.
     both = t.limit(1).select(F.lit(1).alias("x")).join(r.limit(1).select(F.lit(1).alias("x")), "x")
-    found = t.join(r, key, "left_anti").select(key, F.lit("TEXT_KEY_UNMATCHED").alias("finding")).union(r.join(t, key, "left_anti").select(key, F.lit("RECORD_WITHOUT_TEXT").alias("finding")))
+    found = t.join(r, key, "left_anti").select(key, F.lit("TEXT_KEY_UNMATCHED").alias("finding")).union(r.join(t, key, "left_anti").select(key, F.lit("UNFALL_WITHOUT_TEXT").alias("finding")))
     return found.withColumn("x", F.lit(1)).join(F.broadcast(both), "x", "left_semi").drop("x")
 
 
@@ -88,6 +89,9 @@ def validate_delivery(unfall: DataFrame, objekt: DataFrame, person: DataFrame, t
         parts.append(finding(duplicate_keys(rows, ["key"], "file"), "DUP_KEY_CROSS_SET", named(kind, ("files", F.array_join("files", "|")), ("n", F.col("n")))))
     for kind, rows, parents in (("objekt", objekt, unfall), ("person", person, objekt)):
         parts.append(finding(orphans(rows, parents, "parent", "key"), "ORPHAN_FK", named(kind, ("parent", F.col("parent")))))
+    for kind, rows, parents in (("objekt", objekt, unfall), ("person", person, objekt)):
+        sets = resolve_sets(rows.select("file", F.col("parent").alias("k")), parents.select(F.col("file").alias("pf"), F.col("key").alias("pk")), "file", "k", "pf", "pk")
+        parts.append(sets.where("`set` IS NULL").select(F.lit("SET_UNRESOLVED").alias("code"), F.lit(None).cast("string").alias("key"), F.create_map(F.lit("table"), F.lit(kind), F.lit("filename"), F.col("file")).alias("detail")))
     counted = named("unfall", ("declared", F.col("declared")), ("actual", F.col("actual")))
     parts.append(finding(count_mismatches(unfall, objekt, "key", "parent", "objects"), "COUNT_MISMATCH_OBJ", counted))
     # Of an object key that occurs twice the last file's row says which accident it belongs to.

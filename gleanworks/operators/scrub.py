@@ -192,6 +192,12 @@ def scrub_tally(results: DataFrame, rules: Rules, key: str) -> DataFrame:
     return every.join(each, "rule_id", "left").fillna(0, ["hits", "records"])
 
 
+def scrub_findings(tally: DataFrame) -> DataFrame:
+    """TEXT_SCRUBBED for every rule that ran, rules without hits included; matched text stays out."""
+    text = lambda c: F.col(c).cast("string")
+    return tally.select(F.lit("TEXT_SCRUBBED").alias("code"), F.create_map(F.lit("rule_id"), F.col("rule_id"), F.lit("hits"), text("hits"), F.lit("records"), text("records")).alias("detail"))
+
+
 def scrub_totals(results: DataFrame) -> DataFrame:
     """One row: records seen and changed."""
     return results.agg(F.count("*").alias("seen"), F.count_if(F.size("hits") > 0).alias("changed"))

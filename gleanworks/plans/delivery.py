@@ -149,7 +149,7 @@ def two_hop_count(spark, sf):
     return integrity.two_hop_counts(read(spark, sf, "customer"), read(spark, sf, "orders"), read(spark, sf, "lineitem"), "c_custkey", "o_orderkey", "o_custkey", "l_orderkey")
 
 
-@query("text_join_check", "SELECT doc_id, 'TEXT_KEY_UNMATCHED' AS finding FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'RECORD_WITHOUT_TEXT' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)")
+@query("text_join_check", "SELECT doc_id, 'TEXT_KEY_UNMATCHED' AS finding FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'UNFALL_WITHOUT_TEXT' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)")
 def text_join_check(spark, sf):
     return integrity.text_join_check(read(spark, sf, "documents"), read(spark, sf, "labels"), "doc_id")
 
@@ -179,7 +179,7 @@ _FINDINGS = """SELECT 'DUP_KEY_CROSS_SET' AS code, count(*)::BIGINT AS n FROM (S
  UNION ALL SELECT 'ORPHAN_FK', count(*) FROM orders WHERE o_orderkey % 50 = 0
  UNION ALL SELECT 'COUNT_MISMATCH_OBJ', count(*) FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS a FROM orders WHERE o_orderkey % 50 <> 0 GROUP BY 1) ON o_custkey = c_custkey WHERE c_custkey % 20 <> coalesce(a, 0)
  UNION ALL SELECT 'TEXT_KEY_UNMATCHED', count(*) FROM documents WHERE doc_id NOT IN (SELECT c_custkey FROM customer)
- UNION ALL SELECT 'RECORD_WITHOUT_TEXT', count(*) FROM customer WHERE c_custkey NOT IN (SELECT doc_id FROM documents)"""
+ UNION ALL SELECT 'UNFALL_WITHOUT_TEXT', count(*) FROM customer WHERE c_custkey NOT IN (SELECT doc_id FROM documents)"""
 
 
 @query("validate_delivery", f"SELECT * FROM ({_FINDINGS}) WHERE n > 0")
