@@ -24,8 +24,8 @@ from .tokens import batches_of
 MARK = "▁"
 #: How far below the lowest score an unknown character is put.
 UNKNOWN_PENALTY = 10.0
-#: Words remembered by a worker between batches.
-MEMORY = 400_000
+#: Words remembered by a worker between batches (some 250 MB).
+MEMORY = 1_000_000
 SCHEMA = "doc_id long, n_ids long, ids_crc32 long, n_chars long, decoded_crc32 long, round_trip boolean"
 
 
@@ -45,6 +45,8 @@ class Vocabulary:
         self.penalty = min(s for s, _ in self.score.values()) - UNKNOWN_PENALTY
         self.text_of = {i: p.id_to_piece(i) for i in normal}
         self.byte_of = {i: b for b, i in self.bytes.items()}
+        #: Every prefix of a piece: (score, id), with id -1 where it is no piece itself.
+        self.prefixes = {piece[:k]: (0.0, -1) for piece in self.score for k in range(1, len(piece))} | self.score
         self.mark_leads = all(MARK not in piece.lstrip(MARK) for piece in self.score)
 
     def unknown_ids(self, char: str) -> list[int]:
@@ -103,8 +105,25 @@ def _path(window: str, back: list, base: int, end: int, v: Vocabulary) -> list[i
     return [i for p in reversed(parts) for i in p]
 
 
+def in_one_window(word: str, v: Vocabulary) -> list[int]:
+    """As ``stream`` for a text no longer than its window, forward from each position while a piece may still begin so."""
+    n, get = len(word), v.prefixes.get
+    best, back = [0.0] + [-np.inf] * n, [(0, -1)] * (n + 1)
+    for i in range(n):
+        here = best[i]
+        if here + v.penalty > best[i + 1]:
+            best[i + 1], back[i + 1] = here + v.penalty, (1, -1)
+        for j in range(i + 1, n + 1):
+            found = get(word[i:j])
+            if found is None:
+                break
+            if found[1] >= 0 and here + found[0] > best[j]:
+                best[j], back[j] = here + found[0], (j - i, found[1])
+    return _path(word, back, 0, n, v)
+
+
 def segment(text: str, v: Vocabulary) -> list[int]:
-    return [i for run in stream(text, v) for i in run]
+    return in_one_window(text, v) if len(text) < 2 * v.longest else [i for run in stream(text, v) for i in run]
 
 
 def escaped(text: str) -> str:
@@ -160,9 +179,8 @@ def encode_all(texts: list[str | None], path: str) -> list[tuple[bytes, str]]:
                 coded = segment(w, v)
                 found = np.array(coded, "<u4").tobytes(), "".join(v.text_of[i] for i in coded) if all(i in v.text_of for i in coded) else decode_raw(coded, v)
                 if len(w) < 64:
-                    if len(memory) >= MEMORY:
-                        memory.clear()
-                    memory[w] = found
+                    if len(memory) < MEMORY:
+                        memory[w] = found
             ids.append(found[0])
             back.append(found[1])
         decoded = "".join(back).replace(MARK, " ")

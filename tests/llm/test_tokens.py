@@ -198,6 +198,13 @@ def test_decoding_gives_the_text(text):
     assert sentencepiece_codec.decode(np.frombuffer(ids, "<u4").tolist(), v) == text
 
 
+@given(st.text(st.sampled_from("▁abcinotse😀"), max_size=30))
+@settings(max_examples=300, deadline=None)
+def test_one_window_equals_the_stream(text):
+    v = sentencepiece_codec._worker(MODEL)[0]
+    assert sentencepiece_codec.in_one_window(text, v) == [i for run in sentencepiece_codec.stream(text, v) for i in run]
+
+
 def test_stream_commits_before_the_end_and_equals_one_window(vocabulary):
     text = "▁" + "internationalization" * 40
     runs = list(sentencepiece_codec.stream(text, vocabulary))
