@@ -1,20 +1,22 @@
-"""Operator 2: licence notices by conditional compression, confirmed by exact wording differences.
+"""Operator 2: licence notices by word alignment with templates, with the bytes that conditional compression saves.
 
-A sentence with a word that licences use is a candidate; neighbouring ones make a block. A block is compressed on its
-own and with each template as zstandard raw-content dictionary; templates are ranked by the bytes they save, and for
-the winners the words of the block are aligned with the template's: what differs is counted word by word.
+Line feeds and comment leaders are white space: the words around each word that licences use are aligned with every
+template, wherever the notice begins and ends and however it is wrapped. A template is named on the words that it aligns
+with when few enough of them differ. The text of those words is compressed on its own and with the template as zstandard
+raw-content dictionary.
 
-Sentences without such a word are discarded by a built-in expression before Python sees a row, and scanning is a map
-without a shuffle; the templates are fixed and small.
+Texts without such a word are discarded by a built-in expression before Python sees a row, and scanning is a map without
+a shuffle; the templates are fixed and small. The work grows with the words of the text, not with their square.
 """
 
 from __future__ import annotations
 
-import difflib
+import bisect
 import functools
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -57,14 +59,16 @@ TEMPLATES: dict[str, list[str]] = {
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
     "proprietary": ["All rights reserved."],
 }
-#: Words of which a candidate sentence has one.
-TRIGGER = r"(?i)licen[sc]|copyright|all rights reserved|redistribut|public domain|permission (?:is hereby|to use)|terms of the|free software"
-#: A sentence ends at a line feed, or at a full stop, exclamation or question mark before white space and a capital.
-_SENTENCE = re.compile(r"[^\n]+?(?:[.!?](?=\s+[\"'(]?[^\W\d_a-z])|(?=\n)|$)")
+#: Words of which a notice has one.
+TRIGGER = r"(?i)licen[sc]|copyright|all\W+rights\W+reserved|redistribut|public\W+domain|permission\W+(?:is\W+hereby|to\W+use)|terms\W+of\W+the|free\W+software"
 _TRIGGER = re.compile(TRIGGER)
 _WORD = re.compile(r"\w+(?:[.\-]\w+)*")
+#: Comment leaders that are words; all others are not.
+_LEADER = re.compile(r"(?im)^[ \t]*(?:rem|dnl)(?=[ \t])")
+#: What closes a sentence belongs to its last word.
+_CLOSE = re.compile(r"[\"')\]]*[.:;!?]?")
 LEVEL = 19
-#: Templates confirmed for a block, and the share of words that may differ.
+#: Licences named in a text, and the share of words of a template that may differ.
 WINNERS, MAX_DIFFERENT = 3, 0.25
 SCHEMA = "doc_id long, start long, end long, license string, n_different long, n_template_words long, exact boolean, bytes_alone long, bytes_saved long, block string"
 
@@ -72,61 +76,120 @@ SCHEMA = "doc_id long, start long, end long, license string, n_different long, n
 @functools.lru_cache(maxsize=1)
 def _presses():
     alone = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
-    with_template = []
+    names, words, presses = [], [], []
     for name, texts in TEMPLATES.items():
         for text in texts:
             d = zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            with_template.append((name, _words(text), zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_dict_id=False)))
-    return alone, with_template
-
-
-def _words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
-
-
-def blocks(text: str) -> list[tuple[int, int]]:
-    """(start, end) of runs of neighbouring candidate sentences in the whole text."""
-    found: list[list[int]] = []
-    last = None
-    for k, m in enumerate(_SENTENCE.finditer(text)):
-        if _TRIGGER.search(m[0]):
-            if found and last == k - 1:
-                found[-1][1] = m.end()
-            else:
-                found.append([m.start(), m.end()])
-            last = k
+            names.append(name)
+            words.append(_WORD.findall(text.lower()))
+            presses.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_dict_id=False))
+    known = {w: i for i, w in enumerate(dict.fromkeys(w for t in words for w in t))}
+    rows = np.full((len(words), max(map(len, words))), -2, dtype=np.int64)
+    for row, t in zip(rows, words, strict=True):
+        row[: len(t)] = [known[w] for w in t]
+    return alone, names, rows, np.array(list(map(len, words))), presses, known
+
+
+def _regions(text: str, spans: list[tuple[int, int]], reach: int) -> list[tuple[int, int]]:
+    """(first, last + 1) words within ``reach`` words of a trigger; overlapping ones are joined."""
+    starts, found = [a for a, _ in spans], []
+    for m in _TRIGGER.finditer(text):
+        at = bisect.bisect_right(starts, m.start()) - 1
+        a, b = max(0, at - reach), min(len(spans), at + reach + 1)
+        if found and a <= found[-1][1]:
+            found[-1][1] = b
+        else:
+            found.append([a, b])
     return [(a, b) for a, b in found]
 
 
-def differences(block: list[str], template: list[str]) -> int:
-    """Words of the template that the block lacks, and other words of the block between the ones that it has."""
-    matcher = difflib.SequenceMatcher(None, template, block, autojunk=False)
-    runs = [m for m in matcher.get_matching_blocks() if m.size]
-    if not runs:
-        return len(template)
-    same = sum(m.size for m in runs)
-    inside = runs[-1].b + runs[-1].size - runs[0].b - same
-    return len(template) - same + inside
+def _ends(words: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(template, last word) of all places in ``words`` where a template ends with at most its share of differences.
 
+    The distance counts words of the template that are missing and words of the text that are between; where it begins
+    is free. Templates of which too many words are nowhere in ``words`` are left out, as none of their places can count.
+    """
+    _, _, templates, sizes, _, _ = _presses()
+    some = np.flatnonzero((np.isin(templates, words).sum(axis=1)) >= sizes * (1 - MAX_DIFFERENT))
+    if not len(some):
+        return
+    width = sizes[some].max()
+    t, at = templates[some][:, :width], np.arange(width + 1)
+    now = np.tile(at, (len(some), 1))
+    last, rows = sizes[some], np.arange(len(some))
+    ends = np.empty((len(words) + 2, len(some)), dtype=np.int64)
+    ends[0] = ends[-1] = last
+    for j, w in enumerate(words, 1):
+        new = now + 1
+        new[:, 0] = 0
+        np.minimum(new[:, 1:], np.where(t == w, now[:, :-1], width + 1), out=new[:, 1:])
+        now = np.minimum.accumulate(new - at, axis=1) + at
+        ends[j] = now[rows, last]
+    here = ends[1:-1]
+    good = (here <= MAX_DIFFERENT * last) & (here < ends[:-2]) & (here <= ends[2:])
+    for j, k in np.argwhere(good):
+        yield int(some[k]), int(j)
+
+
+def _aligned(template: list[int], words: list[int]) -> tuple[int, list[int]]:
+    """Words that differ, and the positions in ``words`` of those that are the same, of the closest alignment that ends
+    with the last of ``words``; of equally close ones the shortest."""
+    t, w = template[::-1], words[::-1]
+    table = [list(range(len(w) + 1))]
+    for i, x in enumerate(t, 1):
+        row, up = [i], table[-1]
+        for m, y in enumerate(w, 1):
+            row.append(up[m - 1] if x == y else min(up[m], row[m - 1]) + 1)
+        table.append(row)
+    m = min(range(len(w) + 1), key=lambda m: table[-1][m])
+    n, i, same = table[-1][m], len(t), []
+    while i and m:
+        if t[i - 1] == w[m - 1]:
+            i, m = i - 1, m - 1
+            same.append(len(w) - 1 - m)
+        elif table[i][m] == table[i - 1][m] + 1:
+            i -= 1
+        else:
+            m -= 1
+    return n, same
+
+
+def notices(text: str) -> list[tuple[int, int, str, int, int, int, int]]:
+    """(start, end, licence, words that differ, words of the template, bytes alone, bytes saved) in text order.
+
+    Of the notices of a text only those whose words differ least are named, at most ``WINNERS`` of them.
+    """
+    alone, names, templates, sizes, presses, known = _presses()
+    plain = _LEADER.sub(lambda m: " " * len(m[0]), text)
+    spans = [m.span() for m in _WORD.finditer(plain)]
+    found = []
+    for a, b in _regions(plain, spans, int(sizes.max() * (1 + MAX_DIFFERENT)) + 1):
+        words = np.array([known.get(plain[x:y].lower(), -1) for x, y in spans[a:b]], dtype=np.int64)
+        for k, j in _ends(words):
+            size = int(sizes[k])
+            first = max(0, j + 1 - int(size * (1 + MAX_DIFFERENT)))
+            n, same = _aligned(templates[k, :size].tolist(), words[first : j + 1].tolist())
+            start, end = spans[a + first + same[0]][0], spans[a + j][1]
+            if _TRIGGER.search(plain[start:end]):
+                found.append((n / size, -size, names[k], start, _CLOSE.match(text, end).end(), n, k, [a + first + x for x in same]))
+    named = []
+    for _, _, name, start, end, n, k, _ in _chosen(found):
+        raw = text[start:end].encode()
+        size = len(alone.compress(raw))
+        named.append((start, end, name, n, int(sizes[k]), size, size - len(presses[k].compress(raw))))
+    return sorted(named)
+
+
+def _chosen(found: list[tuple]) -> list[tuple]:
+    best: dict[str, tuple] = {}
+    for x in sorted(found):
+        best.setdefault(x[2], x)
+    return [x for x in sorted(best.values()) if x[0] == min(best.values())[0]][:WINNERS]
 
-def identify(block: str) -> list[tuple[str, int, int, int, int]]:
-    """(licence, words that differ, words of the template, bytes alone, bytes saved) of what is confirmed, best first.
 
-    Of several templates of one licence the closest counts; licences whose words differ least come first, and only
-    those as close as the first are named.
-    """
-    alone, presses = _presses()
-    raw, words = block.encode(), _words(block)
-    size = len(alone.compress(raw))
-    ranked = sorted(((size - len(c.compress(raw)), name, template) for name, template, c in presses), key=lambda x: (-x[0], x[1], len(x[2])))
-    found: dict[str, tuple[int, int, int]] = {}
-    for saved, name, template in ranked[: WINNERS * 2]:
-        n = differences(words, template)
-        if saved > 0 and n <= MAX_DIFFERENT * len(template) and (name not in found or (n, -len(template)) < (found[name][0], -found[name][1])):
-            found[name] = (n, len(template), saved)
-    least = min((n / t for n, t, _ in found.values()), default=0)
-    best = sorted((n, -t, name, saved) for name, (n, t, saved) in found.items() if n / t == least)
-    return [(name, n, -t, size, saved) for n, t, name, saved in best[:WINNERS]]
+def blocks(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the notices in the whole text."""
+    return sorted({(a, b) for a, b, *_ in notices(text)})
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,10 +197,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            for a, b in blocks(text):
-                block = text[a:b]
-                for name, n, total, size, saved in identify(block):
-                    rows.append((doc_id, a, b, name, n, total, n == 0, size, saved, block))
+            for a, b, name, n, total, size, saved in notices(text):
+                rows.append((doc_id, a, b, name, n, total, n == 0, size, saved, text[a:b]))
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.string()]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
