@@ -12,6 +12,7 @@ a shuffle; the templates are fixed and small. The work grows with the words of t
 from __future__ import annotations
 
 import bisect
+import collections
 import functools
 import re
 from collections.abc import Iterator
@@ -68,8 +69,8 @@ _LEADER = re.compile(r"(?im)^[ \t]*(?:rem|dnl)(?=[ \t])")
 #: What closes a sentence belongs to its last word.
 _CLOSE = re.compile(r"[\"')\]]*[.:;!?]?")
 LEVEL = 19
-#: Licences named in a text, and the share of words of a template that may differ.
-WINNERS, MAX_DIFFERENT = 3, 0.25
+#: The share of words of a template that may differ.
+MAX_DIFFERENT = 0.25
 SCHEMA = "doc_id long, start long, end long, license string, n_different long, n_template_words long, exact boolean, bytes_alone long, bytes_saved long, block string"
 
 
@@ -157,7 +158,8 @@ def _aligned(template: list[int], words: list[int]) -> tuple[int, list[int]]:
 def notices(text: str) -> list[tuple[int, int, str, int, int, int, int]]:
     """(start, end, licence, words that differ, words of the template, bytes alone, bytes saved) in text order.
 
-    Of the notices of a text only those whose words differ least are named, at most ``WINNERS`` of them.
+    Templates compete where they align with the same words of the text: of two that share more than half the words of one
+    of them the closer is named, of two of one licence the longer, and of two licences equally close both are.
     """
     alone, names, templates, sizes, presses, known = _presses()
     plain = _LEADER.sub(lambda m: " " * len(m[0]), text)
@@ -181,10 +183,17 @@ def notices(text: str) -> list[tuple[int, int, str, int, int, int, int]]:
 
 
 def _chosen(found: list[tuple]) -> list[tuple]:
-    best: dict[str, tuple] = {}
+    """Of alignments (share of differences, -words, licence, ..., positions of the same words) those that are named."""
+    owners: dict[int, list[int]] = {}
+    named: list[tuple] = []
     for x in sorted(found):
-        best.setdefault(x[2], x)
-    return [x for x in sorted(best.values()) if x[0] == min(best.values())[0]][:WINNERS]
+        shared = collections.Counter(i for w in x[-1] for i in owners.get(w, ()))
+        rivals = [named[i] for i, n in shared.items() if 2 * n > min(len(x[-1]), len(named[i][-1]))]
+        if all(r[0] == x[0] and r[2] != x[2] for r in rivals):
+            for w in x[-1]:
+                owners.setdefault(w, []).append(len(named))
+            named.append(x)
+    return named
 
 
 def blocks(text: str) -> list[tuple[int, int]]:

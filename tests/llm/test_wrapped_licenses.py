@@ -42,3 +42,16 @@ def test_wrapped_notices(spark):
 
 def test_words_of_a_notice_on_two_lines(spark):
     assert found(spark, ["(c) me. All rights\n# reserved.\nx", "x\nreleased into the public\ndomain"]) == [[("proprietary", 0)], []]
+
+
+def test_every_notice_of_a_list_is_named(spark):
+    pick = ["MIT", "Apache-2.0", "BSD-3-Clause", "CC-BY-4.0", "GPL-3.0"]
+    lines = [license_scan.TEMPLATES[n][0] for n in pick]
+    every = [n for n in license_scan.TEMPLATES]
+    texts = ["\n".join(lines), "Released under MIT license. All rights reserved.", "\n".join(license_scan.TEMPLATES[n][0] for n in every), "All rights reserved. " * 50]
+    assert found(spark, texts) == [[(n, 0) for n in pick], [("MIT", 1), ("proprietary", 0)], [(n, 0) for n in every], [("proprietary", 0)] * 50]
+
+
+def test_rivals_for_the_same_words(spark):
+    agpl = "This work is licensed under the GNU Affero General Public License, version 3."
+    assert found(spark, [agpl, agpl.replace("Affero ", ""), "This work is licensed under the GNU General Public License, version."]) == [[("AGPL-3.0", 0)], [("GPL-3.0", 0)], [("GPL-2.0", 1), ("GPL-3.0", 1)]]
