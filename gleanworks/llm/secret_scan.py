@@ -15,14 +15,24 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Shapes of candidates. Forms of known keys, then a value after a name that suggests one, then long runs.
+#: Shapes of candidates. Whole private keys, forms of known keys, a value after a name that suggests one,
+#: passwords in addresses, tokens after the scheme of a header, then long runs.
+PEM = r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----[\s\S]*?-----(?:END [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----)?"
 KNOWN = r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|xox[abprs]-[0-9A-Za-z-]{10,}|sk[-_](?:live_|test_|proj-)?[0-9A-Za-z]{20,}|AIza[0-9A-Za-z_-]{35}|eyJ[0-9A-Za-z_-]{10,}\.[0-9A-Za-z_-]{10,}\.[0-9A-Za-z_-]{5,}"
 NAMES = r"pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret|credentials?|auth"
-NAMED = rf"(?i:(?:{NAMES})[A-Za-z0-9_-]{{0,20}})[\"']?\s{{0,3}}(?:=|:|=>)\s{{0,3}}[\"']?[^\s\"'<>,;]{{8,}}"
+SCHEME = r"(?i:bearer|basic|token)[ \t]++(?=[^\s\"'=:])"
+#: A name and its sign, and what of a value is not the value: an opening quote, the scheme of a header.
+_HEAD = rf"(?i:(?:{NAMES})[A-Za-z0-9_-]{{0,20}})[\"']?[ \t]*+\s{{0,3}}(?:=>|:=|={{1,3}}|:)[ \t]*+\s{{0,3}}"
+#: A value that is the next name with its sign belongs to no name before it.
+_NEXT = rf"(?![A-Za-z0-9_-]{{0,20}}(?i:{NAMES})[A-Za-z0-9_-]{{0,20}}[\"']?[ \t]*+(?:=>|:=|={{1,3}}|:)[\s\"'])"
+NAMED = rf"{_HEAD}(?:\"(?:{SCHEME})?(?!-----BEGIN)[^\"\r\n]+(?:(?<=\\)\"[^\"\r\n]+){{0,99}}(?=\")|'(?:{SCHEME})?(?!-----BEGIN)[^'\r\n]+(?:(?<=\\)'[^'\r\n]+){{0,99}}(?=')|[\"']?(?:{SCHEME})?(?!-----BEGIN){_NEXT}[^\s\"'<>,;]+)"
+_USER = r"://[^\s/:@?#\"'<>]*+:"
+ADDRESS = rf"{_USER}[^\s/\"'<>]+(?=@)"
+HEADER = r"\b(?i:bearer|basic)[ \t]++[A-Za-z0-9._~+/-]{8,}={0,2}"
 LONG = r"\b(?:[0-9a-f]{32,}|[0-9A-F]{32,}|(?=[A-Za-z+/_-]{0,80}[0-9])[A-Za-z0-9+/_-]{32,}={0,2})"
-CANDIDATE = f"{KNOWN}|{NAMED}|{LONG}"
-#: What precedes the value inside a named candidate.
-PREFIX = rf"^(?i:(?:{NAMES})[A-Za-z0-9_-]{{0,20}})[\"']?\s{{0,3}}(?:=>|=|:)\s{{0,3}}[\"']?"
+CANDIDATE = f"{PEM}|{KNOWN}|{NAMED}|{ADDRESS}|{HEADER}|{LONG}"
+#: What precedes the value inside a candidate.
+PREFIX = rf"^(?:{_HEAD}[\"']?(?:{SCHEME})?|{_USER}|(?i:bearer|basic)[ \t]++)"
 #: Words whose presence in a candidate speaks for prose, code or placeholders.
 DICTIONARY = "the and for with this that your from have are not you all can example sample test demo dummy fake placeholder changeme change password secret token key value default none null true false user name admin login here insert enter xxxx todo string config file path home usr local src main index http https www com org html json data table column function return class import order number version release build commit branch merge".split()
 INNOCENT = r"(?i)(?<![\w.@-])(?:example|sample|placeholder|dummy|checksum|digest|sha-?(?:1|256|512)|md5|commit|uuid|revision|etag|fingerprint|hash)(?![\w@-]|\.\w)"
@@ -59,6 +69,16 @@ def features(c: Column) -> dict[str, Column]:
         "assigned": flag(c["match"].rlike(PREFIX)),
         "innocent": flag(F.concat(c["before"], F.lit(" "), F.substring(c["match"], 1, 24)).rlike(INNOCENT)),
         "guilty": flag(c["before"].rlike(GUILTY)),
+        "pem": flag(c["match"].rlike("^-----BEGIN")),
+        "address": flag(F.concat(c["match"], F.lit("@")).rlike(r"://[^\s/:@]*+:[^\s/@]+@")),
+        "scheme": flag(c["match"].rlike(r"^[^\n]{0,60}?(?i:bearer|basic)[ \t]")),
+        "password": flag(c["match"].rlike(r"^(?i:pass(?:word|wd|phrase)|pwd|secret)[\"']?\s*[=:]")),
+        "quoted": flag(F.regexp_extract(c["match"], PREFIX, 0).rlike("[\"'](?i:bearer |basic |token )?$")),
+        "symbols": share(r"[^A-Za-z0-9\s]"),
+        "spaces": share(r"\s"),
+        "mixed": flag(v.rlike("[A-Za-z]") & v.rlike("[0-9]")),
+        "word": flag(v.rlike(r"^\p{L}\p{Ll}*[.!?)]?$")),
+        "number": flag(v.rlike(r"^[-+0-9.,:/%()]+$")),
     }
 
 
@@ -88,7 +108,10 @@ def candidates(text: Column) -> Column:
 
 
 def training_findings(spark: SparkSession, rows: int = TRAINING_ROWS) -> DataFrame:
-    """Labelled findings (match, value, before, after, label), made from a rule with built-in functions; always the same."""
+    """Labelled findings (match, value, before, after, label), made from a rule with built-in functions; always the same.
+
+    Odd ones are long values, assigned or not; even ones are keys in blocks, addresses, headers and short or quoted values.
+    """
     pick = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n))
     choose = lambda words, salt: F.element_at(F.array(*map(F.lit, words)), (pick(len(words), salt) + 1).cast("int"))
     digest = lambda salt: F.sha2(F.concat_ws("-", F.col("id").cast("string"), F.lit(salt)), 512)
@@ -109,7 +132,47 @@ def training_findings(spark: SparkSession, rows: int = TRAINING_ROWS) -> DataFra
     digest_like = (F.col("label") == 0) & F.col("kind").isin(4, 5, 6)
     named = ~digest_like & (F.col("form") > 0)
     head = F.concat(name, choose([" = \"", "=", ": ", ":"], 48))
-    return base.select(F.when(named, F.concat(head, "value")).otherwise(F.col("value")).alias("match"), "value", F.when(digest_like | ((F.col("label") == 0) & ~named), F.concat(innocent, F.lit(" "))).otherwise(F.concat(plain, F.lit(" "))).alias("before"), F.lit("").alias("after"), F.col("label").cast("double").alias("label"))
+    long = base.where("id % 2 = 1").select(F.when(named, F.concat(head, "value")).otherwise(F.col("value")).alias("match"), "value", F.when(digest_like | ((F.col("label") == 0) & ~named), F.concat(innocent, F.lit(" "))).otherwise(F.concat(plain, F.lit(" "))).alias("before"), F.lit("").alias("after"), F.col("label").cast("double").alias("label"))
+
+    digits = lambda lo, hi, salt: cut(F.translate(digest(salt), "abcdef", "135790"), size(lo, hi, salt))
+    own = lambda salt: choose(["hunter", "tiger", "dragon", "monkey", "orange", "window", "river", "summer", "shadow", "pass", "secret", "blue"], salt)
+    leet = lambda salt: F.initcap(F.translate(own(salt), "eaos", "3405"))
+    sign = lambda salt: choose([*"!#@?,;:$%&*-_. "], salt)
+    short = [F.concat(own(51), digits(1, 5, 52)), F.concat(leet(53), F.initcap(own(54)), digits(1, 4, 55)), F.concat(cut(alnum("s"), size(4, 9, 56)), sign(57), cut(alnum("t"), size(2, 8, 58))), cut(alnum("r"), size(6, 20, 59)), F.concat(F.initcap(own(60)), sign(61), digits(2, 5, 62)), cut(digest("e"), size(8, 33, 63))]
+    prose = lambda salt: choose(["required", "missing", "invalid", "see", "below", "yes", "no", "the", "expired", "reset", "blue", "information", "understanding", "knowledge", "principles", "maison", "Haus", "der", "que", "casa", "letters", "unknown", "hidden"], salt)
+    apart = lambda *salts: F.concat_ws(" ", *map(prose, salts))
+    placeholder = choose(["changeme", "your_password_here", "your-token", "password", "secret", "token", "pass", "xxxxxx", "********", "...", "<token>", "<password>", "{{password}}", "$PASSWORD", "${DB_PASS}", "%s", "null", "None", "true", "false", "undefined", "os.environ", "getpass()", "example"], 71)
+    plain_number = choose(["0", "1", "12", "80", "8080", "512", "2048", "2020", "3.5", "10:30", "100%", "4,096"], 72)
+    person = choose(["John", "Maria", "Smith", "Anna", "Peter", "Müller", "Dupont", "García"], 73)
+    # Values of no secret: half placeholders, else prose, names, numbers; in quotes also several words.
+    open_value = of([placeholder, placeholder, prose(74), prose(75), person, plain_number, F.concat(prose(76), choose([".", "!", "?", ")", "-x", "_id", ":", "()"], 77))], 78)
+    quoted_value = of([open_value, open_value, apart(81, 82), apart(83, 84, 85), F.initcap(apart(86, 87, 88, 89))], 90)
+    strict, loose = ["password", "passwd", "pwd", "passphrase", "secret", "Password", "PASSWORD"], ["token", "api_key", "access-key", "client_secret", "auth_token", "db_password", "authorization", "password2"]
+    alike = ["author", "secretary", "tokens", "authority", "authors", "token_count", "passwords", "secrets"]
+    sign_of = choose(["=", " = ", ": ", ":", " => ", " := ", "     = ", "      : "], 91)
+    strictly, loosely = F.concat(choose(strict, 92), sign_of), F.concat(choose([*strict, *loose], 93), sign_of)
+    quote = choose(["\"", "'"], 94)
+    pem = lambda body: F.concat(F.lit("-----BEGIN "), choose(["", "RSA ", "EC ", "OPENSSH "], 95), F.lit("PRIVATE KEY-----\n"), body, F.lit("\n-----END PRIVATE KEY-----"))
+    body = F.concat_ws("\n", *(cut(b64(f"m{k}"), F.lit(64)) for k in range(4)), cut(b64("n"), size(4, 30, 96)))
+    scheme = choose(["Authorization: Bearer ", "Authorization: Basic ", "Bearer ", "Basic ", "auth = \"Bearer "], 97)
+    user = F.concat(F.lit("://"), choose(["admin", "user", "root", "", "app"], 98), F.lit(":"))
+    token = of([cut(b64("o"), size(12, 60, 99)), cut(alnum("u"), size(10, 44, 100)), cut(digest("f"), size(16, 65, 101)), F.regexp_replace(F.base64(F.concat_ws(":", own(102), short[0]).cast("binary")), r"\s", "")], 103)
+    secret = of(short, 104)
+    pin = F.concat(strictly, quote), digits(4, 11, 105)
+    # (head, value) by kind: a secret, then what only looks like one.
+    pairs = [
+        ((F.lit(""), pem(body)), (F.lit(""), pem(choose(["...", "xxxxxxxx", "your key here", "<key>", "MII..."], 106)))),
+        ((user, F.regexp_replace(secret, r"[\s,;]", "-")), (user, F.regexp_replace(open_value, r"[<>\s]", ""))),
+        ((scheme, token), (scheme, open_value)),
+        ((F.concat(loosely, quote), secret), (F.concat(choose([*strict, *loose, *alike], 107), sign_of, quote), quoted_value)),
+        ((loosely, F.regexp_replace(secret, r"[\s,;]", "-")), (F.concat(choose([*strict, *loose, *alike], 108), sign_of), F.regexp_replace(open_value, r"[<>\s]", ""))),
+        (pin, (F.concat(choose(alike, 109), sign_of), of([plain_number, digits(1, 6, 110)], 111))),
+        ((F.concat(loosely, quote), F.concat(F.lit("db"), user, F.regexp_replace(secret, r"[\s,;]", "-"), F.lit("@host/db"))), (F.concat(loosely, quote), F.concat(F.lit("https://host/"), prose(112)))),
+    ]
+    kind = pick(len(pairs), 113)
+    side = lambda part: F.when(label == 1, functools.reduce(lambda rest, k: F.when(kind == k, pairs[k][0][part]).otherwise(rest), range(1, len(pairs)), pairs[0][0][part])).otherwise(functools.reduce(lambda rest, k: F.when(kind == k, pairs[k][1][part]).otherwise(rest), range(1, len(pairs)), pairs[0][1][part]))
+    made = spark.range(rows).where("id % 2 = 0").select(side(0).alias("head"), side(1).alias("value"), F.concat(plain, F.lit(" ")).alias("before"), label.cast("double").alias("label"))
+    return long.union(made.select(F.concat("head", "value").alias("match"), "value", "before", F.lit("").alias("after"), "label"))
 
 
 def train_forest(spark: SparkSession) -> list[dict]:
