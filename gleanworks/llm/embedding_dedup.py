@@ -2,10 +2,18 @@
 
 Equal vectors of a label collapse to one class first. On a bounded sample of vectors, rotations are learned that make
 balanced binary codes of small quantisation error (iterative quantisation, several starts). The code is cut into
-substrings, one Hamming table each; classes of one label that agree on a substring are candidates, a 64-bit part of the
-code discards most of them by its Hamming distance, and the original vectors decide. The substring length grows with
-the number of classes, so that a table's buckets stay small, and the number of tables follows from the measured chance
-that two vectors at the threshold agree on a substring, for a miss rate of MISS.
+substrings, one Hamming table each; classes of one label that agree on a substring meet, and the original vectors decide.
+
+How often two linked vectors agree on a bit follows from geometry, not from the data: vectors at the threshold are at
+most ``delta`` apart, so that seen from the sample's mean their directions differ by at most asin(delta / r), r being
+the larger of their distances from it. Vectors nearer to the mean than RADIUS, where codes say little about
+neighbours, are a bucket of their own; all other links have an agreement that sets the number of tables for a miss rate
+of MISS each.
+
+Small buckets give pairs, of which a 64-bit part of the code discards most by its Hamming distance. The members of large
+ones are compared in blocks inside tasks: these return counts of links and a spanning forest, never pairs, so that a
+dense group costs multiplications of matrices and few rows. Where a label's large buckets together take more
+comparisons than all their members among each other, the members are compared once instead.
 """
 
 from __future__ import annotations
@@ -23,38 +31,37 @@ from .common import Scratch, connected_components
 #: The bound of the training sample, in vectors.
 SAMPLE = 5000
 ITERATIONS = 20
-MISS = 1e-3
+MISS = 3e-4
 MIN_BITS, MAX_BITS = 10, 30
+#: Vectors nearer to the sample's mean are compared without codes: their links agree on fewer than 4 bits in 5.
+RADIUS = 0.6
+#: Buckets of at most so many members give pairs.
+SMALL = 16
+#: Numbers in the vectors of a block.
+BLOCK_NUMBERS = 2**18
 
 
 class Codes:
-    """Learned rotations, the substring length and the number of tables."""
+    """Learned rotations, the substring length, the number of tables, and the Hamming distance that a link can have."""
 
-    def __init__(self, sample: np.ndarray, threshold: float, n_classes: int, seed: int = 7):
+    def __init__(self, sample: np.ndarray, threshold: float, label_size: float, seed: int = 7):
+        """label_size: the mean size of a vector's label, in classes."""
         rng = np.random.default_rng(seed)
         self.dim = sample.shape[1]
         unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
         self.mean = unit.mean(axis=0)
         centred = unit - self.mean
-        self.bits = int(min(MAX_BITS, max(MIN_BITS, math.ceil(math.log2(max(n_classes, 2))))))
-        # Partners at exactly the threshold, in random directions, show how often bits agree on these data.
-        other = rng.normal(size=unit.shape)
-        other -= (other * unit).sum(axis=1, keepdims=True) * unit
-        other /= np.maximum(np.linalg.norm(other, axis=1, keepdims=True), 1e-12)
-        partner = threshold * unit + math.sqrt(1 - threshold**2) * other - self.mean
-        rotations, agree = [self._rotation(centred, rng)], 0.0
-        a, b = (np.sign(x @ rotations[0]) for x in (centred, partner))
-        same = a == b
-        self.bit_agreement = float(same.mean())
-        # Substrings of random bits of one rotation estimate the chance for a table.
-        draws = [rng.choice(self.dim, self.bits, replace=self.dim < self.bits) for _ in range(64)]
-        agree = max(float(np.mean([same[:, d].all(axis=1).mean() for d in draws])), self.bit_agreement**self.bits, 1e-6)
-        self.tables = max(4, math.ceil(math.log(MISS) / math.log1p(-min(agree, 0.9))))
+        self.bits = int(min(MAX_BITS, max(MIN_BITS, math.ceil(math.log2(max(label_size, 2))))))
+        delta = math.sqrt(max(2 - 2 * threshold, 0))
+        #: Vectors nearer to the mean go to the label's inner bucket.
+        self.inner = max(RADIUS, 0.98 * float(np.linalg.norm(centred, axis=1).min()))
+        differ = math.asin(min(1.0, delta / self.inner)) / math.pi
+        self.tables = max(4, math.ceil(math.log(MISS) / math.log1p(-((1 - differ) ** self.bits))))
+        rotations = []
         while len(rotations) * self.dim < max(self.tables * self.bits, 64):
             rotations.append(self._rotation(centred, rng))
-        self.rotation = np.concatenate(rotations, axis=1)
-        differ = 64 * (1 - self.bit_agreement)
-        self.radius = int(min(64, math.ceil(differ + 5 * math.sqrt(max(differ * self.bit_agreement, 1)))))
+        self.rotation = np.concatenate(rotations, axis=1).astype(np.float32)
+        self.radius = 64 if self.dim < 16 else min(64, math.ceil(64 * differ + 6 * math.sqrt(64 * differ * (1 - differ))))
 
     @staticmethod
     def _rotation(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -64,14 +71,16 @@ class Codes:
             r = (u @ vt).T
         return r
 
-    def encode(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(a 64-bit part of each code as int64, the substrings as int64: one row for each vector, one column a table)."""
+    def encode(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(a 64-bit part of each code as int64; the substrings as int64, a row for each vector, a column for each
+        table; whether the vector is an inner one)."""
         x = np.zeros((len(vectors), self.dim))
         x[:, : vectors.shape[1]] = vectors
-        bits = (x / np.linalg.norm(x, axis=1, keepdims=True) - self.mean) @ self.rotation > 0
+        x = x / np.linalg.norm(x, axis=1, keepdims=True) - self.mean
+        bits = x.astype(np.float32) @ self.rotation > 0
         short = np.packbits(bits[:, :64], axis=1).view(">i8").ravel().astype(np.int64)
         parts = bits[:, : self.tables * self.bits].reshape(len(x), self.tables, self.bits)
-        return short, parts @ (1 << np.arange(self.bits, dtype=np.int64))
+        return short, parts @ (1 << np.arange(self.bits, dtype=np.int64)), np.linalg.norm(x, axis=1) < self.inner
 
 
 def _coder(codes):
@@ -83,9 +92,12 @@ def _coder(codes):
                 x = np.zeros((part.num_rows, c.dim))
                 for i, v in enumerate(part.column("embedding").to_pylist()):
                     x[i, : len(v)] = v
-                short, strings = c.encode(x)
-                strings = pa.ListArray.from_arrays(np.arange(part.num_rows + 1, dtype=np.int32) * c.tables, pa.array(strings.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("label"), part.column("dim"), pa.array(short), strings], names=["rep", "label", "dim", "short", "strings"])
+                short, strings, inner = c.encode(x)
+                # An inner vector has one more string, always the same.
+                strings = np.append(strings, np.zeros((len(x), 1), np.int64), axis=1)
+                kept = np.append(np.ones((len(x), c.tables), bool), inner[:, None], axis=1)
+                ends = np.append(0, np.cumsum(kept.sum(axis=1))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("lab"), pa.array(short), pa.ListArray.from_arrays(ends, pa.array(strings[kept]))], names=["rep", "lab", "short", "strings"])
 
     return run
 
@@ -96,14 +108,108 @@ def cosine(a: str, b: str):
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+def _groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Table]:
+    """Runs of rows with equal values of ``names``, from batches sorted by them."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = np.stack([batch.column(n).to_numpy(zero_copy_only=False) for n in names])
+        cuts = [0, *(np.flatnonzero((values[:, 1:] != values[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            key = tuple(values[:, a].tolist())
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _earlier(keys: pa.Array, key: int) -> np.ndarray:
+    """A row for each member, a column for each bucket that two or more members share and whose key is below ``key``."""
+    member = np.repeat(np.arange(len(keys)), keys.value_lengths().to_numpy())
+    flat = keys.flatten().to_numpy()
+    member, flat = member[flat < key], flat[flat < key]
+    _, index, counts = np.unique(flat, return_inverse=True, return_counts=True)
+    column = np.cumsum(counts > 1) - 1
+    shared = counts[index] > 1
+    out = np.zeros((len(keys), int((counts > 1).sum())), np.float32)
+    out[member[shared], column[index[shared]]] = 1
+    return out
+
+
+def forest(linked: np.ndarray) -> np.ndarray:
+    """The first node of each node's component, for a symmetric matrix of links."""
+    root = np.arange(len(linked))
+    free = np.ones(len(linked), bool)
+    for start in range(len(linked)):
+        if not free[start]:
+            continue
+        free[start] = False
+        front = np.array([start])
+        while len(front):
+            reached = linked[front].any(axis=0) & free
+            free[reached] = False
+            root[reached] = start
+            front = np.flatnonzero(reached)
+    return root
+
+
+def _block_linker(threshold: float):
+    """(rep, copies linked to it, a member of its component) from rows sorted by (key, i, j): the pairs of two blocks of a
+    bucket that no bucket with a smaller key has compared."""
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, ["key", "i", "j"]):
+            key, i, j = (group.column(n)[0].as_py() for n in ("key", "i", "j"))
+            rep, block, copies = (group.column(n).to_numpy() for n in ("rep", "block", "copies"))
+            x = group.column("embedding").combine_chunks().flatten().to_numpy().reshape(len(rep), -1)
+            x = x / np.linalg.norm(x, axis=1, keepdims=True)
+            left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+            before = _earlier(group.column("keys").combine_chunks(), key)
+            near = x[left] @ x[right].T >= threshold
+            if i == j:
+                near &= np.arange(len(left))[:, None] < np.arange(len(left))
+            if before.shape[1] and near.any():
+                near &= before[left] @ before[right].T == 0
+            n = np.zeros(len(rep), np.int64)
+            n[left] += near @ copies[right]
+            n[right] += near.T @ copies[left]
+            met = np.flatnonzero(n)
+            if not len(met):
+                continue
+            linked = np.zeros((len(rep), len(rep)), bool)
+            linked[np.ix_(left, right)] = near
+            linked = linked[np.ix_(met, met)]
+            root = met[forest(linked | linked.T)]
+            yield pa.RecordBatch.from_arrays([pa.array(rep[met]), pa.array(n[met]), pa.array(rep[root])], names=["rep", "n", "other"])
+
+    return link
+
+
+def _in_blocks(rows: DataFrame, reps: DataFrame, keys: DataFrame, width: int, threshold: float, scratch: Scratch) -> DataFrame:
+    """Links within large buckets ``rows(key, rep)``: each bucket is dealt to blocks, each pair of blocks is one group."""
+    size = max(64, BLOCK_NUMBERS // width)
+    counts = rows.groupBy("key").agg(F.ceil(F.count("*") / size).cast("long").alias("blocks"))
+    members = scratch.write(reps.join(keys, "rep").select("rep", "copies", "embedding", "keys"), "members")
+    dealt = rows.join(counts, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    units = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep")
+    units = units.join(members, "rep").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return scratch.write(units.mapInArrow(_block_linker(threshold), "rep long, n long, other long"), "links-of-blocks")
+
+
 def near_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     """One row per row of ``vectors(vec_id, embedding array, label, ...)``: vec_id, n_links, component_id, kept.
 
     Vectors are linked when their labels are equal and not null, their lengths are equal, and their cosine in double
-    precision is at least ``threshold``; candidates come from the tables, so a pair near the threshold is missed with
-    probability MISS at most. Vectors that are null, empty, zero, or hold null or non-finite components, and rows with a
-    null vec_id or label, link with nothing: n_links 0, component_id their vec_id, kept true. Rows that repeat a vec_id
-    count as vectors of their own. Other columns are ignored; an empty table gives an empty result.
+    precision is at least ``threshold``; candidates come from the tables, so a pair at the threshold is missed with
+    probability MISS, and a closer pair less often. Vectors that are null, empty, zero, or hold null or non-finite
+    components, and rows with a null vec_id or label, link with nothing: n_links 0, component_id their vec_id, kept true.
+    Rows that repeat a vec_id count as vectors of their own, and ties in cosine need no order, as every link counts. Other
+    columns are ignored; an empty table gives an empty result.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "vectors")
@@ -113,35 +219,56 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     rows = v.withColumn("ok", ok).withColumn("h1", F.xxhash64("label", "embedding")).withColumn("h2", F.xxhash64(F.lit(11), "label", "embedding"))
     rows = scratch.write(rows, "vectors")
     usable = rows.where("ok").drop("ok")
-    classes = scratch.write(usable.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "classes")
+    classes = usable.groupBy("h1", "h2").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first(F.xxhash64("label", F.size("embedding"))).alias("lab"))
+    # A number of its own for each class: vec_ids may repeat.
+    classes = scratch.write(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     alone = rows.where("NOT ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    n_classes = classes.count()
-    if n_classes == 0:
+    n_classes, label_size = classes.groupBy("lab").count().agg(F.sum("count"), F.sum(F.col("count").cast("double") ** 2)).first()
+    if not n_classes:
         return alone
-    reps = usable.join(classes.select("h1", "h2", F.col("rep").alias("vec_id")), ["h1", "h2", "vec_id"], "left_semi").dropDuplicates(["h1", "h2"])
-    reps = scratch.write(reps.select(F.col("vec_id").alias("rep"), "label", F.size("embedding").alias("dim"), "embedding"), "representatives")
+    label_size /= n_classes
+    first = usable.groupBy("h1", "h2").agg(F.first("embedding").alias("embedding"))
+    reps = scratch.write(classes.join(first, ["h1", "h2"]).select("rep", "lab", "copies", "embedding"), "representatives")
 
-    width = reps.agg(F.max("dim")).first()[0]
+    width = reps.agg(F.max(F.size("embedding"))).first()[0]
     sample = np.zeros((min(SAMPLE, n_classes), width))
-    for i, r in enumerate(reps.orderBy(F.xxhash64("rep")).limit(SAMPLE).select("embedding").collect()):
+    for i, r in enumerate(reps.orderBy(F.xxhash64("embedding")).limit(SAMPLE).select("embedding").collect()):
         sample[i, : len(r.embedding)] = r.embedding
-    codes = Codes(sample, threshold, n_classes)
+    codes = Codes(sample, threshold, label_size)
+
+    coded = reps.mapInArrow(_coder(spark.sparkContext.broadcast(codes)), "rep long, lab long, short long, strings array<long>")
+    entries = coded.select("rep", "lab", "short", F.posexplode("strings").alias("t", "string"))
+    entries = scratch.write(entries.select(F.xxhash64("lab", "t", "string").alias("key"), "rep", "lab", "short", (F.col("t") == codes.tables).alias("inner")), "tables")
+    sizes = scratch.write(entries.groupBy("key").agg(F.count("*").alias("n"), F.first("lab").alias("lab"), F.first("inner").alias("inner")).where("n > 1"), "sizes")
+    shared = scratch.write(entries.drop("lab", "inner").join(sizes, "key"), "shared")
 
-    coded = reps.mapInArrow(_coder(spark.sparkContext.broadcast(codes)), f"rep long, label {reps.schema['label'].dataType.simpleString()}, dim int, short long, strings array<long>")
-    entries = coded.select("rep", "short", F.posexplode("strings").alias("t", "string"), "label", "dim").select(F.xxhash64("label", "dim", "t", "string").alias("key"), "rep", "short")
-    entries = scratch.write(entries, "tables")
-    x, y = entries.alias("x"), entries.alias("y")
+    is_large = (F.col("n") > SMALL) | F.col("inner")
+    large = shared.where(is_large)
+    work = sizes.where(is_large).groupBy("lab").agg(F.sum(F.col("n").cast("double") ** 2).alias("work"))
+    members = large.select("lab", "rep").distinct().groupBy("lab").agg(F.count("*").cast("double").alias("m"))
+    whole = scratch.write(work.join(members, "lab").where("m * m <= work").select("lab", F.lit(True).alias("whole")), "whole-labels")
+    dense = large.join(whole, "lab", "left").select(F.when(F.col("whole"), F.xxhash64("lab", F.lit("all"))).otherwise(F.col("key")).alias("key"), "rep")
+    dense = scratch.write(dense.distinct(), "large-buckets")
+    keys = scratch.write(dense.groupBy("rep").agg(F.collect_list("key").alias("keys")), "buckets-of")  # at most one a table
+    in_blocks = _in_blocks(dense, reps, keys, width, threshold, scratch)
+
+    small = shared.where(~is_large)
+    x, y = small.alias("x"), small.alias("y")
     met = x.join(y, F.col("x.key") == F.col("y.key")).where("x.rep < y.rep").where(F.bit_count(F.col("x.short").bitwiseXOR(F.col("y.short"))) <= codes.radius)
-    pairs = scratch.write(met.groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).agg(F.count("*").alias("n")).select("a", "b"), "candidates")
-    side = lambda k: reps.select(F.col("rep").alias(k), F.col("embedding").alias(f"v{k}"), F.col("label").alias(f"l{k}"))
-    scored = pairs.join(side("a"), "a").join(side("b"), "b").where("la = lb AND size(va) = size(vb)")
-    links = scratch.write(scored.where(cosine("va", "vb") >= threshold).select("a", "b").distinct(), "links")
-
-    copies = classes.groupBy("rep").agg(F.sum("copies").alias("copies"))
-    both = links.union(links.select("b", "a")).toDF("rep", "other")
-    near = both.join(copies.withColumnRenamed("rep", "other"), "other").groupBy("rep").agg(F.sum("copies").alias("n"))
-    comps = connected_components(links, scratch)
-    by_class = classes.join(near, "rep", "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
-    by_class = scratch.write(by_class.select("h1", "h2", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "by-class")
+    pairs = met.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    held = lambda k: keys.select(F.col("rep").alias(k), F.col("keys").alias(f"k{k}"))
+    pairs = pairs.join(held("a"), "a", "left").join(held("b"), "b", "left").where(~F.coalesce(F.arrays_overlap("ka", "kb"), F.lit(False))).select("a", "b")
+    pairs = scratch.write(pairs, "candidates")
+    side = lambda k: reps.select(F.col("rep").alias(k), F.col("embedding").alias(f"v{k}"), F.col("copies").alias(f"n{k}"))
+    scored = pairs.join(side("a"), "a").join(side("b"), "b").where(cosine("va", "vb") >= threshold)
+    links = scratch.write(scored.select("a", "b", "na", "nb"), "links")
+
+    counts = links.select(F.col("a").alias("rep"), F.col("nb").alias("n")).union(links.select("b", "na")).union(in_blocks.select("rep", "n"))
+    counts = counts.groupBy("rep").agg(F.sum("n").alias("n"))
+    comps = connected_components(links.select("a", "b").union(in_blocks.select(F.col("rep").alias("a"), F.col("other").alias("b"))), scratch)
+    by_class = classes.join(counts, "rep", "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    by_class = scratch.write(by_class.select("h1", "h2", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "component", "least"), "by-class")
+    named = scratch.write(by_class.groupBy("component").agg(F.min("least").alias("component_id")), "components")
+    by_class = by_class.join(named, "component").select("h1", "h2", "n_links", "component_id")
     found = usable.select("vec_id", "h1", "h2").join(by_class, ["h1", "h2"]).select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
     return found.union(alone)

@@ -219,13 +219,5 @@ def test_vectors_equal_brute_force(spark):
     assert all(r.kept == (r.vec_id is None or r.vec_id == r.component_id) for r in got)
 
 
-def test_recall_on_the_table(spark):
-    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
-    rows = [(r.vec_id, list(r.embedding), r.label) for r in table.collect()]
-    links = brute_links(rows)
-    got = {r.vec_id: r.n_links for r in embedding_dedup.near_vectors(table).collect()}
-    assert sum(got.values()) >= 0.9 * sum(links.values()) and all(got[d] <= links[i] for i, (d, _, _) in enumerate(rows))
-
-
 def test_no_vectors(spark):
     assert embedding_dedup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).collect() == []
