@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,6 +84,42 @@ def _stars(e: DataFrame) -> bool:
     return once and e.join(e.select(F.col("lo").alias("hi")).distinct(), "hi", "left_semi").isEmpty()
 
 
+# --- buckets compared inside tasks --------------------------------------------------------------------------------
+
+
+def groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Table]:
+    """Runs of rows with equal values of ``names``, from batches sorted by them."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = np.stack([batch.column(n).to_numpy(zero_copy_only=False) for n in names])
+        cuts = [0, *(np.flatnonzero((values[:, 1:] != values[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            key = tuple(values[:, a].tolist())
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def earlier_buckets(keys: pa.Array, key: int) -> np.ndarray:
+    """A row for each member, a column for each bucket that two or more members share and whose key is below ``key``."""
+    member = np.repeat(np.arange(len(keys)), keys.value_lengths().to_numpy())
+    flat = keys.flatten().to_numpy()
+    member, flat = member[flat < key], flat[flat < key]
+    _, index, counts = np.unique(flat, return_inverse=True, return_counts=True)
+    column = np.cumsum(counts > 1) - 1
+    shared = counts[index] > 1
+    out = np.zeros((len(keys), int((counts > 1).sum())), np.float32)
+    out[member[shared], column[index[shared]]] = 1
+    return out
+
+
 # --- words as 64-bit hashes, by numpy over the bytes of many texts at once ---------------------------------------
 
 _RNG = np.random.default_rng(20240601)

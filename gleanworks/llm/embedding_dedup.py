@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components
+from .common import Scratch, connected_components, earlier_buckets, groups
 
 #: The bound of the training sample, in vectors.
 SAMPLE = 5000
@@ -108,39 +108,6 @@ def cosine(a: str, b: str):
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def _groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Table]:
-    """Runs of rows with equal values of ``names``, from batches sorted by them."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        values = np.stack([batch.column(n).to_numpy(zero_copy_only=False) for n in names])
-        cuts = [0, *(np.flatnonzero((values[:, 1:] != values[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            key = tuple(values[:, a].tolist())
-            if held and key != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(a, b - a))
-            last = key
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def _earlier(keys: pa.Array, key: int) -> np.ndarray:
-    """A row for each member, a column for each bucket that two or more members share and whose key is below ``key``."""
-    member = np.repeat(np.arange(len(keys)), keys.value_lengths().to_numpy())
-    flat = keys.flatten().to_numpy()
-    member, flat = member[flat < key], flat[flat < key]
-    _, index, counts = np.unique(flat, return_inverse=True, return_counts=True)
-    column = np.cumsum(counts > 1) - 1
-    shared = counts[index] > 1
-    out = np.zeros((len(keys), int((counts > 1).sum())), np.float32)
-    out[member[shared], column[index[shared]]] = 1
-    return out
-
-
 def forest(linked: np.ndarray) -> np.ndarray:
     """The first node of each node's component, for a symmetric matrix of links."""
     root = np.arange(len(linked))
@@ -163,13 +130,13 @@ def _block_linker(threshold: float):
     bucket that no bucket with a smaller key has compared."""
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, ["key", "i", "j"]):
+        for group in groups(batches, ["key", "i", "j"]):
             key, i, j = (group.column(n)[0].as_py() for n in ("key", "i", "j"))
             rep, block, copies = (group.column(n).to_numpy() for n in ("rep", "block", "copies"))
             x = group.column("embedding").combine_chunks().flatten().to_numpy().reshape(len(rep), -1)
             x = x / np.linalg.norm(x, axis=1, keepdims=True)
             left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-            before = _earlier(group.column("keys").combine_chunks(), key)
+            before = earlier_buckets(group.column("keys").combine_chunks(), key)
             near = x[left] @ x[right].T >= threshold
             if i == j:
                 near &= np.arange(len(left))[:, None] < np.arange(len(left))
