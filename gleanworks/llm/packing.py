@@ -1,6 +1,7 @@
 """Operator 3: cost-balanced packing of documents into sequences of fixed size.
 
-Documents are dealt by hash into groups of bounded text, so that no task's work grows with the input. Inside a group a
+Documents are dealt by hash into groups of bounded text and number, so that no task's work grows with the input, also
+where texts are null or rows repeat. Inside a group a
 document's full sequences are cut off, and the remainders are placed in descending length, each into the sequence with
 the lowest estimated cost (linear plus quadratic in the length of each piece) that has room for it; one that fits
 nowhere whole is cut over the lowest-cost sequences with room. A group has the fewest sequences that can hold its
@@ -22,8 +23,10 @@ from .tokens import batches_of, encode
 
 #: Weights of a piece's cost: LINEAR * length + QUADRATIC * length ** 2 (per token and per attended pair).
 LINEAR, QUADRATIC = 1.0, 1 / 1024
-#: Characters of text in a group, on average: some thousand sequences.
-GROUP_CHARS = 4_000_000
+#: Bytes of text in a group, on average: some thousand sequences. Each row counts as ROW_BYTES more, whatever its text.
+GROUP_BYTES, ROW_BYTES = 4_000_000, 400
+#: Copies of a repeated row that are numbered at once.
+COPIES = 10_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -76,22 +79,32 @@ def _pack_group(group: int, batches: Iterator[pa.RecordBatch], path: str, end_id
     )
 
 
-def pack(docs: DataFrame, capacity: int = 1024, path: str | None = None, end_id: int = 0, group_chars: int = GROUP_CHARS) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = 1024, path: str | None = None, end_id: int = 0, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """The pieces of every row of ``docs(doc_id long, text string, ...)``: doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset.
 
-    A document is the ids of its whole text (null: none) and ``end_id``, so each has one piece at least. Every id lies in
-    one piece, and the pieces of a sequence fill it from 0 without gaps. sequence_id is the group's number times 2**32
-    plus the sequence's number in the group. A null doc_id stays null; rows that repeat a doc_id are packed as documents
-    of their own; other columns are ignored; an empty table gives an empty result.
+    A document is the ids of its whole text (null: none), however long, and ``end_id``, so each has one piece at least.
+    Every id lies in one piece, and the pieces of a sequence fill it from 0 without gaps. sequence_id is the group's number
+    times 2**32 plus the sequence's number in the group. Of equally long remainders any may come first. A null doc_id stays
+    null; rows that repeat a doc_id, or are the same altogether, are packed as documents of their own; other columns are
+    ignored; an empty table gives an empty result.
     """
     path = path or public_tokenizers.path("byte_bpe_50k.json")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    groups = max(1, -(-chars // group_chars))
-    group = F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(groups))
-    # The partition sends equal rows apart, and a retried task deals its rows as before, in whatever order it sees them.
+    size = F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES
+    each = docs.groupBy("doc_id", F.xxhash64("text")).agg(F.count("*").alias("times"), F.sum(size).alias("bytes"))
+    total, most = each.agg(F.sum("bytes"), F.max("times")).first()
+    copy = F.lit(0).cast("long")
+    if (most or 0) > 1:
+        # Equal rows would share a group: they are counted, then numbered. Retried tasks give the same rows again.
+        docs = docs.groupBy("doc_id", "text").agg(F.count("*").alias("times"))
+        docs = docs.withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1, F.lit(COPIES).cast("long"))))
+        docs = docs.withColumn("copy", F.explode(F.sequence("from", F.least(F.col("from") + COPIES, "times") - 1)))
+        copy = F.col("copy")
+    groups = max(1, -(-(total or 0) // group_bytes))
+    docs = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text", copy), F.lit(groups)).alias("g"))
+
     def work(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _pack_group(key[0].as_py(), batches, path, end_id, capacity)
 
-    return docs.withColumn("g", group).groupBy("g").applyInArrow(work, PIECES)
+    return docs.groupBy("g").applyInArrow(work, PIECES)
