@@ -1,10 +1,11 @@
 """Operator 5: SentencePiece encoding and decoding by a streaming Viterbi search.
 
-The best segmentation of a text under a vocabulary's piece scores is found left to right. Only a window of the last
-``longest piece`` positions is kept: a position's best score, and the pieces on its best path since the last boundary
-that all surviving paths share. As soon as the paths of all positions in the window pass one boundary, the ids before it
-are committed and forgotten, so memory does not grow with the text. Every piece of the vocabulary that holds a word
-mark (U+2581) starts with it, so all paths meet where a word begins; the distinct words of a batch are searched once.
+The best segmentation of a text under a vocabulary's piece scores is found left to right. Scores are kept of a window of
+positions no longer than the longest piece. As soon as the paths of all surviving positions pass one boundary, the ids
+before it are committed and forgotten, so that what is held is bounded by the longest stretch without such a boundary,
+not by the text. Every piece of the vocabulary that holds a word mark (U+2581) starts with it, so that all paths meet
+where a word begins and the window is committed there at the latest. What is committed from one such place to the next
+depends on the characters between alone: a worker remembers a bounded number of these runs.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from .tokens import batches_of
 MARK = "▁"
 #: How far below the lowest score an unknown character is put.
 UNKNOWN_PENALTY = 10.0
-#: Words remembered by a worker between batches (some 250 MB).
-MEMORY = 1_000_000
+#: Runs remembered by a worker between batches (some 250 MB), and the characters of one at most.
+MEMORY, RUN = 1_000_000, 64
 SCHEMA = "doc_id long, n_ids long, ids_crc32 long, n_chars long, decoded_crc32 long, round_trip boolean"
 
 
@@ -54,78 +55,89 @@ class Vocabulary:
         return [self.bytes[b] for b in char.encode()] if len(self.bytes) == 256 else [self.unknown]
 
 
-def stream(chars: Iterator[str] | str, v: Vocabulary) -> Iterator[list[int]]:
-    """Runs of ids of the best segmentation, each as soon as no later character can change it.
+def stream(text: str, v: Vocabulary, memory: dict[str, tuple[bytes, str]] | None = None) -> Iterator[tuple[bytes, str]]:
+    """(little-endian uint32 ids, decoded text with its word marks) of each run of the best segmentation of an escaped
+    text, as soon as no later character can change it.
 
-    Of equal scores the one whose last piece is longest wins, which makes the result unique.
+    Of equal scores the one whose last piece is longest wins, which makes the result unique. Runs between places where all
+    paths meet are taken from ``memory``, and put there up to MEMORY.
     """
-    longest, score = v.longest, v.score
-    window = ""  # the characters since the oldest position kept
-    best: list[float] = [0.0]  # best score at each kept position
-    back: list[tuple[int, int] | None] = [None]  # (length of the last piece, its id or -1) at each kept position
-    base = 0  # positions in the window before base are committed
-    for c in chars:
-        window += c
-        end = len(window)
-        top, piece = best[end - 1] + v.penalty, (1, -1)
-        for n in range(1, min(longest, end - base) + 1):
-            found = score.get(window[end - n :])
-            if found is not None and best[end - n] + found[0] >= top:
-                top, piece = best[end - n] + found[0], (n, found[1])
-        best.append(top)
-        back.append(piece)
-        if end - base >= 2 * longest:
-            meet = _meeting(back, max(base, end - longest + 1), end, base)
+    coded = lambda ids: (np.array(ids, "<u4").tobytes(), decode_raw(ids, v))
+    at = 0
+    while at < len(text):
+        end = _next_word(text, at) if v.mark_leads else len(text)
+        run = text[at:end]
+        known = memory.get(run) if memory is not None else None
+        runs = [known] if known is not None else map(coded, committed(run, v))
+        if known is None and memory is not None and len(run) < RUN and len(memory) < MEMORY:
+            runs = list(runs)
+            memory[run] = b"".join(ids for ids, _ in runs), "".join(d for _, d in runs)
+        yield from runs
+        at = end
+
+
+def _next_word(text: str, at: int) -> int:
+    """Where the next run of marks begins after the word at ``at``."""
+    while at < len(text) and text[at] == MARK:
+        at += 1
+    end = text.find(MARK, at)
+    return len(text) if end < 0 else end
+
+
+def committed(text: str, v: Vocabulary) -> Iterator[list[int]]:
+    """The ids of the best segmentation, each list as soon as all surviving paths share its end."""
+    get, longest, n = v.prefixes.get, v.longest, len(text)
+    base, check = 0, 2 * longest  # what is before base is committed
+    best: list[float] = [0.0]  # from base on
+    back: list[tuple[int, int]] = [(0, -1)]  # (length of the last piece, its id, or -1 for an unknown character)
+    for i in range(n):
+        here = best[i - base]
+        if i + 1 - base == len(best):
+            best.append(-np.inf)
+            back.append((1, -1))
+        if here + v.penalty > best[i + 1 - base]:
+            best[i + 1 - base], back[i + 1 - base] = here + v.penalty, (1, -1)
+        for j in range(i + 1, min(n, i + longest) + 1):
+            found = get(text[i:j])
+            if found is None:
+                break
+            while j - base >= len(best):
+                best.append(-np.inf)
+                back.append((1, -1))
+            if found[1] >= 0 and here + found[0] > best[j - base]:
+                best[j - base], back[j - base] = here + found[0], (j - i, found[1])
+        if i + 1 - base >= check:
+            # Survivors: the next position, and what longer pieces have reached already.
+            meet = base + _meeting(back, i + 1 - base, best)
             if meet > base:
-                yield _path(window, back, base, meet, v)
-                window, best, back = window[meet:], [x - best[meet] for x in best[meet:]], [None, *back[meet + 1 :]]
-                base = 0
-    if window:
-        yield _path(window, back, base, len(window), v)
-
-
-def _meeting(back: list, lo: int, hi: int, base: int) -> int:
-    """The last boundary that the best paths to all positions lo..hi pass."""
-    points = set(range(lo, hi + 1))
+                yield _path(text, back, base, meet, v)
+                best, back = best[meet - base :], back[meet - base :]
+                base, check = meet, 2 * longest
+            else:
+                check *= 2
+    if base < n:
+        yield _path(text, back, base, n, v)
+
+
+def _meeting(back: list[tuple[int, int]], now: int, best: list[float]) -> int:
+    """The last boundary that the best paths to ``now`` and to all positions reached beyond it pass."""
+    points = {now} | {k - back[k][0] for k in range(now + 1, len(back)) if best[k] > -np.inf}
     while len(points) > 1:
         last = max(points)
         points.discard(last)
         points.add(last - back[last][0])
-        if min(points) <= base:
-            return base
     return points.pop()
 
 
-def _path(window: str, back: list, base: int, end: int, v: Vocabulary) -> list[int]:
+def _path(text: str, back: list[tuple[int, int]], base: int, end: int, v: Vocabulary) -> list[int]:
     parts = []
     while end > base:
-        n, i = back[end]
-        parts.append([i] if i >= 0 else v.unknown_ids(window[end - n : end]))
+        n, i = back[end - base]
+        parts.append([i] if i >= 0 else v.unknown_ids(text[end - n : end]))
         end -= n
     return [i for p in reversed(parts) for i in p]
 
 
-def in_one_window(word: str, v: Vocabulary) -> list[int]:
-    """As ``stream`` for a text no longer than its window, forward from each position while a piece may still begin so."""
-    n, get = len(word), v.prefixes.get
-    best, back = [0.0] + [-np.inf] * n, [(0, -1)] * (n + 1)
-    for i in range(n):
-        here = best[i]
-        if here + v.penalty > best[i + 1]:
-            best[i + 1], back[i + 1] = here + v.penalty, (1, -1)
-        for j in range(i + 1, n + 1):
-            found = get(word[i:j])
-            if found is None:
-                break
-            if found[1] >= 0 and here + found[0] > best[j]:
-                best[j], back[j] = here + found[0], (j - i, found[1])
-    return _path(word, back, 0, n, v)
-
-
-def segment(text: str, v: Vocabulary) -> list[int]:
-    return in_one_window(text, v) if len(text) < 2 * v.longest else [i for run in stream(text, v) for i in run]
-
-
 def escaped(text: str) -> str:
     """Spaces as word marks, one mark before the text; an empty text stays empty."""
     return MARK + text.replace(" ", MARK) if text else ""
@@ -150,41 +162,18 @@ def decode(ids: list[int], v: Vocabulary) -> str:
 
 @functools.lru_cache(maxsize=1)
 def _worker(path: str):
-    """The vocabulary and the words that this worker remembers: word -> (ids as bytes, decoded word)."""
+    """The vocabulary and the runs that this worker remembers."""
     return Vocabulary(path), {}
 
 
-def words(text: str) -> list[str]:
-    """The escaped text cut before each run of marks; all segmentations have a boundary there."""
-    parts = escaped(text).split(MARK)
-    out, marks = [parts[0]] if parts[0] else [], 0
-    for p in parts[1:]:
-        marks += 1
-        if p:
-            out.append(MARK * marks + p)
-            marks = 0
-    return [*out, MARK * marks] if marks else out
-
-
 def encode_all(texts: list[str | None], path: str) -> list[tuple[bytes, str]]:
     """(little-endian uint32 ids, decoded text) of each text."""
     v, memory = _worker(path)
     out = []
     for text in texts:
-        pieces = words(text or "") if v.mark_leads else [escaped(text or "")]
-        ids, back = [], []
-        for w in pieces:
-            found = memory.get(w)
-            if found is None:
-                coded = segment(w, v)
-                found = np.array(coded, "<u4").tobytes(), "".join(v.text_of[i] for i in coded) if all(i in v.text_of for i in coded) else decode_raw(coded, v)
-                if len(w) < 64:
-                    if len(memory) < MEMORY:
-                        memory[w] = found
-            ids.append(found[0])
-            back.append(found[1])
-        decoded = "".join(back).replace(MARK, " ")
-        out.append((b"".join(ids), decoded[1:] if decoded[:1] == " " else decoded))
+        runs = list(stream(escaped(text or ""), v, memory))
+        decoded = "".join(d for _, d in runs).replace(MARK, " ")
+        out.append((b"".join(ids for ids, _ in runs), decoded[1:] if decoded[:1] == " " else decoded))
     return out
 
 

@@ -46,7 +46,7 @@ def frame(spark, rows):
 
 
 def test_packing_holds_every_id_once(spark, whole):
-    pieces = packing.pack(frame(spark, ROWS), group_chars=6000).collect()
+    pieces = packing.pack(frame(spark, ROWS), group_bytes=9000).collect()
     docs = collections.Counter()
     for d, t in ROWS:
         ids = np.array([*whole(t), 0], "<u4")
@@ -88,6 +88,19 @@ def test_cost_is_balanced():
     assert max(cost.values()) < 2 * min(cost.values()) or len(cost) < 3
 
 
+def test_rows_without_text_and_equal_rows_are_dealt(spark, monkeypatch):
+    """Null texts and rows that are the same altogether make several groups."""
+    monkeypatch.setattr(packing, "COPIES", 70)
+    nulls = packing.pack(frame(spark, [(i, None) for i in range(1000)]), group_bytes=40_000).collect()
+    equal = packing.pack(frame(spark, [(7, "same text")] * 1000), group_bytes=40_000).collect()
+    for pieces in (nulls, equal):
+        sequences = collections.Counter()
+        for p in pieces:
+            sequences[p.sequence_id >> 32] += p.start == 0
+        assert sum(sequences.values()) == 1000 and len(sequences) >= 9 and max(sequences.values()) < 300
+    assert {p.doc_id for p in nulls} == set(range(1000)) and sum(p.length for p in equal) == 1000 * equal[0].doc_tokens
+
+
 def test_empty_tables(spark, tmp_path):
     assert packing.pack(frame(spark, [])).collect() == []
     assert token_files.read_shards(token_files.write_shards(frame(spark, []), f"file://{tmp_path}/e")).collect() == []
@@ -180,7 +193,7 @@ def test_viterbi_equals_the_library(vocabulary, sf):
     words = sorted({w for t in texts for w in (t or "").split()})[:3000] + ["日本", "aaaaaaaaaaaaaaa", "x😀y"]
     worse = 0
     for t in words:
-        mine = sentencepiece_codec.segment(sentencepiece_codec.escaped(t), vocabulary)
+        mine = streamed(sentencepiece_codec.escaped(t), vocabulary)
         theirs = library.nbest_encode(t, nbest_size=2, out_type=int)[0]
         if mine != theirs:  # equal scores may be cut differently; the score may not differ
             value = lambda ids: sum(library.get_score(i) for i in ids)
@@ -198,11 +211,50 @@ def test_decoding_gives_the_text(text):
     assert sentencepiece_codec.decode(np.frombuffer(ids, "<u4").tolist(), v) == text
 
 
-@given(st.text(st.sampled_from("▁abcinotse😀"), max_size=30))
+def streamed(text, v, memory=None):
+    return np.frombuffer(b"".join(ids for ids, _ in sentencepiece_codec.stream(text, v, memory)), "<u4").tolist()
+
+
+def whole_search(text, v):
+    """The best segmentation with every position kept to the end; of equal scores the longest last piece."""
+    best, back = [0.0], [(0, -1)]
+    for j in range(1, len(text) + 1):
+        top, found = -np.inf, (1, -1)
+        for n in range(min(j, v.longest), 0, -1):
+            score, i = v.score.get(text[j - n : j], (-np.inf, -1))
+            if n == 1 and best[j - 1] + v.penalty > max(top, best[j - 1] + score):
+                score, i = v.penalty, -1
+            if best[j - n] + score > top:
+                top, found = best[j - n] + score, (n, i)
+        best.append(top)
+        back.append(found)
+    out, j = [], len(text)
+    while j:
+        n, i = back[j]
+        out.append([i] if i >= 0 else v.unknown_ids(text[j - n : j]))
+        j -= n
+    return [i for part in reversed(out) for i in part]
+
+
+@given(st.text(st.sampled_from("▁abcinotse😀"), max_size=200))
 @settings(max_examples=300, deadline=None)
-def test_one_window_equals_the_stream(text):
+def test_stream_equals_a_search_of_the_whole_text(text):
     v = sentencepiece_codec._worker(MODEL)[0]
-    assert sentencepiece_codec.in_one_window(text, v) == [i for run in sentencepiece_codec.stream(text, v) for i in run]
+    assert streamed(text, v) == whole_search(text, v)
+    memory = {}
+    assert streamed(text, v, memory) == streamed(text, v, memory)
+
+
+def test_the_window_is_bounded(vocabulary, sf):
+    """Without marks too the search holds a few lengths of the longest piece, on long runs of letters and on documents."""
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 20_000)), "ab" * 10_000, "日本語" * 3000]
+    texts += ["".join((t or "").split())[:20_000] for t in pq.read_table(f"{sf}/documents.parquet").column("text").to_pylist()[:40]]
+    for t in texts:
+        sizes = [len(decoded) for decoded in (sentencepiece_codec.decode_raw(ids, vocabulary) for ids in sentencepiece_codec.committed(t, vocabulary))]
+        assert sum(sizes) == len(t) and max(sizes) <= 8 * vocabulary.longest
 
 
 def test_stream_commits_before_the_end_and_equals_one_window(vocabulary):
@@ -216,7 +268,7 @@ def test_stream_commits_before_the_end_and_equals_one_window(vocabulary):
             if piece and best[i] + piece[0] > best[j]:
                 best[j] = best[i] + piece[0]
     scores = {i: s for s, i in vocabulary.score.values()}
-    assert abs(sum(scores[i] for r in runs for i in r) - best[-1]) < 1e-6
+    assert abs(sum(scores[i] for r, _ in runs for i in np.frombuffer(r, "<u4").tolist()) - best[-1]) < 1e-6
 
 
 def test_codec_rows(spark):
