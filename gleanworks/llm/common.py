@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +58,17 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+def fitted(spark: SparkSession, name: str, fit: Callable[[SparkSession], dict], version: str) -> dict:
+    """What ``fit`` returns (JSON values), fitted once for each ``version`` and kept in the shared folder."""
+    path = f"{shared_dir(spark)}/gleanworks-models/{name}-{hashlib.sha256(version.encode()).hexdigest()[:16]}"
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        model = json.dumps(fit(spark))
+        spark.createDataFrame([(model,)], "model string").coalesce(1).write.mode("overwrite").text(path)
+        return json.loads(model)
+    return json.loads(spark.read.text(path, wholetext=True).first().value)
+
+
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) for every node of ``edges(a, b)``; component is the smallest node reachable.
 
