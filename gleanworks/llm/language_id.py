@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-#: The bound of the training sample: so many documents a language, so many characters of each, so large a dictionary.
-SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 800, 1500, 262_144
+#: The bound of the training sample: so many documents a language, a stretch of so many characters of each, so large a
+#: dictionary; and the bytes of all dictionaries, which languages share evenly where they are many.
+SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES, ALL_BYTES = 800, 320, 262_144, 67_108_864
 #: Bytes of text compressed at once: each piece can refer to the whole dictionary.
 PIECE = 8192
 LEVEL = 9
@@ -40,17 +41,24 @@ def learn(docs: DataFrame) -> dict[str, bytes]:
     """
     usable = docs.where(F.col("text").isNotNull() & (F.trim("text") != "") & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     # A uniform hash thins each language to a few times the sample before ranks are given, so that no task ranks many rows.
-    counts = usable.groupBy("lang").agg(F.count("*").alias("n")).collect()  # one row a language
-    if not counts:
+    counts = usable.groupBy("lang").agg(F.count("*").alias("n"))
+    n_langs = counts.count()
+    if not n_langs:
         return {}
-    bound = F.create_map(*(F.lit(x) for r in counts for x in (r.lang, min(2**63 - 1, 4 * SAMPLE_DOCS * 2**63 // r.n))))
-    hashed = usable.select("lang", "doc_id", "text", F.xxhash64("doc_id", "text").alias("h")).where(F.col("h").bitwiseAND(F.lit(2**63 - 1)) <= bound[F.col("lang")])
+    docs_each = max(1, min(SAMPLE_DOCS, ALL_BYTES // (n_langs * SAMPLE_CHARS)))
+    bytes_each = min(DICTIONARY_BYTES, ALL_BYTES // n_langs)
+    h = F.xxhash64("doc_id", "text")
+    bound = F.least(F.lit(float(2**63)), F.lit(4.0 * docs_each * 2**63) / F.col("n"))
+    hashed = usable.join(counts, "lang").withColumn("h", h).where(F.col("h").bitwiseAND(F.lit(2**63 - 1)).cast("double") <= bound)
+    # A stretch from anywhere in the text, where the hash says.
+    start = F.pmod(F.xxhash64("h"), F.greatest(F.length("text") - SAMPLE_CHARS + 1, F.lit(1))).cast("int") + 1
+    stretch = hashed.select("lang", "doc_id", "h", F.substr("text", start, F.lit(SAMPLE_CHARS)).alias("text"))
     order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    sample = hashed.withColumn("k", F.row_number().over(order)).where(F.col("k") <= SAMPLE_DOCS)
+    sample = stretch.withColumn("k", F.row_number().over(order)).where(F.col("k") <= docs_each)
     found: dict[str, list[str]] = {}
-    for r in sample.select("lang", "k", F.substring("text", 1, SAMPLE_CHARS).alias("text")).orderBy("lang", "k").collect():
+    for r in sample.select("lang", "text").orderBy("lang", "k").toLocalIterator():  # at most ALL_BYTES characters
         found.setdefault(r.lang, []).append(r.text.lower())
-    return {lang: "\n".join(dict.fromkeys(texts)).encode()[:DICTIONARY_BYTES] for lang, texts in found.items()}
+    return {lang: "\n".join(dict.fromkeys(texts)).encode()[:bytes_each] for lang, texts in found.items()}
 
 
 def _predictor(dictionaries):
@@ -85,12 +93,12 @@ def _predictor(dictionaries):
 
 def predict_language(docs: DataFrame, train: DataFrame) -> DataFrame:
     """(row, lang_pred, score, rejected): row is a struct of all columns of ``docs``; its ``text`` alone decides, and score
-    is the margin, 0 to 1.
+    is the margin, 0 to 1. Whole texts are compressed, however long.
 
     A text that is null or has no letter is ``und`` with score 0 and rejected. Equal sizes go to the first language in
     order, with score 0, rejected. Columns of any name pass in the struct.
     """
-    dictionaries = docs.sparkSession.sparkContext.broadcast(learn(train))  # at most DICTIONARY_BYTES a language
+    dictionaries = docs.sparkSession.sparkContext.broadcast(learn(train))  # at most ALL_BYTES
     rows = docs.select(F.struct("*").alias("row"))
     schema = T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
     return rows.mapInArrow(_predictor(dictionaries), schema)
