@@ -9,12 +9,16 @@ are compiled to CASE expressions that run inside the row, so scanning needs no s
 from __future__ import annotations
 
 import functools
+import inspect
+import sys
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import fitted
+
 #: Shapes of candidates. Whole private keys, forms of known keys, a value after a name that suggests one,
 #: passwords in addresses, tokens after the scheme of a header, then long runs.
 PEM = r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----[\s\S]*?-----(?:END [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----)?"
@@ -29,12 +33,14 @@ NAMED = rf"{_HEAD}(?:\"(?:{SCHEME})?(?!-----BEGIN)[^\"\r\n]+(?:(?<=\\)\"[^\"\r\n
 _USER = r"://[^\s/:@?#\"'<>]*+:"
 ADDRESS = rf"{_USER}[^\s/\"'<>]+(?=@)"
 HEADER = r"\b(?i:bearer|basic)[ \t]++[A-Za-z0-9._~+/-]{8,}={0,2}"
-LONG = r"\b(?:[0-9a-f]{32,}|[0-9A-F]{32,}|(?=[A-Za-z+/_-]{0,80}[0-9])[A-Za-z0-9+/_-]{32,}={0,2})"
+LONG = r"\b(?:[0-9a-f]{32,}|[0-9A-F]{32,}|[A-Za-z0-9+/_-]{32,}={0,2})"
 CANDIDATE = f"{PEM}|{KNOWN}|{NAMED}|{ADDRESS}|{HEADER}|{LONG}"
+#: A long run without a digit, a name or a path, is no candidate.
+NO_DIGIT = r"^[A-Za-z+/_-]{32,}={0,2}$"
 #: What precedes the value inside a candidate.
 PREFIX = rf"^(?:{_HEAD}[\"']?(?:{SCHEME})?|{_USER}|(?i:bearer|basic)[ \t]++)"
 #: Words whose presence in a candidate speaks for prose, code or placeholders.
-DICTIONARY = "the and for with this that your from have are not you all can example sample test demo dummy fake placeholder changeme change password secret token key value default none null true false user name admin login here insert enter xxxx todo string config file path home usr local src main index http https www com org html json data table column function return class import order number version release build commit branch merge".split()
+DICTIONARY = "the and for with this that your from have are not you all can example sample test demo dummy fake placeholder changeme change password secret token key value default none null true false user name admin login here insert enter xxxx todo string config file path home usr local src main index http https www com org html json data table column function return class import order number version release build commit branch merge about after again before being between could every first found great house large left light never other people place right second should small still their there these thing think three under water where which while world would write year".split()
 INNOCENT = r"(?i)(?<![\w.@-])(?:example|sample|placeholder|dummy|checksum|digest|sha-?(?:1|256|512)|md5|commit|uuid|revision|etag|fingerprint|hash)(?![\w@-]|\.\w)"
 GUILTY = rf"(?i)(?:{NAMES})"
 CONTEXT = 40
@@ -68,7 +74,10 @@ def features(c: Column) -> dict[str, Column]:
         "known": flag(c["match"].rlike(f"^(?:{KNOWN})")),
         "assigned": flag(c["match"].rlike(PREFIX)),
         "innocent": flag(F.concat(c["before"], F.lit(" "), F.substring(c["match"], 1, 24)).rlike(INNOCENT)),
+        "innocent_after": flag(c["after"].rlike(rf"^[^\n]{{0,3}}\s?[^\n]{{0,16}}?{INNOCENT}")),
         "guilty": flag(c["before"].rlike(GUILTY)),
+        "guilty_after": flag(c["after"].rlike(GUILTY)),
+        "words_after": flag(c["after"].rlike(r"^[\"']?,?\s+\p{Ll}+\s+\p{Ll}+")),
         "pem": flag(c["match"].rlike("^-----BEGIN")),
         "address": flag(F.concat(c["match"], F.lit("@")).rlike(r"://[^\s/:@]*+:[^\s/@]+@")),
         "scheme": flag(c["match"].rlike(r"^[^\n]{0,60}?(?i:bearer|basic)[ \t]")),
@@ -100,7 +109,8 @@ def candidates(text: Column) -> Column:
 
         zipped = F.zip_with(found, F.slice(parts, 1, F.greatest(F.size(found), F.lit(1))), lambda m, p: F.struct(F.coalesce(m, F.lit("")).alias("match"), F.coalesce(p, F.lit("")).alias("part")))
         empty = F.expr("CAST(array() AS array<struct<match:string,value:string,before:string,after:string,start:int,end:int>>)")
-        return F.aggregate(F.filter(zipped, lambda z: z["match"] != ""), F.struct(F.lit(0).alias("at"), empty.alias("done")), step)["done"]
+        done = F.aggregate(F.filter(zipped, lambda z: z["match"] != ""), F.struct(F.lit(0).alias("at"), empty.alias("done")), step)["done"]
+        return F.filter(done, lambda c: ~c["match"].rlike(NO_DIGIT))
 
     none = F.expr("CAST(array() AS array<struct<match:string,value:string,before:string,after:string,start:int,end:int>>)")
     pair = F.struct(found.alias("f"), parts.alias("p"))
@@ -126,13 +136,17 @@ def training_findings(spark: SparkSession, rows: int = TRAINING_ROWS) -> DataFra
     label = pick(2, 41)
     innocent = choose(["sha256 checksum of the file is", "commit", "md5", "revision", "uuid", "digest:", "see example", "sample hash"], 42)
     plain = choose(["we found", "it uses the", "set", "const", "export", "and then", "", "le des", "die der", "el que"], 43)
+    # What follows says as much of a digest as what precedes it, and little of a secret.
+    verdict = F.concat(choose([" (", ", ", " is the ", " as ", " # ", "  "], 121), choose(["sha256", "md5", "checksum", "commit", "revision", "fingerprint", "uuid", "example", "sample hash", "digest"], 122), choose([")", ".", " of it", ""], 123))
+    follows = F.concat(choose(["", " ", "\n", ", ", ". ", "\" ", "'\n"], 124), choose(["", "and then we went on", "in production", "do not share it", "la casa", "und weiter", "des autres", "user = app", "password below", "return 1", "is in the list"], 125))
+    beside = pick(3, 126)
     name = choose(["password", "secret", "token", "api_key", "access-key", "client_secret", "auth_token"], 44)
     base = spark.range(rows).select("id", label.alias("label"), F.when(label == 1, of(bad, 45)).otherwise(of(good, 46)).alias("value"), pick(len(good), 46).alias("kind"), pick(4, 47).alias("form"))
     # Innocent digests stand beside a word that says so; other innocent values are in assignments as often as secrets.
     digest_like = (F.col("label") == 0) & F.col("kind").isin(4, 5, 6)
     named = ~digest_like & (F.col("form") > 0)
     head = F.concat(name, choose([" = \"", "=", ": ", ":"], 48))
-    long = base.where("id % 2 = 1").select(F.when(named, F.concat(head, "value")).otherwise(F.col("value")).alias("match"), "value", F.when(digest_like | ((F.col("label") == 0) & ~named), F.concat(innocent, F.lit(" "))).otherwise(F.concat(plain, F.lit(" "))).alias("before"), F.lit("").alias("after"), F.col("label").cast("double").alias("label"))
+    long = base.where("id % 2 = 1").select(F.when(named, F.concat(head, "value")).otherwise(F.col("value")).alias("match"), "value", F.when((digest_like | ((F.col("label") == 0) & ~named)) & (beside != 1), F.concat(innocent, F.lit(" "))).otherwise(F.concat(plain, F.lit(" "))).alias("before"), F.when((digest_like | ((F.col("label") == 0) & ~named)) & (beside > 0), verdict).otherwise(follows).alias("after"), F.col("label").cast("double").alias("label"))
 
     digits = lambda lo, hi, salt: cut(F.translate(digest(salt), "abcdef", "135790"), size(lo, hi, salt))
     own = lambda salt: choose(["hunter", "tiger", "dragon", "monkey", "orange", "window", "river", "summer", "shadow", "pass", "secret", "blue"], salt)
@@ -171,8 +185,8 @@ def training_findings(spark: SparkSession, rows: int = TRAINING_ROWS) -> DataFra
     ]
     kind = pick(len(pairs), 113)
     side = lambda part: F.when(label == 1, functools.reduce(lambda rest, k: F.when(kind == k, pairs[k][0][part]).otherwise(rest), range(1, len(pairs)), pairs[0][0][part])).otherwise(functools.reduce(lambda rest, k: F.when(kind == k, pairs[k][1][part]).otherwise(rest), range(1, len(pairs)), pairs[0][1][part]))
-    made = spark.range(rows).where("id % 2 = 0").select(side(0).alias("head"), side(1).alias("value"), F.concat(plain, F.lit(" ")).alias("before"), label.cast("double").alias("label"))
-    return long.union(made.select(F.concat("head", "value").alias("match"), "value", "before", F.lit("").alias("after"), "label"))
+    made = spark.range(rows).where("id % 2 = 0").select(side(0).alias("head"), side(1).alias("value"), F.concat(plain, F.lit(" ")).alias("before"), follows.alias("after"), label.cast("double").alias("label"))
+    return long.union(made.select(F.concat("head", "value").alias("match"), "value", "before", "after", "label"))
 
 
 def train_forest(spark: SparkSession) -> list[dict]:
@@ -209,9 +223,10 @@ def scan(docs: DataFrame, threshold: float = 0.5, text: str = "text", into: str
     """``docs`` with an array of struct(start, end, value, match, score, secret) of all candidates, in text order.
 
     Offsets are code points of the value, end exclusive; ``secret`` is the forest's verdict. A null or empty text has no
-    candidates. Any other column is passed on.
+    candidates; a very long one is scanned whole. Any other column is passed on. The forest is fitted once and kept in the
+    shared folder.
     """
-    trees = train_forest(docs.sparkSession)
+    trees = fitted(docs.sparkSession, "secret-forest", lambda spark: {"trees": train_forest(spark)}, inspect.getsource(sys.modules[__name__]))["trees"]
     judged = lambda c: F.element_at(F.transform(F.array(F.struct(*(x.alias(n) for n, x in features(c).items()))), lambda f: forest_score(trees, f)), 1)
     scored = F.transform(candidates(F.col(text)), lambda c: F.struct(c["start"].cast("long").alias("start"), c["end"].cast("long").alias("end"), c["value"].alias("value"), c["match"].alias("match"), judged(c).alias("score")))
     return docs.withColumn(into, F.transform(scored, lambda c: F.struct(c["start"], c["end"], c["value"], c["match"], c["score"], (c["score"] >= threshold).alias("secret"))))
