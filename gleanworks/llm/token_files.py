@@ -36,6 +36,8 @@ MAGIC = b"GWTOKEN1"
 CHUNK = 65_536
 NULL_ID = -(2**63)
 LEVEL = 3
+#: Bytes of text in a shard, fewer where there would be fewer shards than shuffle partitions; the most shards.
+SHARD_BYTES, LEAST_BYTES, MAX_SHARDS = 256_000_000, 4_000_000, 50_000
 MANIFEST = "shard long, path string, n_docs long, n_ids long, n_bytes long"
 DOCUMENTS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -154,7 +156,8 @@ def write_shards(docs: DataFrame, out_dir: str, path: str | None = None, end_id:
     executors); the manifest (shard, path, n_docs, n_ids, n_bytes), whose shards ascend by doc_id.
 
     Null texts are empty; each document ends with ``end_id``. Null doc_ids come first. Rows that repeat a doc_id are
-    documents of their own, ordered by text. Other columns are ignored. An empty table gives an empty manifest.
+    documents of their own, ordered by text; equal rows are alike. Whole texts are written, however long. The number of
+    shards follows from the size of the texts. Other columns are ignored. An empty table gives an empty manifest.
     """
     path = path or public_tokenizers.path("byte_bpe_50k.json")
     scratch = scratch or Scratch(docs.sparkSession, "tokens")
@@ -181,7 +184,10 @@ def write_shards(docs: DataFrame, out_dir: str, path: str | None = None, end_id:
             yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [f"{out_dir}/{name}"], "n_docs": [len(writer.doc_ids)], "n_ids": [n_ids], "n_bytes": [n_bytes]})
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ordered = docs.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    least = min(-(-size // LEAST_BYTES), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    shards = min(MAX_SHARDS, max(1, least, -(-size // SHARD_BYTES)))
+    ordered = docs.repartitionByRange(shards, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     return scratch.write(ordered.mapInArrow(write, MANIFEST), "manifest")
 
 
