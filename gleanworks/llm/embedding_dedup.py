@@ -37,8 +37,9 @@ MIN_BITS, MAX_BITS = 10, 30
 RADIUS = 0.6
 #: Buckets of at most so many members give pairs.
 SMALL = 16
-#: Numbers in the vectors of a block.
-BLOCK_NUMBERS = 2**18
+#: Numbers in the vectors of a block; buckets of more than FEW members are dealt to SPREAD blocks at least where each gets
+#: so many, so that one bucket keeps several tasks busy.
+BLOCK_NUMBERS, FEW, SPREAD = 2**18, 128, 8
 
 
 class Codes:
@@ -160,7 +161,9 @@ def _block_linker(threshold: float):
 def _in_blocks(rows: DataFrame, reps: DataFrame, keys: DataFrame, width: int, threshold: float, scratch: Scratch) -> DataFrame:
     """Links within large buckets ``rows(key, rep)``: each bucket is dealt to blocks, each pair of blocks is one group."""
     size = max(64, BLOCK_NUMBERS // width)
-    counts = rows.groupBy("key").agg(F.ceil(F.count("*") / size).cast("long").alias("blocks"))
+    n = F.count("*")
+    blocks = F.greatest(F.ceil(n / size), F.least(F.ceil(n / FEW), F.lit(SPREAD)))
+    counts = rows.groupBy("key").agg(blocks.cast("long").alias("blocks"))
     members = scratch.write(reps.join(keys, "rep").select("rep", "copies", "embedding", "keys"), "members")
     dealt = rows.join(counts, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     units = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep")
