@@ -29,15 +29,15 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id stays; of repeated rows one.
+    """Of each group of near duplicates the text with the smallest doc_id stays; of repeated rows one.
 
-    Documents with a null doc_id stay, as they take no part in linking; rows with one doc_id and different texts are
-    judged apart.
+    Documents with a null doc_id stay, as they take no part in linking. Texts that share a doc_id are judged apart, each in
+    the group that it is linked with; of two such texts in one group one stays.
     """
-    dropped = near_duplicates(docs.select("doc_id", "text")).where("NOT kept").select(F.col("doc_id").alias("d"), F.col("text_id").alias("t")).distinct()
+    stays = near_duplicates(docs.select("doc_id", "text")).where("stays AND doc_id IS NOT NULL").select(F.col("doc_id").alias("d"), F.col("text_id").alias("t")).distinct()
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"))
-    numbered = rows.where("d IS NOT NULL").join(dropped, ["d", "t"], "left_anti").dropDuplicates(["d", "t"])
-    return numbered.unionByName(rows.where("d IS NULL")).select("row.*")
+    kept = rows.where("d IS NOT NULL").join(stays, ["d", "t"], "left_semi").dropDuplicates(["d", "t"])
+    return kept.unionByName(rows.where("d IS NULL")).select("row.*")
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
