@@ -10,13 +10,14 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MATCH_SECONDS = 2.0
@@ -34,10 +35,24 @@ PROTECTED = ("B1", "G1", "P", "B1 kollidierte mit G1", "80 km/h", "um 14.30 Uhr"
 IMPORT_SECONDS, TRIAL_LENGTH = 0.25, 4096
 _WRITTEN_OUT = str.maketrans({"ä": "ae", "ö": "oe", "ü": "ue"})
 _TOKEN = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+#: What may stand between two words of one name, what a value is compared without, shapes of ids and tags.
 _JOIN = regex.compile(r"[\s'’\-]{1,3}")
 _NOISE = regex.compile(r"[\s\-./()]")
-HITS = "array<struct<rule_id:string,tag:string,start:int,end:int,number:int,entry:string,out_start:int>>"
-RESULT = f"text string, hits {HITS}"
+_RULE_ID, _RULE_TAG = r"[a-z0-9][a-z0-9-]{0,63}", r"[A-Z][A-Za-z]{1,31}"
+#: What a text must hold for a mandatory rule to match at all; cheaper to look for.
+_NEEDED = {"license-plate": re.compile(rf"(?:{_CANTONS})[ \-]?[1-9]"), "phone": re.compile(r"\d\d"), "email": re.compile("@")}
+#: Of each value of a rule: contexts shown, characters around it, and the values listed of a rule, the first met.
+CONTEXTS, AROUND, MAX_VALUES = 3, 40, 2000
+HITS = "array<struct<rule_id:string,tag:string,start:int,end:int,number:int,value:string,entry:string,out_start:int>>"
+RESULT = f"text string, hits {HITS}, timed_out string"
+
+
+class SlowRule(TimeoutError):
+    """A rule that took too long over a text."""
+
+    def __init__(self, rule_id: str):
+        super().__init__(rule_id)
+        self.rule_id = rule_id
 
 
 @functools.lru_cache(maxsize=65_536)
@@ -83,6 +98,7 @@ class Scrubber:
         self.rules = rules
         self.compiled = [(rule_id, tag, regex.compile(p)) for rule_id, tag, p in rules.all_patterns]
         self.first, self.last, self.white = (self._index(x) for x in (rules.firstnames, rules.lastnames, rules.whitelist))
+        self.begin = {k.split(" ", 1)[0] for names in (self.first, self.last) for k in names}
         self.longest = max((k.count(" ") + 1 for names in (self.first, self.last) for k in names), default=0)
         self.honorific = regex.compile(r"(?<![\p{L}\p{M}.])(?:" + "|".join(map(regex.escape, sorted(HONORIFICS, key=len, reverse=True))) + r")\s+$", regex.IGNORECASE)
 
@@ -102,9 +118,14 @@ class Scrubber:
         """(start, end, tag, rule, value, list entry) of what is masked, left to right."""
         found = []
         for order, (rule_id, tag, pattern) in enumerate(self.compiled):
-            for m in pattern.finditer(text, timeout=self.rules.seconds):
-                if m.end() > m.start():
-                    found.append((m.start(), -m.end(), order, tag, rule_id, _NOISE.sub("", m[0]).casefold()))
+            if order < len(MANDATORY) and not _NEEDED[rule_id].search(text):
+                continue
+            try:
+                for m in pattern.finditer(text, timeout=self.rules.seconds):
+                    if m.end() > m.start():
+                        found.append((m.start(), -m.end(), order, tag, rule_id, _NOISE.sub("", m[0]).casefold()))
+            except TimeoutError:
+                raise SlowRule(rule_id) from None
         taken, reach = [], 0
         for start, minus_end, _, tag, rule_id, value in sorted(found):
             if start >= reach:
@@ -115,16 +136,19 @@ class Scrubber:
 
     def _names(self, text: str) -> list[tuple[int, int, str, str, str, str | None]]:
         tokens = [(m.start(), m.end(), *spellings(m[0])) for m in _TOKEN.finditer(text)]
-        joined = [bool(_JOIN.fullmatch(text, a[1], b[0])) for a, b in zip(tokens, tokens[1:], strict=False)]
+        joins = lambda i: bool(_JOIN.fullmatch(text, tokens[i][1], tokens[i + 1][0]))
         matches, i = [], 0
         while i < len(tokens):
-            width = next((n for n in range(min(self.longest, len(tokens) - i), 0, -1) if all(joined[i : i + n - 1]) and self._listed(text, tokens[i : i + n])), 0)
+            if tokens[i][2] not in self.begin and tokens[i][3] not in self.begin:
+                i += 1
+                continue
+            width = next((n for n in range(min(self.longest, len(tokens) - i), 0, -1) if all(map(joins, range(i, i + n - 1))) and self._listed(text, tokens[i : i + n])), 0)
             if width:
                 matches.append((i, width, *self._listed(text, tokens[i : i + width])))
             i += width or 1
         out, decided, before = [], {}, None
         for k, (i, n, first, last) in enumerate(matches):
-            touches = lambda x, y: matches[x][0] + matches[x][1] == matches[y][0] and joined[matches[y][0] - 1]
+            touches = lambda x, y: matches[x][0] + matches[x][1] == matches[y][0] and joins(matches[y][0] - 1)
             if first and last:
                 if k + 1 < len(matches) and touches(k, k + 1) and matches[k + 1][3]:
                     tag, key = "Firstname", first
@@ -148,7 +172,7 @@ class Scrubber:
         return first, last
 
     def scrub(self, text: str) -> tuple[str, list[dict]]:
-        """The text with placeholders, numbered per tag by first occurrence of a value, and the hits. Raises TimeoutError
+        """The text with placeholders, numbered per tag by first occurrence of a value, and the hits. Raises SlowRule
         where a pattern takes too long."""
         numbers: dict[str, dict[str, int]] = {}
         parts, hits, at, length = [], [], 0, 0
@@ -157,7 +181,7 @@ class Scrubber:
             number = of_tag.setdefault(value, len(of_tag) + 1)
             mark = f"<{tag}_{number}>"
             parts += [text[at:start], mark]
-            hits.append({"rule_id": rule_id, "tag": tag, "start": start, "end": end, "number": number, "entry": entry, "out_start": length + start - at})
+            hits.append({"rule_id": rule_id, "tag": tag, "start": start, "end": end, "number": number, "value": value, "entry": entry, "out_start": length + start - at})
             length += start - at + len(mark)
             at = end
         return "".join([*parts, text[at:]]), hits
@@ -169,16 +193,25 @@ def _scrubber(rules: Rules) -> Scrubber:
 
 
 def scrubbed(spark: SparkSession, text: Column | str, rules: Rules = Rules()) -> Column:
-    """struct<text, hits> of a text column; a null text stays null."""
+    """struct<text, hits, timed_out> of a text column; a null text stays null. Where a rule takes too long text is null
+    and timed_out names the rule. The column is computed once for each row, however often its fields are used."""
     shared = spark.sparkContext.broadcast(rules)
 
+    def one(work: Scrubber, text: str | None) -> tuple:
+        if text is None:
+            return None, None, None
+        try:
+            return *work.scrub(text), None
+        except SlowRule as e:
+            return None, [], e.rule_id
+
     @F.pandas_udf(RESULT)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         work = _scrubber(shared.value)
         for texts in batches:
-            yield pd.DataFrame([(None, None) if t is None else work.scrub(t) for t in texts], columns=["text", "hits"])
+            yield pd.DataFrame([one(work, t) for t in texts], columns=["text", "hits", "timed_out"])
 
-    return run(text)
+    return run.asNondeterministic()(text)
 
 
 def rule_ids(rules: Rules) -> list[str]:
@@ -198,6 +231,12 @@ def scrub_findings(tally: DataFrame) -> DataFrame:
     return tally.select(F.lit("TEXT_SCRUBBED").alias("code"), F.create_map(F.lit("rule_id"), F.col("rule_id"), F.lit("hits"), text("hits"), F.lit("records"), text("records")).alias("detail"))
 
 
+def scrub_timeouts(results: DataFrame, key: str) -> DataFrame:
+    """TEXT_SCRUB_TIMEOUT, which blocks a freeze, for every text over which a rule took too long: code, key, detail."""
+    slow = results.where(F.col("timed_out").isNotNull())
+    return slow.select(F.lit("TEXT_SCRUB_TIMEOUT").alias("code"), F.col(key).cast("string").alias("key"), F.create_map(F.lit("rule_id"), F.col("timed_out")).alias("detail"))
+
+
 def scrub_totals(results: DataFrame) -> DataFrame:
     """One row: records seen and changed."""
     return results.agg(F.count("*").alias("seen"), F.count_if(F.size("hits") > 0).alias("changed"))
@@ -209,17 +248,32 @@ def entry_tally(results: DataFrame, least: int = 10) -> DataFrame:
     return each.where(F.col("hits") >= least).orderBy(F.desc("hits"), "entry")
 
 
-def scrub_examples(results: DataFrame, key: str, contexts: int = 3, around: int = 40) -> DataFrame:
-    """Per rule and placeholder: hits, records and the first contexts in the masked text, from (key, text, hits)."""
-    h = results.select(key, "text", F.explode("hits").alias("h"))
-    context = F.expr(f"substring(text, greatest(h.out_start - {around}, 0) + 1, {2 * around})")
-    rows = h.select(F.col("h.rule_id"), F.concat_ws("_", "h.tag", F.col("h.number").cast("string")).alias("value"), F.struct(F.col(key).alias("k"), F.col("h.start").alias("s"), context.alias("context")).alias("c"), F.col(key).alias("k"))
-    counted = rows.groupBy("rule_id", "value").agg(F.count("*").alias("hits"), F.countDistinct("k").alias("records"))
-    from pyspark.sql import Window
-
-    first = rows.withColumn("n", F.row_number().over(Window.partitionBy("rule_id", "value").orderBy("c"))).where(F.col("n") <= contexts)
-    shown = first.groupBy("rule_id", "value").agg(F.transform(F.sort_array(F.collect_list("c")), lambda c: c["context"]).alias("contexts"))
-    return counted.join(shown, ["rule_id", "value"])
+def scrub_examples(results: DataFrame, key: str, original: str = "original", contexts: int = CONTEXTS, around: int = AROUND, values: int = MAX_VALUES) -> DataFrame:
+    """Per rule and value, from (key, original, text, hits): value, hits, records, other_hits and the first examples,
+    structs of record_key, placeholder, before, matched, after.
+
+    Hits that share a placeholder share a value: list entries, or matches without separators and case; it is shown as it
+    was first met. Only the first values of a rule are listed, and other_hits counts its hits on the others. Texts are met
+    in order of key, hits in order of place.
+    """
+    line = lambda c: F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+    h = results.select(F.col(key).alias("k"), F.col(original).alias("o"), F.col("text").alias("t"), F.explode("hits").alias("h")).select("k", "o", "t", "h.*")
+    placeholder = F.concat(F.lit("<"), F.col("tag"), F.lit("_"), F.col("number").cast("string"), F.lit(">"))
+    end = F.col("out_start") + F.length(placeholder)
+    rows = h.select(
+        "rule_id", "k", F.coalesce("entry", "value").alias("v"), "start", placeholder.alias("placeholder"),
+        line(F.substr("t", F.greatest(F.col("out_start") - around, F.lit(0)) + 1, F.least(F.lit(around), F.col("out_start")))).alias("before"),
+        line(F.substr("o", F.col("start") + 1, F.col("end") - F.col("start"))).alias("matched"), line(F.substr("t", end + 1, F.lit(around))).alias("after"),
+    )
+    each = rows.groupBy("rule_id", "v").agg(F.count("*").alias("hits"), F.countDistinct("k").alias("records"), F.min(F.struct("k", "start", "matched")).alias("first"))
+    listed = each.withColumn("n", F.row_number().over(Window.partitionBy("rule_id").orderBy("first"))).where(F.col("n") <= values)
+    total = rows.groupBy("rule_id").agg(F.count("*").alias("all_hits"))
+    named = listed.groupBy("rule_id").agg(F.sum("hits").alias("listed_hits")).join(total, "rule_id").select("rule_id", (F.col("all_hits") - F.col("listed_hits")).alias("other_hits"))
+    ranked = rows.withColumn("n", F.row_number().over(Window.partitionBy("rule_id", "v").orderBy("k", "start"))).where(F.col("n") <= contexts)
+    example = F.struct("n", F.col("k").cast("string").alias("record_key"), "placeholder", "before", "matched", "after")
+    shown = ranked.groupBy("rule_id", "v").agg(F.transform(F.sort_array(F.collect_list(example)), lambda x: x.dropFields("n")).alias("examples"))
+    out = listed.join(named, "rule_id").join(shown, ["rule_id", "v"])
+    return out.select("rule_id", F.col("first.matched").alias("value"), "hits", "records", "other_hits", "examples")
 
 
 def check_rules(rules: list[dict], protected: list[str], seconds: float = IMPORT_SECONDS) -> list[tuple[str, str]]:
@@ -227,9 +281,9 @@ def check_rules(rules: list[dict], protected: list[str], seconds: float = IMPORT
     out = []
     for r in rules:
         rule_id = r.get("id", "")
-        if not regex.fullmatch(r"[a-z0-9][a-z0-9-]{0,63}", rule_id):
+        if not regex.fullmatch(_RULE_ID, rule_id):
             out.append((rule_id, "id"))
-        if not regex.fullmatch(r"[A-Z][A-Za-z]{1,31}", r.get("tag", "")):
+        if not regex.fullmatch(_RULE_TAG, r.get("tag", "")):
             out.append((rule_id, "tag"))
         try:
             p = regex.compile(r.get("pattern", ""))

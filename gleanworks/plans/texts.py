@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pandas as pd
+import regex
 from pyspark.sql import functions as F
 
 from ..catalog import query, read
@@ -14,7 +16,7 @@ RULES = Rules(firstnames=("Erin", "Martin", "Onan"), lastnames=("Anan", "Erin",
 
 def _scrubbed(spark, sf, rules=Rules()):
     docs = read(spark, sf, "documents")
-    return docs.select("doc_id", scrub.scrubbed(spark, "text", rules).alias("s")).select("doc_id", "s.text", "s.hits")
+    return docs.select("doc_id", F.col("text").alias("original"), scrub.scrubbed(spark, "text", rules).alias("s")).select("doc_id", "original", "s.text", "s.hits", "s.timed_out")
 
 
 def _hits_of(rule_id: str):
@@ -52,7 +54,92 @@ def scrub_preview(spark, sf):
 
 @query("scrub_examples")
 def scrub_examples(spark, sf):
-    return scrub.scrub_examples(_scrubbed(spark, sf), "doc_id").select("rule_id", "value", "hits", "records", F.array_join("contexts", " / ").alias("contexts"))
+    found = scrub.scrub_examples(_scrubbed(spark, sf), "doc_id")
+    shown = F.transform("examples", lambda e: F.concat_ws(" ", e["record_key"], e["placeholder"], e["before"], e["after"]))
+    return found.select("rule_id", "value", "hits", "records", "other_hits", F.array_join(shown, " / ").alias("examples"))
+
+
+# Texts whose hits follow from the key: a phone number in two spellings, a plate, an address, names.
+_PHONE = "CASE WHEN c_custkey % 3 = 0 THEN '079-123-45-6' ELSE '079 123 45 6' END || (c_custkey % 10)"
+_PLANTED = f"'Am Tag ' || c_custkey || ' rief ' || {_PHONE} || ' an.' || CASE WHEN c_custkey % 4 = 0 THEN ' Wagen SG 12' || (300 + c_custkey % 7) || ' da.' ELSE '' END || CASE WHEN c_custkey % 5 = 0 THEN ' Mail an k' || (c_custkey % 3) || '@post.example.ch bitte.' ELSE '' END || CASE WHEN c_custkey % 6 = 0 THEN ' Anna Meier kam.' WHEN c_custkey % 6 = 1 THEN ' Herr Müller kam.' ELSE '' END"
+_PLANTED_RULES = Rules(firstnames=("Anna",), lastnames=("Meier", "Müller"))
+
+
+def _planted(spark, sf):
+    text = F.expr(_PLANTED.replace("c_custkey", "CAST(c_custkey AS STRING)").replace("CAST(c_custkey AS STRING) %", "c_custkey %"))
+    c = read(spark, sf, "customer").select("c_custkey", text.alias("original"))
+    return c.withColumn("s", scrub.scrubbed(spark, "original", _PLANTED_RULES)).select("c_custkey", "original", "s.text", "s.hits", "s.timed_out")
+
+
+_RULE_HITS = {"license-plate": "c_custkey % 4 = 0", "phone": "true", "email": "c_custkey % 5 = 0", "names-firstname": "c_custkey % 6 = 0", "names-lastname": "c_custkey % 6 <= 1", "names-name": "false"}
+
+
+@query("scrub_tally_planted", " UNION ALL ".join(f"SELECT '{r}' AS rule_id, count(*) FILTER (WHERE {w})::BIGINT AS hits, count(*) FILTER (WHERE {w})::BIGINT AS records FROM customer" for r, w in _RULE_HITS.items()))
+def scrub_tally_planted(spark, sf):
+    return scrub.scrub_tally(_planted(spark, sf), _PLANTED_RULES, "c_custkey")
+
+
+@query("scrub_examples_planted", f"""WITH t AS (SELECT c_custkey AS k, c_custkey % 10 AS d, {_PHONE} AS m FROM customer), g AS (SELECT d, arg_min(m, k) AS value, count(*)::BIGINT AS hits, min(k) AS k FROM t GROUP BY d)
+ SELECT value, hits, hits AS records, (sum(hits) OVER () - sum(CASE WHEN rn <= 4 THEN hits ELSE 0 END) OVER ())::BIGINT AS other_hits, least(hits, 3)::BIGINT AS n_examples, 'Am Tag ' || k || ' rief' AS before, rn FROM (SELECT *, row_number() OVER (ORDER BY k) AS rn FROM g) QUALIFY rn <= 4""".replace(", rn FROM (SELECT", " FROM (SELECT"))
+def scrub_examples_planted(spark, sf):
+    found = scrub.scrub_examples(_planted(spark, sf), "c_custkey", values=4).where("rule_id = 'phone'")
+    return found.select("value", "hits", "records", "other_hits", F.size("examples").cast("long").alias("n_examples"), F.col("examples")[0]["before"].alias("before"))
+
+
+@query("name_tag", """SELECT c_custkey, tag, rule_id FROM (SELECT c_custkey, unnest(CASE WHEN c_custkey % 6 = 0 THEN ['Firstname', 'Lastname'] WHEN c_custkey % 6 = 1 THEN ['Lastname'] ELSE [] END) AS tag FROM customer), (VALUES ('Firstname', 'names-firstname'), ('Lastname', 'names-lastname')) r(t, rule_id) WHERE t = tag""")
+def name_tag(spark, sf):
+    hits = _planted(spark, sf).select("c_custkey", F.explode("hits").alias("h")).where("h.entry IS NOT NULL")
+    return hits.select("c_custkey", F.col("h.tag").alias("tag"), F.col("h.rule_id").alias("rule_id"))
+
+
+@query("scrub_planted", f"""SELECT c_custkey, md5('Am Tag ' || c_custkey || ' rief <Phone_1> an.' || CASE WHEN c_custkey % 4 = 0 THEN ' Wagen <LicensePlate_1> da.' ELSE '' END || CASE WHEN c_custkey % 5 = 0 THEN ' Mail an <Email_1> bitte.' ELSE '' END || CASE WHEN c_custkey % 6 = 0 THEN ' <Firstname_1> <Lastname_1> kam.' WHEN c_custkey % 6 = 1 THEN ' Herr <Lastname_1> kam.' ELSE '' END) AS masked FROM customer""")
+def scrub_planted(spark, sf):
+    return _planted(spark, sf).select("c_custkey", F.md5("text").alias("masked"))
+
+
+@query("scrub_timeout", "SELECT 'TEXT_SCRUB_TIMEOUT' AS code, CAST(n_nationkey AS VARCHAR) AS key, 'slow' AS rule FROM nation WHERE n_nationkey % 6 = 0")
+def scrub_timeout(spark, sf):
+    """A rule that backtracks without end on some texts: they are findings, the others are masked."""
+    rules = Rules(patterns=(("slow", "Slow", r"(?:a|aa)+$"),), seconds=0.2)
+    rows = read(spark, sf, "nation").select("n_nationkey", F.when(F.col("n_nationkey") % 6 == 0, F.concat(F.repeat(F.lit("a"), F.lit(60)), F.lit("!"))).otherwise(F.col("n_name")).alias("t"))
+    found = rows.withColumn("s", scrub.scrubbed(spark, "t", rules)).select("n_nationkey", "s.*")
+    return scrub.scrub_timeouts(found, "n_nationkey").select("code", "key", F.col("detail")["rule_id"].alias("rule"))
+
+
+@query("entry_search", "SELECT n_nationkey, contains(lower(n_name), 'an') AS found FROM nation")
+def entry_search(spark, sf):
+    @F.pandas_udf("boolean")
+    def found(names: pd.Series) -> pd.Series:
+        return names.map(lambda n: bool(scrub.search_entries([n], "ÀN")))
+
+    return read(spark, sf, "nation").select("n_nationkey", found("n_name").alias("found"))
+
+
+@query("scrub_fingerprint", "SELECT n_nationkey, true AS same, true AS other FROM nation")
+def scrub_fingerprint(spark, sf):
+    """The order of a list decides nothing, an entry more does."""
+    @F.pandas_udf("same boolean, other boolean")
+    def compared(names: pd.Series) -> pd.DataFrame:
+        of = lambda *entries: Rules(lastnames=entries).fingerprint()
+        return pd.DataFrame({"same": names.map(lambda n: of(n, "Xy") == of("Xy", n)), "other": names.map(lambda n: of(n) != of(n, "Xy"))})
+
+    return read(spark, sf, "nation").select("n_nationkey", compared("n_name").alias("c")).select("n_nationkey", "c.*")
+
+
+@query("scrub_check_rules", "SELECT r_regionkey, CASE WHEN r_regionkey % 2 = 0 THEN 'must not match: ' || r_name ELSE 'does not compile' END AS problem FROM region")
+def scrub_check_rules(spark, sf):
+    def work(batches):
+        for b in batches:
+            rules = [{"id": "r", "tag": "Tag", "pattern": regex.escape(n) if k % 2 == 0 else "(" + n, "must_not_match": [n]} for k, n in zip(b.r_regionkey, b.r_name, strict=True)]
+            yield pd.DataFrame({"r_regionkey": b.r_regionkey, "problem": ["; ".join(p for _, p in scrub.check_rules([r], [])) for r in rules]})
+
+    return read(spark, sf, "region").select("r_regionkey", "r_name").mapInPandas(work, "r_regionkey int, problem string")
+
+
+@query("scrub_try", "SELECT n_nationkey, 'Tel. <Phone_1>, <Phone_1> ' || n_name AS shown FROM nation")
+def scrub_try(spark, sf):
+    text = F.concat(F.lit("Tel. 079 123 45 67, 079-123-45-67 "), "n_name")
+    return read(spark, sf, "nation").select("n_nationkey", scrub.scrubbed(spark, text).alias("s")).select("n_nationkey", F.col("s.text").alias("shown"))
 
 
 @query("name_match")
@@ -112,3 +199,45 @@ def parse_issues(spark, sf):
 @query("answer_fingerprint", f"SELECT event_id, sha256(concat('{{\"k\":', {_K}, '}}')) AS fingerprint FROM events")
 def answer_fingerprint(spark, sf):
     return read(spark, sf, "events").select("event_id", extraction.answer_fingerprint("props").alias("fingerprint"))
+
+
+@query("canonical_answer", f"SELECT event_id, concat('{{\"a\":', {_K}, ',\"b\":[true]}}') AS canonical FROM events")
+def canonical_answer(spark, sf):
+    @F.pandas_udf("string")
+    def canonical(answers: pd.Series) -> pd.Series:
+        return answers.map(extraction.canonical_answer)
+
+    raw = F.concat(F.lit('{ "b" : [true] , "a" : '), F.get_json_object("props", "$.k"), F.lit(" }"))
+    return read(spark, sf, "events").select("event_id", canonical(raw).alias("canonical"))
+
+
+@query("validate_template", "SELECT r_regionkey, CASE WHEN contains(r_name, ' ') THEN 'malformed' ELSE 'unknown' END AS problem, r_name AS slot, 16::BIGINT AS place FROM region UNION ALL SELECT r_regionkey, 'missing', 'language', -1 FROM region")
+def validate_template(spark, sf):
+    def work(batches):
+        for b in batches:
+            rows = [(k, p, s, at) for k, n in zip(b.r_regionkey, b.r_name, strict=True) for p, s, at in runs.validate_template("{{narrative}} : {{" + n + "}}", {"narrative", "language"}, {"narrative", "language"})]
+            yield pd.DataFrame(rows, columns=["r_regionkey", "problem", "slot", "place"])
+
+    return read(spark, sf, "region").select("r_regionkey", "r_name").mapInPandas(work, "r_regionkey int, problem string, slot string, place long")
+
+
+@query("render_feature_block", "SELECT n_regionkey, '- origin (enum): where from' || chr(10) || string_agg('    ' || n_nationkey || ' = ' || CASE WHEN n_nationkey % 3 = 0 THEN '[no label]' ELSE n_name END, chr(10) ORDER BY n_nationkey) AS block FROM nation GROUP BY 1")
+def render_feature_block(spark, sf):
+    def work(batches):
+        for b in batches:
+            codes = [[{"code": str(c["k"]), "labels": {} if c["k"] % 3 == 0 else {"de": c["n"]}} for c in cs] for cs in b.codes]
+            yield pd.DataFrame({"n_regionkey": b.n_regionkey, "block": [runs.feature_block([{"key": "origin", "value_type": "enum", "description": "where from", "codes": c}], "de") for c in codes]})
+
+    codes = read(spark, sf, "nation").groupBy("n_regionkey").agg(F.sort_array(F.collect_list(F.struct(F.col("n_nationkey").alias("k"), F.col("n_name").alias("n")))).alias("codes"))
+    return codes.mapInPandas(work, "n_regionkey int, block string")
+
+
+@query("output_schema", "SELECT r_regionkey, r_name AS key, CASE WHEN r_regionkey % 2 = 0 THEN 'integer' ELSE 'boolean' END AS first_type FROM region")
+def output_schema(spark, sf):
+    def work(batches):
+        for b in batches:
+            types = ["integer" if k % 2 == 0 else "boolean" for k in b.r_regionkey]
+            schemas = [extraction.output_schema([(n, t)])["properties"]["features"] for n, t in zip(b.r_name, types, strict=True)]
+            yield pd.DataFrame({"r_regionkey": b.r_regionkey, "key": [s["required"][0] for s in schemas], "first_type": [s["properties"][s["required"][0]]["properties"]["value"]["type"][0] for s in schemas]})
+
+    return read(spark, sf, "region").select("r_regionkey", "r_name").mapInPandas(work, "r_regionkey int, key string, first_type string")
