@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,3 +30,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Builder], Builder]:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def scratch_dir(spark: SparkSession, what: str) -> str:
+    """A folder of its own below ``spark.checkpoint.dir``; without that setting, in local mode, a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='gleanworks-')}"
+    return f"{base.rstrip('/')}/gleanworks-{what}-{uuid.uuid4().hex[:12]}"

@@ -7,7 +7,7 @@ stays as its trimmed text, so that it can still be compared and counted.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -43,14 +43,49 @@ def normalise_integer(value: Column) -> Column:
     return F.when(bare.rlike(r"^[+-]?[0-9]+$"), F.when(number == "-0", "0").otherwise(number)).otherwise(strip(value))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+#: Significant digits that a number keeps where no precision is given; exponents of more digits stay text.
+SIGNIFICANT, EXPONENT_DIGITS = 28, 4
+_NUMBER = rf"^([+-]?)(?=\.?[0-9])([0-9]*)\.?([0-9]*)(?:[eE]([+-]?[0-9]{{1,{EXPONENT_DIGITS}}}))?$"
+
+
 def normalise_decimal(value: Column, precision: int | None = 2) -> Column:
-    """Rounded half-even at ``precision`` (None: not at all), written plainly without trailing zeros; other text trimmed."""
+    """Rounded half-even at ``precision`` (None: at 28 significant digits), written plainly without trailing zeros; other
+    text trimmed. Exact for any number of digits: the digits are rounded as text."""
     text = F.translate(strip(value), "," + GROUPING, ".")
-    number = text.try_cast("decimal(38,10)")
-    number = number if precision is None else F.bround(number, precision)
-    plain = F.regexp_replace(F.regexp_replace(number.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    signed = F.when((number == 0) & text.startswith("-"), "-0").otherwise(plain)
-    return F.when(text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$") & number.isNotNull(), signed).otherwise(strip(value))
+    part = lambda k: F.regexp_extract(text, _NUMBER, k)
+    exponent = F.coalesce(part(4).try_cast("int"), F.lit(0))
+    zeros = lambda n: F.repeat(F.lit("0"), F.greatest(n, F.lit(0)))
+
+    def rounded(x: Column) -> Column:
+        """(digits, scale) of struct(d, scale) after the digits to drop are gone."""
+        n = F.length(x["d"])
+        drop = F.greatest(x["scale"] - precision if precision is not None else n - SIGNIFICANT, F.lit(0))
+        keep = F.substr(x["d"], F.lit(1), F.greatest(n - drop, F.lit(0)))
+        rest = F.when(drop > n, F.lit("0")).otherwise(F.substr(x["d"], F.greatest(n - drop, F.lit(0)) + 1))
+        return let(F.struct(F.when(keep == "", "0").otherwise(keep).alias("k"), rest.alias("r"), (x["scale"] - drop).alias("scale")), carried)
+
+    def carried(x: Column) -> Column:
+        first, odd = F.substr(x["r"], F.lit(1), F.lit(1)), F.right(x["k"], F.lit(1)).isin(*"13579")
+        up = (first > "5") | (first == "5") & (F.substr(x["r"], F.lit(2)).rlike("[1-9]") | odd)
+        nines = F.length(F.regexp_extract(x["k"], "9*$", 0))
+        head = F.concat(F.lit("0"), F.substr(x["k"], F.lit(1), F.length(x["k"]) - nines))
+        more = F.concat(F.substr(head, F.lit(1), F.length(head) - 1), F.translate(F.right(head, F.lit(1)), "012345678", "123456789"), zeros(nines))
+        return let(F.struct(F.when(up, more).otherwise(x["k"]).alias("k"), x["scale"].alias("scale")), plain)
+
+    def plain(x: Column) -> Column:
+        digits = F.concat(zeros(x["scale"] + 1 - F.length(x["k"])), x["k"], zeros(-x["scale"]))
+        whole = F.regexp_replace(F.substr(digits, F.lit(1), F.length(digits) - F.greatest(x["scale"], F.lit(0))), "^0+(?=.)", "")
+        fraction = F.regexp_replace(F.right(digits, F.greatest(x["scale"], F.lit(0))), "0+$", "")
+        return F.when(fraction == "", whole).otherwise(F.concat(whole, F.lit("."), fraction))
+
+    number = F.struct(F.regexp_replace(F.concat(part(2), part(3)), "^0+(?=.)", "").alias("d"), (F.length(part(3)) - exponent).alias("scale"))
+    sign = F.when(part(1) == "-", "-").otherwise("")
+    return F.when(text.rlike(_NUMBER), F.concat(sign, let(number, rounded))).otherwise(strip(value))
 
 
 def normalise_date(value: Column) -> Column:

@@ -180,6 +180,28 @@ def qualification_quality(scores: DataFrame, floor: int = 0) -> DataFrame:
     return kept.groupBy("model", "language").agg(F.round(F.avg("f1"), 4).alias("macro_f1"))
 
 
+def qualification_summary(extractions: DataFrame, by: str, failed: Column, tokens: Column, entities: Column) -> DataFrame:
+    """Per model what its answers cost and hold: records, parse_failures, median_tokens (cut to a whole number; null without
+    any), and entity_fill, the share of records with an entity, rounded to 4."""
+    out = extractions.groupBy(by).agg(F.count("*").alias("records"), F.count_if(failed).alias("parse_failures"), F.floor(F.median(tokens)).alias("median_tokens"), F.count_if(entities > 0).alias("_filled"))
+    return out.withColumn("entity_fill", F.round(F.col("_filled") / F.col("records"), 4)).drop("_filled")
+
+
+def run_facts(run: DataFrame, corpora: DataFrame, records: DataFrame, features: DataFrame, rulesets: DataFrame) -> DataFrame:
+    """The header of each run: ``descriptor`` with the fingerprint of its own features, whether its corpus is synthetic and
+    was scrubbed, and the version of the rules; a corpus that is gone has its label and no records."""
+    from .derive import set_fingerprint
+
+    n = records.groupBy("corpus_id").agg(F.count("*").alias("record_count"))
+    config = set_fingerprint(features, "run_id", "fingerprint").withColumnRenamed("set_fingerprint", "config_fingerprint")
+    known = corpora.join(n, "corpus_id", "left").join(rulesets.withColumnRenamed("version", "scrub_version"), "scrub_ruleset_id", "left")
+    out = run.join(known, "corpus_id", "left").join(config, "run_id", "left").fillna(0, ["record_count"])
+    return out.select(
+        *run.columns, F.coalesce("name", F.lit("(corpus removed)")).alias("corpus_label"), "record_count", "config_fingerprint", is_dev(F.col("record_count")).alias("is_dev"),
+        F.coalesce("is_synthetic", F.lit(False)).alias("is_synthetic"), F.col("scrub_fingerprint").isNotNull().alias("scrubbed"), "scrub_version",
+    )
+
+
 def descriptor(run: DataFrame, corpus: DataFrame, records: DataFrame) -> DataFrame:
     """One row per run: its corpus, the record count and whether it is of development size."""
     n = records.groupBy("corpus_id").agg(F.count("*").alias("record_count"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..catalog import query, read
+from ..catalog import query, read, scratch_dir
 from ..functions import stats, text
 from ..operators import ranking, review, runs, scoring
 
@@ -178,12 +178,21 @@ def rank_models_first_group(spark, sf):
     return ranked.select("model", "macro", "macro_low", "macro_high", F.when(F.col("rank") == 1, F.col("rank")).alias("first_group"))
 
 
-@query("rank_models")
+# Groups are peeled off one after another: those that overlap the leader of the rest, its rank one more than those before.
+_RANKED = f"""WITH RECURSIVE m AS (SELECT model, macro, macro_low, macro_high, 1 << (row_number() OVER (ORDER BY macro DESC, model) - 1)::INT AS bit FROM {_MACRO}),
+ step AS (SELECT 0 AS gone, CAST(NULL AS INT) AS ids, 0::BIGINT AS rank UNION ALL
+  SELECT gone | g.ids, g.ids, bit_count(gone)::BIGINT + 1 FROM step, LATERAL (SELECT bit_or(m.bit)::INT AS ids FROM m, (SELECT * FROM m WHERE (m.bit & gone) = 0 ORDER BY m.bit LIMIT 1) lead
+   WHERE (m.bit & gone) = 0 AND (m.bit = lead.bit OR m.macro_low <= lead.macro_high AND m.macro_high >= lead.macro_low)) g WHERE g.ids IS NOT NULL),
+ ranked AS (SELECT model, macro, macro_low, macro_high, rank FROM m JOIN step ON ids IS NOT NULL AND (m.bit & ids) > 0)"""
+
+
+@query("rank_models", f"{_RANKED} SELECT * FROM ranked")
 def rank_models(spark, sf):
     return ranking.rank_models(_macro(spark, sf))
 
 
-@query("ranking_tab")
+@query("ranking_tab", f"""{_RANKED} SELECT r.model, macro, macro_low, macro_high, rank, CASE WHEN rank IS NULL THEN 'nothing scoreable' WHEN rank = 1 AND (SELECT count(*) FROM ranked WHERE rank = 1) = 1 THEN 'best' WHEN rank = 1 THEN 'tied for best' ELSE 'behind' END AS verdict
+ FROM (VALUES ('m0'), ('m1'), ('m2'), ('m3'), ('m9')) r(model) LEFT JOIN ranked USING (model)""")
 def ranking_tab(spark, sf):
     models = spark.createDataFrame([(m,) for m in [*MODELS, "m9"]], "model string")
     return ranking.ranking_tab(models, ranking.rank_models(_macro(spark, sf)), F.lit(False))
@@ -225,9 +234,9 @@ def flag_inconsistency(spark, sf):
     return ranking.flag_inconsistency(_goal2(spark, sf))
 
 
-@query("presence_records", f"SELECT model, feature, record_id, record_value FROM {_CASES} WHERE NOT present AND model = 'm1'")
+@query("presence_records", f"SELECT model, feature, record_id, record_value FROM {_CASES} WHERE NOT present")
 def presence_records(spark, sf):
-    return ranking.presence_records(_named(_cases(spark, sf)).where("model = 'm1'")).select("model", "feature", "record_id", "record_value")
+    return ranking.presence_records(_named(_cases(spark, sf))).select("model", "feature", "record_id", "record_value")
 
 
 @query("reported_metrics", f"SELECT model, round(avg(presence_rate), 9) AS macro_presence FROM ({_GOAL2}) WHERE language = '*' GROUP BY 1")
@@ -324,7 +333,21 @@ def normalise_boolean(spark, sf):
     return read(spark, sf, "orders").select("o_orderkey", text.normalise_boolean(v).alias("v"))
 
 
-@query("normalise_text")
+# k, a fraction of a half at two places and up to nine more digits, which decide the rounding.
+_LONG = "o_orderkey || CASE o_orderkey % 3 WHEN 0 THEN '.005' WHEN 1 THEN '.015' ELSE '.995' END || CASE WHEN o_custkey % 2 = 0 THEN '000000000000' ELSE lpad(o_custkey, 12, '0') END"
+
+
+@query("normalise_decimal_long", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 2 THEN CAST(o_orderkey + 1 AS VARCHAR) WHEN o_orderkey % 3 = 1 THEN o_orderkey || '.02' WHEN o_custkey % 2 = 0 THEN CAST(o_orderkey AS VARCHAR) ELSE o_orderkey || '.01' END AS v, '0.' || repeat('0', 20) || '1' AS tiny FROM orders")
+def normalise_decimal_long(spark, sf):
+    """Halves that digits far behind decide, and a number far below one unrounded."""
+    number = F.expr(_LONG.replace("o_orderkey ||", "CAST(o_orderkey AS STRING) ||").replace("lpad(o_custkey,", "lpad(CAST(o_custkey AS STRING),"))
+    return read(spark, sf, "orders").select("o_orderkey", text.normalise_decimal(number).alias("v"), text.normalise_decimal(F.lit("1e-21"), None).alias("tiny"))
+
+
+_EDGES = text.EDGES.replace("'", "''")
+
+
+@query("normalise_text", f"SELECT doc_id, CASE WHEN trim(f, '{_EDGES}') = '' THEN f ELSE trim(f, '{_EDGES}') END AS v FROM (SELECT doc_id, trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '\\s+', ' ', 'g')) AS f FROM documents)")
 def normalise_text(spark, sf):
     return read(spark, sf, "documents").select("doc_id", text.normalise_text("text").alias("v"))
 
@@ -457,6 +480,20 @@ def differ_count(spark, sf):
     return runs.differ_count(a.where("run_id = 'm1'"), a.where("run_id = 'm2'"), "record_id", "model_value").select(F.col("differ").cast("long").alias("differ"))
 
 
+@query("noise_band", "SELECT o_orderkey, greatest(o_custkey % 50, ceil(o_orderkey * 2 / 48.0))::BIGINT AS band, ceil(o_orderkey * 2 / 48.0)::BIGINT AS floor FROM orders")
+def noise_band(spark, sf):
+    n = F.col("o_orderkey")
+    return read(spark, sf, "orders").select(n, runs.noise_band(F.col("o_custkey") % 50, n).cast("long").alias("band"), runs.noise_floor(n).cast("long").alias("floor"))
+
+
+@query("gate_result", """SELECT o_orderkey, round_even(s / p, 2) AS speedup, CASE WHEN a AND b THEN 'passes' WHEN b THEN 'fails_parallel' WHEN a THEN 'fails_server' ELSE 'fails_both' END AS verdict
+ FROM (SELECT o_orderkey, s, p, o_custkey % 9 <= 5 AND s / p >= 1.3 AS a, o_custkey % 7 <= 5 AS b FROM (SELECT *, (1000 + o_orderkey % 700)::DOUBLE AS s, (800 + o_custkey % 3)::DOUBLE AS p FROM orders))""")
+def gate_result(spark, sf):
+    """Speedups that rounding lifts to the limit, and the verdict on what is not rounded."""
+    passes = read(spark, sf, "orders").select("o_orderkey", F.lit(5).alias("band"), (F.col("o_custkey") % 7).alias("serial_differ"), (F.col("o_custkey") % 9).alias("parallel_differ"), (1000 + F.col("o_orderkey") % 700).alias("serial_ms"), (800 + F.col("o_custkey") % 3).alias("parallel_ms"))
+    return runs.gate_result(passes).select("o_orderkey", "speedup", "verdict")
+
+
 @query("gate_verdict", "SELECT o_orderkey, round((100 + o_orderkey % 80)::DOUBLE / 100, 2) AS speedup, CASE WHEN p AND s THEN 'passes' WHEN s THEN 'fails_parallel' WHEN p THEN 'fails_server' ELSE 'fails_both' END AS verdict FROM (SELECT o_orderkey, o_custkey % 9 <= 5 AND o_orderkey % 80 >= 30 AS p, o_custkey % 7 <= 5 AS s FROM orders)")
 def gate_verdict(spark, sf):
     passes = read(spark, sf, "orders").select("o_orderkey", F.lit(5).alias("band"), (F.col("o_custkey") % 7).alias("serial_differ"), (F.col("o_custkey") % 9).alias("parallel_differ"), (100 + F.col("o_orderkey") % 80).alias("serial_ms"), F.lit(100).alias("parallel_ms"))
@@ -504,6 +541,38 @@ def qualification_quality(spark, sf):
     return runs.qualification_quality(_goal1(spark, sf))
 
 
+@query("qualification_summary", """SELECT 'm' || (event_id % 4) AS model, count(*)::BIGINT AS records, count(*) FILTER (WHERE event_id % 50 = 0)::BIGINT AS parse_failures, floor(median(user_id) FILTER (WHERE event_id % 50 <> 0))::BIGINT AS median_tokens,
+ round(count(*) FILTER (WHERE event_id % 3 = 0)::DOUBLE / count(*), 4) AS entity_fill FROM events GROUP BY 1""")
+def qualification_summary(spark, sf):
+    e = read(spark, sf, "events")
+    failed = F.col("event_id") % 50 == 0
+    rows = e.select(F.concat(F.lit("m"), (F.col("event_id") % 4).cast("string")).alias("model"), failed.alias("failed"), F.when(~failed, F.col("user_id")).alias("tokens"), F.when(F.col("event_id") % 3 == 0, 2).otherwise(0).alias("n_entities"))
+    return runs.qualification_summary(rows, "model", F.col("failed"), F.col("tokens"), F.col("n_entities"))
+
+
+@query("run_facts", """SELECT n_nationkey AS run_id, n::BIGINT AS record_count, f.fp AS config_fingerprint, n_regionkey % 2 = 0 AS is_synthetic, n_regionkey < 3 AS scrubbed, CASE WHEN n_regionkey < 2 THEN n_regionkey + 10 END::INT AS scrub_version FROM nation
+ JOIN (SELECT c_custkey % 5 AS k, count(*) AS n FROM customer GROUP BY 1) ON k = n_regionkey JOIN (SELECT s_nationkey, sha256(string_agg(sha256(CAST(s_suppkey AS VARCHAR)), chr(10) ORDER BY sha256(CAST(s_suppkey AS VARCHAR)))) AS fp FROM supplier GROUP BY 1) f ON s_nationkey = n_nationkey""")
+def run_facts(spark, sf):
+    k = F.col("r_regionkey")
+    run = read(spark, sf, "nation").select(F.col("n_nationkey").alias("run_id"), F.col("n_regionkey").alias("corpus_id"))
+    corpora = read(spark, sf, "region").select(k.alias("corpus_id"), F.col("r_name").alias("name"), (k % 2 == 0).alias("is_synthetic"), F.when(k < 3, "f").alias("scrub_fingerprint"), F.when(k < 2, k).alias("scrub_ruleset_id"))
+    records = read(spark, sf, "customer").select((F.col("c_custkey") % 5).cast("int").alias("corpus_id"))
+    features = read(spark, sf, "supplier").select(F.col("s_nationkey").alias("run_id"), F.sha2(F.col("s_suppkey").cast("string"), 256).alias("fingerprint"))
+    rulesets = read(spark, sf, "region").select(k.alias("scrub_ruleset_id"), (k + 10).cast("int").alias("version"))
+    found = runs.run_facts(run, corpora, records, features, rulesets).where("config_fingerprint IS NOT NULL")
+    return found.select("run_id", "record_count", "config_fingerprint", "is_synthetic", "scrubbed", "scrub_version")
+
+
+@query("write_scores", "SELECT o_orderstatus AS run_id, o_orderpriority AS feature_id, (count(*) * CASE WHEN o_orderstatus = 'F' THEN 2 ELSE 1 END)::BIGINT AS value FROM orders GROUP BY o_orderstatus, o_orderpriority")
+def write_scores(spark, sf):
+    """Scores written twice for one run: its partitions are replaced, the others stay."""
+    path = scratch_dir(spark, "scores")
+    rows = read(spark, sf, "orders").groupBy(F.col("o_orderstatus").alias("run_id"), F.col("o_orderpriority").alias("feature_id")).agg(F.count("*").alias("value"))
+    scoring.write_scores(rows, path)
+    scoring.write_scores(rows.where("run_id = 'F'").withColumn("value", F.col("value") * 2), path)
+    return spark.read.parquet(path).select("run_id", "feature_id", "value")
+
+
 @query("latest_qualification", "SELECT tag, digest, verdict FROM (SELECT o_orderstatus AS tag, o_orderpriority AS digest, o_custkey AS verdict, row_number() OVER (PARTITION BY o_orderstatus, o_orderpriority ORDER BY o_orderkey DESC) AS rn FROM orders) WHERE rn = 1")
 def latest_qualification(spark, sf):
     log = read(spark, sf, "orders").select(F.col("o_orderstatus").alias("tag"), F.col("o_orderpriority").alias("digest"), F.col("o_custkey").alias("verdict"), F.col("o_orderkey").alias("qualified_at"))
