@@ -21,7 +21,8 @@ def main(argv: list[str] | None = None) -> int:
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("census-export").getOrCreate()
     rows = census.census_page(corpus.read_corpus(spark, args.corpus, "census"), args.table, args.min_rate)
-    exports.export("census", rows, args.out, context=args.corpus)
+    exports.export("census", rows, f"{args.out}.parts", context=args.corpus)
+    exports.gather(spark, f"{args.out}.parts", args.out)
     return 0
 
 

@@ -95,9 +95,10 @@ def type_hints(values: DataFrame, headers: DataFrame) -> DataFrame:
     v = F.col("value_raw")
     whole, decimal = _numeric(v)
     all_of = lambda test, name: F.bool_and(F.coalesce(test, F.lit(False))).alias(name)
-    shapes = values.groupBy("table_name", "column_name").agg(all_of(_plausible_date(v), "d"), all_of(v.rlike(r"^([01]\d|2[0-3]):[0-5]\d$"), "t"), all_of(whole, "i"), all_of(decimal, "f"))
+    shapes = values.groupBy("table_name", "column_name").agg(all_of(_plausible_date(v), "d"), all_of(v.rlike(r"^([01]\d|2[0-3]):[0-5]\d$"), "t"), all_of(whole, "i"), all_of(decimal, "f"), F.sum("n").alias("n"))
     coded = functools.reduce(lambda a, b: a | b, (F.col("column_name").endswith(s) for s in ENUM_SUFFIXES))
-    hint = F.when(coded, "enum").when(F.col("d"), "date").when(F.col("t"), "time").when(F.col("i"), "integer").when(F.col("f"), "decimal").otherwise("text")
+    # The count is asked for so that shapes are tested once for each distinct value, not for each cell.
+    hint = F.when(coded, "enum").when(F.col("n").isNull(), "text").when(F.col("d"), "date").when(F.col("t"), "time").when(F.col("i"), "integer").when(F.col("f"), "decimal").otherwise("text")
     return headers.join(shapes, ["table_name", "column_name"], "left").select("table_name", "column_name", hint.alias("type_hint"))
 
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import functools
 import json
+import operator
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import integrity
+from . import census, integrity, scrub
+from .scrub import Rules
 
 #: Fixed value: characters that only Windows-1252 text has, whose absence in French shows a wrong decoding.
 CANARY = "œŒ‘’“”–—…€™šžŠŽŸ‚„†‡‰‹›ˆ˜•"
@@ -39,6 +44,35 @@ def mixed_language(language: Column, confidence: Column, text: Column, floor: fl
     return F.when(blank, "und").when(confidence < floor, "mixed").otherwise(language), F.when(blank, 0.0).otherwise(confidence)
 
 
+#: Takes a text column, returns struct<language, confidence>: any detector that Spark can run.
+Detector = Callable[[Column], Column]
+#: Function words that tell German, French, Italian and English from each other.
+FUNCTION_WORDS = {
+    "de": "auf bei dem den der die ein eine einem einen einer fuhr ich ist mit nach nicht sich und von wurde zu zum zur".split(),
+    "en": "and are as at be by for from had he it of on she that the this to was were which with".split(),
+    "fr": "a au avec ce dans des du elle est et il je le les lui ne pas pour qui sur un une vers".split(),
+    "it": "al alla che con da dal del della di gli ha il la nel nella non per si sono sul sulla un una".split(),
+}
+
+
+def by_function_words(text: Column) -> Column:
+    """A detector of built-in expressions: the language with most function words, of equals the first in order; confidence
+    is its share of all function words, 0 without any."""
+    words = F.split(F.lower(text), r"[^\p{L}]+")
+    said = lambda ws: F.size(F.filter(words, lambda w: w.isin(ws)))
+    counts = [F.struct(said(ws).alias("n"), F.lit(-i).alias("order"), F.lit(code).alias("language")) for i, (code, ws) in enumerate(sorted(FUNCTION_WORDS.items()))]
+    total = functools.reduce(operator.add, (c["n"] for c in counts))
+    best = F.greatest(*counts)
+    return F.struct(best["language"].alias("language"), F.coalesce(F.try_divide(best["n"], total), F.lit(0.0)).alias("confidence"))
+
+
+def detect_language(texts: DataFrame, text: str, detector: Detector = by_function_words, floor: float = 0.5) -> DataFrame:
+    """``texts`` with language and confidence of each narrative: blank is und at 0, an unsure answer is mixed."""
+    found = texts.withColumn("_detected", detector(F.col(text)))
+    language, confidence = mixed_language(F.col("_detected.language"), F.col("_detected.confidence"), F.col(text), floor)
+    return found.withColumns({"language": language, "confidence": confidence}).drop("_detected")
+
+
 def canary_count(texts: DataFrame, text: str, chars: str = CANARY) -> DataFrame:
     """One row: how many of the characters all texts hold."""
     return texts.agg(F.coalesce(F.sum(F.length(text) - F.length(F.translate(F.col(text), chars, ""))), F.lit(0)).alias("n"))
@@ -52,8 +86,7 @@ def canary_by_char(texts: DataFrame, text: str, chars: str = CANARY) -> DataFram
 
 def canary_finding(texts: DataFrame, text: str, language: str, chars: str = CANARY) -> DataFrame:
     """One row CP1252_CANARY_ZERO where there is French and no such character; else none."""
-    both = texts.agg(F.coalesce(F.sum(F.length(text) - F.length(F.translate(F.col(text), chars, ""))), F.lit(0)).alias("n"), F.count_if(F.col(language) == "fr").alias("fr"))
-    return both.where("n = 0 AND fr > 0").select(F.lit("CP1252_CANARY_ZERO").alias("code"))
+    return canary_of(texts.select((F.length(text) - F.length(F.translate(F.col(text), chars, ""))).alias("canary"), F.col(language).alias("language")))
 
 
 def next_version(versions: DataFrame, name: str = "name", version: str = "version") -> DataFrame:
@@ -61,25 +94,81 @@ def next_version(versions: DataFrame, name: str = "name", version: str = "versio
     return versions.groupBy(name).agg((F.max(version) + 1).alias("next_version"))
 
 
-def freeze(spark: SparkSession, tables: dict[str, DataFrame], findings: DataFrame, out_dir: str, manifest: dict) -> dict:
-    """Write the tables of a corpus, all or nothing.
-
-    A blocking finding raises before anything is written. Tables go to a folder of this attempt; the corpus exists when
-    its one-row manifest does, which is written last and names that folder, so a failed attempt leaves nothing visible.
-    """
+def blocked_by(findings: DataFrame) -> None:
+    """Raises where a finding blocks, naming the codes."""
     blocked = integrity.blocking(findings).select("code").distinct().limit(20).collect()
     if blocked:
         raise ValueError("blocking findings: " + ", ".join(sorted(r.code for r in blocked)))
-    import uuid
 
+
+def freeze_delivery(
+    spark: SparkSession, records: DataFrame, cells: DataFrame, findings: DataFrame, out_dir: str, manifest: dict, key: str = "record_key", rules: Rules = Rules(), detector: Detector = by_function_words, anonymised: tuple[str, ...] = (), min_records: int = 20,
+) -> dict:
+    """Freeze a validated delivery in one step, all or nothing; the manifest entry.
+
+    ``records(key, narrative, from_anonymised, ...)`` and ``cells(table_name, key, column_name, value_raw, seq)``. Language
+    and canary are read from the original narratives; narratives and the cells of ``anonymised`` columns are written
+    masked, the original texts never. A blocking finding, or a rule that takes too long, raises, and no corpus exists.
+    Besides records and cells the corpus holds its import report, the tally of the rules and its census.
+    """
+    blocked_by(findings)
     attempt = f"{out_dir}/data-{uuid.uuid4().hex}"
-    for name, df in tables.items():
+
+    def written(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{attempt}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{attempt}/{name}")
+
+    canary = F.coalesce(F.length("narrative") - F.length(F.translate(F.col("narrative"), CANARY, "")), F.lit(0)).alias("canary")
+    read = detect_language(records, "narrative", detector).select("*", canary).withColumn("s", scrub.scrubbed(spark, "narrative", rules))
+    hits = F.transform("s.hits", lambda h: h.dropFields("value", "entry")).alias("hits")  # what was matched is not kept
+    masked = written(read.select(*(c for c in read.columns if c not in ("s", "narrative")), F.col("s.text").alias("narrative"), hits, "s.timed_out"), "record")
+    named = F.col("column_name").isin(*anonymised)
+    secret = written(cells.where(named & (F.coalesce("value_raw", F.lit("")) != "")).withColumn("s", scrub.scrubbed(spark, "value_raw", rules)).select(*cells.drop("value_raw").columns, F.col("s.text").alias("value_raw"), hits, "s.timed_out"), "masked-cell")
+    results = masked.select(key, "narrative", "hits", "timed_out").union(secret.select(key, "value_raw", "hits", "timed_out"))
+    blocked_by(scrub.scrub_timeouts(results, key).select("code"))
+
+    plain = cells.where(~named | (F.coalesce("value_raw", F.lit("")) == ""))
+    whole = written(plain.unionByName(secret.drop("hits", "timed_out")), "cell")
+    tally = written(scrub.scrub_tally(results, rules, key), "scrub-tally")
+    warned = canary_of(masked)
+    detail = lambda df: df.select("code", F.to_json("detail").alias("detail") if "detail" in df.columns else F.lit(None).cast("string").alias("detail"))
+    written(detail(findings).union(detail(scrub.scrub_findings(tally))).union(detail(warned)), "report")
+    values = census.value_table(whole.where(F.coalesce("value_raw", F.lit("")) != ""), F.col("seq"))
+    headers = whole.select("table_name", "column_name").distinct().join(masked.agg(F.count("*").alias("_records")))
+    written(census.census_columns(values, headers, F.col("_records")).drop("_records"), "census")
+
+    total = masked.agg(F.count("*").alias("n"), F.coalesce(F.sum("canary"), F.lit(0)).alias("canary"), F.coalesce(F.bool_and(F.col(key).rlike(integrity.SYNTHETIC_KEY)), F.lit(False)).alias("synthetic")).first()
+    languages = {r.language: r.n for r in language_counts(masked).collect()}  # one row a language
+    facts = {"record_count": total.n, "cp1252_canary_count": total.canary, "language_counts": languages, "is_dev_sized": total.n < min_records, "is_synthetic": bool(manifest.get("is_synthetic")) or total.synthetic, "scrub_fingerprint": rules.fingerprint()}
+    return commit(spark, out_dir, manifest | facts, attempt, ["record", "cell", "scrub-tally", "report", "census"])
+
+
+def canary_of(records: DataFrame) -> DataFrame:
+    """One row CP1252_CANARY_ZERO, from (canary, language), where there is French and no such character; else none."""
+    both = records.agg(F.coalesce(F.sum("canary"), F.lit(0)).alias("n"), F.count_if(F.col("language") == "fr").alias("fr"))
+    return both.where("n = 0 AND fr > 0").select(F.lit("CP1252_CANARY_ZERO").alias("code"))
+
+
+def commit(spark: SparkSession, out_dir: str, manifest: dict, attempt: str, tables: list[str]) -> dict:
+    """The corpus exists when its one-row manifest does."""
     entry = manifest | {"data": attempt, "tables": sorted(tables)}
     spark.createDataFrame([(json.dumps(entry, sort_keys=True, ensure_ascii=False),)], "manifest string").coalesce(1).write.text(f"{out_dir}/manifest")
     return entry
 
 
+def freeze(spark: SparkSession, tables: dict[str, DataFrame], findings: DataFrame, out_dir: str, manifest: dict) -> dict:
+    """Write the tables of a corpus, all or nothing.
+
+    A blocking finding raises before anything is written. Tables go to a folder of this attempt; the corpus exists when
+    its one-row manifest does, which is written last and names that folder, so a failed attempt leaves nothing visible.
+    """
+    blocked_by(findings)
+    attempt = f"{out_dir}/data-{uuid.uuid4().hex}"
+    for name, df in tables.items():
+        df.write.parquet(f"{attempt}/{name}")
+    return commit(spark, out_dir, manifest, attempt, list(tables))
+
+
 def read_corpus(spark: SparkSession, out_dir: str, table: str) -> DataFrame:
     entry = json.loads(spark.read.text(f"{out_dir}/manifest").first().value)
     return spark.read.parquet(f"{entry['data']}/{table}")

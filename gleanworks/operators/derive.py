@@ -84,6 +84,82 @@ def canonical_json(value: object) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
+#: The seven derivations and the fields of each.
+DERIVATIONS = {
+    "count_objects": ("filter",), "count_persons": ("filter",), "any_object_matches": ("filter",), "any_person_matches": ("filter",),
+    "max_ordinal": ("table", "column", "ordered_codes"), "min_ordinal": ("table", "column", "ordered_codes"), "distinct_count": ("table", "column"),
+}
+
+
+@dataclass(frozen=True)
+class Derivation:
+    """One of the seven: which, with its filter, or its table, column and declared order."""
+
+    type: str
+    filter: Filter | None = None
+    table: str | None = None
+    column: str | None = None
+    ordered_codes: tuple[str, ...] = ()
+
+    def problems(self) -> list[str]:
+        """What makes it unusable; none for a sound one."""
+        if self.type not in DERIVATIONS:
+            return [f"unknown derivation {self.type!r}"]
+        fields, out = DERIVATIONS[self.type], []
+        if self.type.startswith("any_") and self.filter is None:
+            out.append("a filter is needed")
+        if self.filter is not None and self.filter.operator not in OPERATORS:
+            out.append(f"unknown operator {self.filter.operator!r}")
+        if self.filter is not None and self.filter.operator in ("in", "not_in") and not isinstance(self.filter.value, tuple):
+            out.append(f"{self.filter.operator} needs a list of values")
+        if "column" in fields and not self.column:
+            out.append("a column is needed")
+        if "table" in fields and self.table not in ("objekt", "person"):
+            out.append(f"unknown table {self.table!r}")
+        if "ordered_codes" in fields and not self.ordered_codes:
+            out.append("an order of codes is needed")
+        if len(set(self.ordered_codes)) < len(self.ordered_codes):
+            out.append("a code is declared twice")
+        return out
+
+    def to_json(self) -> str:
+        """The canonical form, from which ``derivation_from_json`` gives the same derivation."""
+        rule = None if self.filter is None else {"column": self.filter.column, "operator": self.filter.operator, "value": self.filter.value}
+        every = {"filter": rule, "table": self.table, "column": self.column, "ordered_codes": self.ordered_codes}
+        return canonical_json({"type": self.type, **{f: every[f] for f in DERIVATIONS[self.type]}})
+
+
+def derivation_from_json(text: str) -> Derivation:
+    """The derivation of a catalogue entry; an entry that is none, or lacks a field, raises ValueError."""
+    data = json.loads(text)
+    if not isinstance(data, dict) or data.get("type") not in DERIVATIONS:
+        raise ValueError(f"no derivation: {text}")
+    fields = DERIVATIONS[data["type"]]
+    missing = [f for f in fields if f not in data]
+    if missing:
+        raise ValueError(f"{data['type']} lacks {', '.join(missing)}")
+    rule = data["filter"] if "filter" in fields else None
+    if rule is not None:
+        value = rule["value"]
+        rule = Filter(str(rule["column"]), str(rule["operator"]), tuple(map(str, value)) if isinstance(value, list) else None if value is None else str(value))
+    found = Derivation(data["type"], rule, *(str(data[f]) if f in fields else None for f in ("table", "column")), tuple(map(str, data["ordered_codes"])) if "ordered_codes" in fields else ())
+    if found.problems():
+        raise ValueError("; ".join(found.problems()))
+    return found
+
+
+def derive(spec: Derivation, records: DataFrame, children: DataFrame, key: str) -> DataFrame:
+    """(key, value) by a derivation of the catalogue over the child rows that it is about."""
+    kind = spec.type
+    if kind.startswith("count_"):
+        return derive_count(records, children, key, spec.filter)
+    if kind.startswith("any_"):
+        return derive_any(records, children, key, spec.filter)
+    if kind == "distinct_count":
+        return derive_distinct(records, children, key, spec.column)
+    return derive_ordinal(records, children, key, spec.column, list(spec.ordered_codes), kind == "max_ordinal")
+
+
 def feature_fingerprint(feature: dict) -> str:
     """sha256 over a feature's eight defining fields; fields that do not change scoring are left out."""
     fields = ("kind", "grain", "source_column", "derivation_json", "value_type", "matching_rule_json", "enum_codelist_json", "description")

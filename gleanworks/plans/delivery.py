@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..catalog import query, read
+from ..catalog import query, read, scratch_dir
 from ..operators import census, codelists, corpus, derive, integrity
 from ..operators.derive import Filter
+from ..sources import exports
 
 # --- census --------------------------------------------------------------------------------------------------------
 
@@ -466,3 +470,168 @@ def template_fingerprint(spark, sf):
 @query("config_version", "SELECT c_mktsegment AS name, (max(c_custkey) + 1)::BIGINT AS next_version FROM customer GROUP BY 1")
 def config_version(spark, sf):
     return corpus.next_version(read(spark, sf, "customer"), "c_mktsegment", "c_custkey").withColumnRenamed("c_mktsegment", "name")
+
+
+# --- catalogue of features, files, freeze ----------------------------------------------------------------------------
+
+
+@query("feature_fingerprint", """SELECT n_nationkey, sha256('{"kind":"labelled","grain":"record","source_column":"' || n_name || '","derivation_json":null,"value_type":"enum","matching_rule_json":null,"enum_codelist_json":null,"description":"d' || n_regionkey || '"}') AS fingerprint FROM nation""")
+def feature_fingerprint(spark, sf):
+    @F.pandas_udf("string")
+    def fingerprint(names: pd.Series, regions: pd.Series) -> pd.Series:
+        return pd.Series([derive.feature_fingerprint({"kind": "labelled", "grain": "record", "source_column": n, "value_type": "enum", "description": f"d{r}", "colour": "ignored"}) for n, r in zip(names, regions, strict=True)])
+
+    return read(spark, sf, "nation").select("n_nationkey", fingerprint("n_name", "n_regionkey").alias("fingerprint"))
+
+
+@query("feature_validation", "SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN 'labelled feature at a grain without one value a record' ELSE 'coded feature without a code list' END AS problem FROM nation WHERE n_nationkey % 3 < 2")
+def feature_validation(spark, sf):
+    def work(batches):
+        for b in batches:
+            rows = [(k, p) for k, n in zip(b.n_nationkey, b.n_name, strict=True) for _, p in derive.validate_features([{"key": n, "kind": "labelled", "grain": "person" if k % 3 == 0 else "record", "value_type": "enum" if k % 3 == 1 else "integer"}])]
+            yield pd.DataFrame(rows, columns=["n_nationkey", "problem"])
+
+    return read(spark, sf, "nation").select("n_nationkey", "n_name").mapInPandas(work, "n_nationkey int, problem string")
+
+
+@query("derivation_json", """SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN '{"filter":null,"type":"count_objects"}' WHEN 1 THEN '{"filter":{"column":"' || n_name || '","operator":"in","value":["1","2"]},"type":"any_person_matches"}'
+ WHEN 2 THEN '{"column":"' || n_name || '","ordered_codes":["b","a"],"table":"objekt","type":"max_ordinal"}' ELSE 'refused' END AS entry FROM nation""")
+def derivation_json(spark, sf):
+    """Entries read and written again; one of an unknown type, or without its column, is refused."""
+    def again(k: int, name: str) -> str:
+        entry = [{"type": "count_objects", "filter": None}, {"type": "any_person_matches", "filter": {"value": ["1", "2"], "operator": "in", "column": name}}, {"type": "max_ordinal", "table": "objekt", "column": name, "ordered_codes": ["b", "a"]}, {"type": "distinct_count", "table": "objekt"} if k % 8 == 3 else {"type": "mean"}][k % 4]
+        try:
+            return derive.derivation_from_json(json.dumps(entry)).to_json()
+        except ValueError:
+            return "refused"
+
+    @F.pandas_udf("string")
+    def entries(keys: pd.Series, names: pd.Series) -> pd.Series:
+        return pd.Series([again(*x) for x in zip(keys, names, strict=True)])
+
+    return read(spark, sf, "nation").select("n_nationkey", entries("n_nationkey", "n_name").alias("entry"))
+
+
+@query("derive_from_catalogue", "SELECT o_orderkey, CAST(count(l_orderkey) FILTER (WHERE l_returnflag IN ('A', 'N')) AS VARCHAR) AS value FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
+def derive_from_catalogue(spark, sf):
+    spec = derive.derivation_from_json('{"type": "count_objects", "filter": {"column": "l_returnflag", "operator": "in", "value": ["A", "N"]}}')
+    return derive.derive(spec, read(spark, sf, "orders"), read(spark, sf, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey"), "o_orderkey")
+
+
+@query("set_mapping", "SELECT c_mktsegment AS column_name, CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'new' ELSE 'old' END AS attribute FROM customer WHERE c_mktsegment <> 'FURNITURE' GROUP BY 1")
+def set_mapping(spark, sf):
+    current = read(spark, sf, "customer").select(F.lit(1).alias("corpus_id"), F.col("c_mktsegment").alias("column_name"), F.lit("old").alias("attribute")).distinct()
+    changes = spark.createDataFrame([(1, "BUILDING", "new"), (1, "MACHINERY", "new"), (1, "FURNITURE", None)], "corpus_id int, column_name string, attribute string")
+    return codelists.upsert_mapping(current, changes).select("column_name", "attribute")
+
+
+@query("codelist_snapshot", "SELECT CAST(n_nationkey AS VARCHAR) AS code, CASE WHEN n_nationkey % 2 = 0 THEN n_name END AS label FROM nation WHERE n_regionkey = 1")
+def codelist_snapshot(spark, sf):
+    codes = read(spark, sf, "nation").select(F.col("n_regionkey").cast("string").alias("attribute"), F.col("n_nationkey").cast("string").alias("code"), F.when(F.col("n_nationkey") % 2 == 0, F.create_map(F.lit("de"), F.col("n_name"))).otherwise(F.create_map(F.lit("fr"), F.col("n_name"))).alias("labels"))
+    return codelists.snapshot(codes, "1", "de").select(F.explode("codes").alias("c")).select("c.code", "c.label")
+
+
+def _function_word_counts() -> str:
+    return ", ".join(f"len(list_filter(ws, lambda x: x IN ({', '.join(repr(w) for w in ws)})))::INT AS n_{c}" for c, ws in corpus.FUNCTION_WORDS.items())
+
+
+_DETECTED = rf"""SELECT doc_id, CASE WHEN trim(coalesce(text, '')) = '' THEN 'und' WHEN total = 0 OR best::DOUBLE / total < 0.5 THEN 'mixed' WHEN n_de = best THEN 'de' WHEN n_en = best THEN 'en' WHEN n_fr = best THEN 'fr' ELSE 'it' END AS language,
+ CASE WHEN trim(coalesce(text, '')) = '' OR total = 0 THEN 0.0 ELSE round(best::DOUBLE / total, 9) END AS confidence FROM (SELECT *, n_de + n_en + n_fr + n_it AS total, greatest(n_de, n_en, n_fr, n_it) AS best
+ FROM (SELECT doc_id, text, {_function_word_counts()} FROM (SELECT doc_id, text, regexp_split_to_array(lower(text), '[^\p{{L}}]+') AS ws FROM documents)))"""
+
+
+@query("detect_language", _DETECTED)
+def detect_language(spark, sf):
+    found = corpus.detect_language(read(spark, sf, "documents").select("doc_id", "text"), "text")
+    return found.select("doc_id", "language", F.round("confidence", 9).alias("confidence"))
+
+
+def _frozen(spark, sf):
+    """Customers as a delivery: narratives with telephone numbers, one anonymised column, frozen in one step."""
+    c = read(spark, sf, "customer")
+    key = F.expr("lpad(CAST(c_custkey AS STRING), 32, '0')").alias("record_key")
+    records = c.select(key, F.concat(F.lit("Der Mann mit 079 123 45 6"), F.col("c_custkey") % 10, F.lit(" und "), "c_name", F.lit(" … ist in der Stadt")).alias("narrative"), F.lit(False).alias("from_anonymised"))
+    cell = lambda column, value: c.select(F.lit("unfall").alias("table_name"), key, F.lit(column).alias("column_name"), value.alias("value_raw"), F.col("c_custkey").cast("long").alias("seq"))
+    cells = cell("segment", F.col("c_mktsegment")).union(cell("anonymised", F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("Tel. 044/123 45 67 "), "c_name")).otherwise("")))
+    findings = spark.createDataFrame([("ROW_RECOVERED", None)], "code string, detail map<string,string>")
+    out = scratch_dir(spark, "corpus")
+    corpus.freeze_delivery(spark, records, cells, findings, out, {"name": "customers", "version": 1}, anonymised=("anonymised",))
+    return out
+
+
+@query("freeze", """SELECT lpad(CAST(c_custkey AS VARCHAR), 32, '0') AS record_key, 'Der Mann mit <Phone_1> und ' || c_name || ' … ist in der Stadt' AS narrative, 'de' AS language, CASE WHEN c_custkey % 2 = 0 THEN 'Tel. <Phone_1> ' || c_name ELSE '' END AS cell FROM customer""")
+def freeze(spark, sf):
+    out = _frozen(spark, sf)
+    cells = corpus.read_corpus(spark, out, "cell").where("column_name = 'anonymised'").select("record_key", F.col("value_raw").alias("cell"))
+    return corpus.read_corpus(spark, out, "record").join(cells, "record_key").select("record_key", "narrative", "language", "cell")
+
+
+@query("freeze_manifest", """SELECT count(*)::BIGINT AS record_count, count(*)::BIGINT AS canary, count(*)::BIGINT AS german, (count(*) + count(*) FILTER (WHERE c_custkey % 2 = 0))::BIGINT AS phones, 2::BIGINT AS census_rows FROM customer""")
+def freeze_manifest(spark, sf):
+    out = _frozen(spark, sf)
+    facts = spark.read.text(f"{out}/manifest").select(F.from_json("value", "record_count long, cp1252_canary_count long, language_counts map<string,long>").alias("m"))
+    phones = corpus.read_corpus(spark, out, "scrub-tally").where("rule_id = 'phone'").select(F.col("hits").alias("phones"))
+    census_rows = corpus.read_corpus(spark, out, "census").agg(F.count("*").alias("census_rows"))
+    return facts.select("m.record_count", F.col("m.cp1252_canary_count").alias("canary"), F.col("m.language_counts")["de"].alias("german")).join(phones).join(census_rows)
+
+
+# --- exports, written and read back ------------------------------------------------------------------------------------
+
+
+def _exported(spark, kind: str, rows: DataFrame) -> DataFrame:
+    path = f"{scratch_dir(spark, 'export')}/{kind}.csv"
+    exports.export(kind, rows, path, "secret", "corpus x")
+    return exports.read_csv(spark, kind, path)
+
+
+@query("census_csv", "SELECT table_name, column_name, CAST(distinct_count AS VARCHAR) AS distinct_count, CASE WHEN long_tail THEN 'True' ELSE 'False' END AS long_tail FROM (" + _CENSUS + ")")
+def census_csv(spark, sf):
+    rows = _census(spark, sf).withColumns({"type_hint": F.lit("text"), "record_count": F.lit(1), "top_values": F.lit(None).cast("string"), "withheld": F.lit(True)})
+    return _exported(spark, "census", rows).select("table_name", "column_name", "distinct_count", "long_tail")
+
+
+@query("findings_csv", """SELECT 'ORPHAN_FK' AS code, CAST(o_orderkey AS VARCHAR) AS key, 'a=' || o_orderpriority || '|b=x;"' || o_orderstatus || '"' AS detail FROM orders""")
+def findings_csv(spark, sf):
+    detail = F.create_map(F.lit("b"), F.concat(F.lit('x;"'), "o_orderstatus", F.lit('"')), F.lit("a"), F.col("o_orderpriority"))
+    rows = read(spark, sf, "orders").select(F.lit("ORPHAN_FK").alias("code"), F.lit("blocking").alias("severity"), F.col("o_orderkey").alias("key"), F.lit(None).cast("int").alias("line_no"), detail.alias("detail"))
+    return _exported(spark, "findings", rows).select("code", "key", "detail")
+
+
+def _orders_as(spark, sf, kind: str, **columns) -> DataFrame:
+    rows = read(spark, sf, "orders")
+    return rows.select(*(columns.get(c, F.lit(None).cast("string")).alias(c) for c in exports.HEADERS[kind]))
+
+
+@query("presence_csv", "SELECT CAST(o_orderkey AS VARCHAR) AS record_id, CASE WHEN o_orderkey % 2 = 0 THEN 'True' ELSE 'False' END AS anonymised, ' ' || o_orderpriority AS record_value FROM orders")
+def presence_csv(spark, sf):
+    rows = _orders_as(spark, sf, "presence", record_id=F.col("o_orderkey"), anonymised=F.col("o_orderkey") % 2 == 0, record_value=F.concat(F.lit(" "), "o_orderpriority"))
+    return _exported(spark, "presence", rows).select("record_id", "anonymised", "record_value")
+
+
+@query("mismatches_csv", "SELECT CAST(o_orderkey AS VARCHAR) AS mismatch_id, 'one' || chr(10) || 'two; ' || o_orderstatus AS evidence_span, '' AS note FROM orders")
+def mismatches_csv(spark, sf):
+    rows = _orders_as(spark, sf, "mismatches", mismatch_id=F.col("o_orderkey"), evidence_span=F.concat(F.lit("one\ntwo; "), "o_orderstatus"))
+    return _exported(spark, "mismatches", rows).select("mismatch_id", "evidence_span", "note")
+
+
+@query("run_scores_csv", "SELECT o_orderstatus AS feature_key, CAST(o_orderkey AS VARCHAR) AS n, CAST(o_custkey AS VARCHAR) AS value FROM orders")
+def run_scores_csv(spark, sf):
+    rows = _orders_as(spark, sf, "run_scores", feature_key=F.col("o_orderstatus"), n=F.col("o_orderkey"), value=F.col("o_custkey"))
+    return _exported(spark, "run_scores", rows).select("feature_key", "n", "value")
+
+
+@query("run_mismatches_csv", "SELECT CAST(o_orderkey AS VARCHAR) AS mismatch_id, o_orderpriority AS note FROM orders")
+def run_mismatches_csv(spark, sf):
+    rows = _orders_as(spark, sf, "run_mismatches", mismatch_id=F.col("o_orderkey"), note=F.col("o_orderpriority"))
+    return _exported(spark, "run_mismatches", rows).select("mismatch_id", "note")
+
+
+@query("write_csv", "SELECT '# secret' AS l1, '# corpus x' AS l2, 'r_regionkey;r_name' AS l3, count(*)::BIGINT AS n_rows FROM region")
+def write_csv(spark, sf):
+    """The parts one after another are the file: mark, comments, header, then the rows."""
+    path = f"{scratch_dir(spark, 'export')}/regions.csv"
+    exports.write_csv(read(spark, sf, "region").select("r_regionkey", "r_name").orderBy("r_regionkey"), path, "secret", "corpus x")
+    parts = spark.read.text(path, wholetext=True).select(F.col("value"), F.input_file_name().alias("file"))
+    whole = parts.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("file", "value"))), lambda x: x["value"]), "").alias("t"))
+    lines = F.split(F.replace("t", F.lit("\ufeff"), F.lit("")), "\r\n")
+    return whole.select(lines[0].alias("l1"), lines[1].alias("l2"), lines[2].alias("l3"), (F.size(lines) - 4).cast("long").alias("n_rows"))

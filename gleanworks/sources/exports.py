@@ -1,15 +1,15 @@
 """CSV exports: byte order mark, semicolons, CRLF, two comment lines, then a fixed header.
 
-Rows stream to the driver a partition at a time: an export is one file for a person to open, and Spark's writer knows
-neither the mark, nor comments, nor CRLF. For large results write Parquet.
+Executors write the rows as parts of a folder in their order; the mark, the comments and the header are its first part, so
+that the parts one after another are the file. ``gather`` joins them where a person wants one file.
 """
 
 from __future__ import annotations
 
 import csv
-from pathlib import Path
+import io
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The columns of each export.
@@ -33,23 +33,50 @@ def values_text(column: str = "top_values"):
     return F.array_join(F.transform(column, lambda v: F.concat(v["value_raw"], F.lit(":"), v["n"].cast("string"))), "|")
 
 
-def write_csv(rows: DataFrame, path: str, classification: str, context: str, columns: list[str] | None = None) -> int:
-    """Write rows in their order; the number written. Nulls are empty."""
+def csv_line(columns: list[Column]) -> Column:
+    """The values as a line: nulls empty, and quoted where a value holds a semicolon, a quotation mark or a line end."""
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    quoted = lambda c: F.when(c.rlike("[;\"\r\n]"), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
+    return F.concat_ws(";", *(quoted(text(c)) for c in columns))
+
+
+def write_csv(rows: DataFrame, path: str, classification: str, context: str, columns: list[str] | None = None) -> None:
+    """Write rows in their order as the folder ``path``."""
     columns = columns or rows.columns
-    n = 0
-    with Path(path).open("w", encoding="utf-8-sig", newline="") as out:
-        out.write(f"# {classification}\r\n# {context}\r\n")
-        writer = csv.writer(out, delimiter=";", lineterminator="\r\n")
-        writer.writerow(columns)
-        for row in rows.select(*columns).toLocalIterator():
-            writer.writerow(["" if v is None else v for v in row])
-            n += 1
-    return n
-
-
-def export(kind: str, rows: DataFrame, path: str, classification: str = "internal", context: str = "") -> int:
+    named = io.StringIO()
+    csv.writer(named, delimiter=";", lineterminator="").writerow(columns)
+    head = f"\ufeff# {classification}\r\n# {context}\r\n{named.getvalue()}"
+    first = rows.sparkSession.createDataFrame([(head,)], "value string").coalesce(1)
+    flat = [F.when(F.col(c), "True").otherwise("False") if rows.schema[c].dataType.typeName() == "boolean" else F.col(c) for c in columns]
+    first.union(rows.select(csv_line(flat).alias("value"))).write.option("lineSep", "\r\n").text(path)
+
+
+def gather(spark: SparkSession, path: str, out: str) -> None:
+    """Join the parts of the folder ``path`` to the file ``out``, as bytes, a block at a time."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    source, target = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, out))
+    fs = source.getFileSystem(conf)
+    parts = sorted(str(s.getPath()) for s in fs.listStatus(source) if s.getPath().getName().startswith("part-"))
+    stream = target.getFileSystem(conf).create(target, True)
+    for part in parts:
+        opened = fs.open(jvm.org.apache.hadoop.fs.Path(part))
+        jvm.org.apache.hadoop.io.IOUtils.copyBytes(opened, stream, 1 << 16, False)
+        opened.close()
+    stream.close()
+
+
+def read_csv(spark: SparkSession, kind: str, path: str) -> DataFrame:
+    """The rows of an export, a folder or one file, as strings; its mark, comments and header are left out."""
+    columns = HEADERS[kind]
+    lines = spark.read.option("sep", ";").option("quote", '"').option("escape", '"').option("multiLine", True).option("comment", "#").option("emptyValue", "").option("nullValue", "\0")
+    rows = lines.schema(", ".join(f"`{c}` string" for c in columns)).csv(path)
+    first = F.col(columns[0])
+    return rows.where(~first.startswith("\ufeff") & (first != columns[0])).fillna("")  # an export knows no nulls
+
+
+def export(kind: str, rows: DataFrame, path: str, classification: str = "internal", context: str = "") -> None:
     """One of HEADERS from a table that has its columns; census values and finding details may still be nested."""
     for name, text in (("top_values", values_text), ("detail", detail_text)):
         if name in rows.columns and rows.schema[name].dataType.typeName() in ("array", "map"):
             rows = rows.withColumn(name, text(name))
-    return write_csv(rows, path, classification, context, HEADERS[kind])
+    write_csv(rows, path, classification, context, HEADERS[kind])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import tomllib
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,7 +68,11 @@ def read_rules(data: bytes) -> tuple[list[dict], list[str]]:
 
 def read_names(spark: SparkSession, path: str) -> DataFrame:
     """(entry, key) of a list with one name a line, # comments, repeats by key and names of few letters left out."""
-    key = F.udf(entry_key, "string")
+
+    @F.pandas_udf("string")
+    def key(entries: pd.Series) -> pd.Series:
+        return entries.map(entry_key)
+
     lines = spark.read.text(path).select(F.trim(F.regexp_replace(F.regexp_replace("value", "^﻿", ""), "#.*$", "")).alias("entry")).where("entry <> ''")
     keyed = lines.withColumn("key", key("entry")).where(F.length(F.replace("key", F.lit(" "), F.lit(""))) >= MIN_LETTERS)
     return keyed.groupBy("key").agg(F.min("entry").alias("entry")).select("entry", "key")

@@ -94,7 +94,8 @@ def test_name_list(spark, tmp_path):
 def test_exports(spark, tmp_path):
     rows = spark.createDataFrame([("C", "block", "k", 1, {"b": "2", "a": "1"})], "code string, severity string, key string, line_no int, detail map<string,string>")
     path = tmp_path / "f.csv"
-    assert exports.export("findings", rows, str(path), "secret", "corpus x") == 1
+    exports.export("findings", rows, f"{path}.parts", "secret", "corpus x")
+    exports.gather(spark, f"{path}.parts", str(path))
     assert path.read_bytes() == b"\xef\xbb\xbf# secret\r\n# corpus x\r\ncode;severity;key;line_no;detail\r\nC;block;k;1;a=1|b=2\r\n"
 
 
