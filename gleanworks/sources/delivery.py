@@ -1,7 +1,8 @@
 """Reading delivered files: bytes to rows and findings, strictly, every repair reported.
 
 Files are independent, so each is read by one task from Spark's binary source. Reassembling rows that continue over
-lines is a sessionisation over the file's rows: a row whose key is a key starts an island, others belong to the last.
+lines is a sessionisation over the file's rows, in blocks of lines: a row whose key is a key starts an island, others
+belong to the last.
 """
 
 from __future__ import annotations
@@ -197,12 +198,29 @@ def raw_rows(files: DataFrame, vocabularies: dict, keys: dict[str, str], overrid
     return files.mapInPandas(work, ROWS)
 
 
+#: Lines of a file that one task orders.
+BLOCK_LINES = 10_000
+
+
+def _islands(rows: DataFrame) -> DataFrame:
+    """``rows(path, line_no, starts, broken, ...)`` with head: line_no and broken of the last row that starts at or before
+    each, null before the first. Blocks of lines are ordered apart; the last start of each is carried over the small table
+    of blocks."""
+    start = F.when(F.col("starts"), F.struct("line_no", "broken"))
+    blocks = rows.withColumn("block", F.expr(f"line_no div {BLOCK_LINES}"))
+    inside = Window.partitionBy("path", "block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = blocks.groupBy("path", "block").agg(F.max(start).alias("own")).withColumn("carried", F.last("own", ignorenulls=True).over(before)).drop("own")
+    found = blocks.withColumn("own", F.last(start, ignorenulls=True).over(inside)).join(carried, ["path", "block"])
+    return found.withColumn("head", F.coalesce("own", "carried")).drop("own", "carried", "block")
+
+
 def recovered_rows(rows: DataFrame, files: DataFrame) -> DataFrame:
     """Logical rows: path, kind, line_no, fields, key, outcome (ok, recovered, rejected), code and detail of its finding.
 
     Wholly blank rows are dropped with a finding of their own. In text files a row without a key continues the one before
     it; in other files it makes the whole row rejected. A row that cannot be parsed belongs to no row and ends the one
-    before it. Islands are numbered by a running count over the lines of a file, a file's rows being the unit of work.
+    before it. The row that each line belongs to is found inside blocks of lines, so that a long file is the work of many tasks.
     """
     f = files.select("path", "key_index", F.size("header").alias("expected"))
     blank = F.forall("fields", lambda x: F.trim(x) == "")
@@ -212,18 +230,17 @@ def recovered_rows(rows: DataFrame, files: DataFrame) -> DataFrame:
     own_key = F.get("fields", F.col("key_index"))
     anchored = F.coalesce(own_key.rlike(KEY), F.lit(False)) | (F.col("kind") == "unknown")
     broken = F.col("error").isNotNull()
-    by_line = Window.partitionBy("path").orderBy("line_no")
-    upto = by_line.rowsBetween(Window.unboundedPreceding, 0)
-    marked = kept.withColumns({"starts": anchored | broken, "broken": broken}).withColumn("island", F.sum(F.when(F.col("starts"), 1).otherwise(0)).over(upto))
+    marked = _islands(kept.withColumns({"starts": anchored | broken, "broken": broken}))
     # A continuation after a broken row, or before any row, has nothing to continue: it is an island of its own.
-    head = F.first(F.struct("broken", "line_no")).over(Window.partitionBy("path", "island").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
-    lost = ~F.col("starts") & ((F.col("island") == 0) | head["broken"])
+    lost = ~F.col("starts") & (F.col("head").isNull() | F.col("head.broken"))
+    marked = marked.withColumn("island", F.coalesce("head.line_no", F.lit(0)))
     marked = marked.withColumn("lost", lost).withColumn("part", F.when(F.col("lost"), F.col("line_no")).otherwise(F.lit(0)))
-    grouped = marked.groupBy("path", "kind", "delimiter", "key_index", "expected", "island", "part").agg(F.sort_array(F.collect_list(F.struct("line_no", "fields", "line_span", "error"))).alias("rows"), F.max("lost").alias("lost"), F.max("broken").alias("broken"))
-    # A text row takes its continuations onto its last field, and fields beyond two are parts of the narrative.
+    grouped = marked.groupBy("path", "kind", "delimiter", "key_index", "expected", "island", "part").agg(F.sort_array(F.collect_list(F.when((F.col("kind") == "text") | F.col("starts") | F.col("lost"), F.struct("line_no", "fields", "line_span", "error")))).alias("rows"), F.max("lost").alias("lost"), F.max("broken").alias("broken"), (F.count("*") - 1).alias("more"), F.sum("line_span").cast("int").alias("span"))
+    # A text row takes its continuations onto its last field, and fields beyond two are parts of the narrative; of other
+    # kinds the first line alone is held, however many follow.
     is_text = F.col("kind") == "text"
-    g = grouped.withColumns({"more": F.size("rows") - 1, "line_no": F.col("rows")[0]["line_no"], "error": F.col("rows")[0]["error"], "own": F.col("rows")[0]["fields"], "span": F.expr("aggregate(rows, 0, (a, x) -> a + x.line_span)")})
-    glued = F.expr("concat(slice(own, 1, size(own) - 1), array(concat(element_at(own, -1), array_join(transform(slice(rows, 2, more), x -> concat('\n', array_join(x.fields, delimiter))), ''))))")
+    g = grouped.withColumns({"line_no": F.col("rows")[0]["line_no"], "error": F.col("rows")[0]["error"], "own": F.col("rows")[0]["fields"]})
+    glued = F.expr("concat(slice(own, 1, size(own) - 1), array(concat(element_at(own, -1), array_join(transform(slice(rows, 2, greatest(size(rows) - 1, 0)), x -> concat('\n', array_join(x.fields, delimiter))), ''))))")
     g = g.withColumn("joined", F.when(is_text & (F.col("more") > 0) & ~F.col("lost"), glued).otherwise(F.col("own")))
     g = g.withColumn("collapsed", is_text & (F.size("joined") > 2) & ~F.col("lost"))
     g = g.withColumn("fields", F.when(F.col("collapsed"), F.expr("array(joined[0], array_join(slice(joined, 2, size(joined)), delimiter))")).otherwise(F.col("joined")))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleanworks import streaming
-from gleanworks.operators import census, corpus, derive, runs, scoring
+from gleanworks.operators import census, corpus, derive, runs, scoring, scrub
 from gleanworks.operators.derive import Filter
 from gleanworks.sources import delivery, exports, lists
 
@@ -158,3 +158,59 @@ def test_stream_parses_each_answer_once(spark, tmp_path):
     run()
     got = spark.read.parquet(str(tmp_path / "out")).collect()
     assert sorted((r.record_id, r.values[0].value_raw) for r in got) == [("1", "5"), ("2", None), ("3", "1")]
+
+
+def test_islands_over_the_borders_of_blocks(spark, monkeypatch):
+    """Rows belong together wherever blocks of lines end."""
+    import random
+
+    rng = random.Random(3)
+    rows = []
+    for path in ("a", "b"):
+        for line in range(1, 60):
+            kind = rng.random()
+            fields = [f"{line:032d}", "text"] if kind < 0.35 else [f"more {line}"]
+            rows.append((path, "text" if path == "a" else "objekt", ";", line, fields, 1, "bad" if kind > 0.95 else None))
+    df = spark.createDataFrame(rows, delivery.ROWS)
+    files = spark.createDataFrame([(p, 0, ["UID", "HERGANG"]) for p in "ab"], "path string, key_index int, header array<string>")
+    found = lambda: sorted(map(repr, delivery.recovered_rows(df, files).collect()))
+    whole = found()
+    monkeypatch.setattr(delivery, "BLOCK_LINES", 4)
+    assert found() == whole and len(whole) > 30
+
+
+def test_freeze_delivery(spark, tmp_path):
+    """The freeze masks, detects and counts in one step, keeps no original text, and a slow rule leaves no corpus."""
+    texts = {"r1": "Herr Simon rief 079 123 45 67 an, er ist in der Stadt und wartet", "r2": "", "r3": "a" * 60 + "!"}
+    records = spark.createDataFrame([(k, t, False) for k, t in texts.items()], "record_key string, narrative string, from_anonymised boolean")
+    cells = spark.createDataFrame([("unfall", "r1", "anonym", "Tel. 044 123 45 67", 1), ("unfall", "r2", "anonym", "", 2), ("unfall", "r1", "ort", "044 123 45 67", 3)], "table_name string, record_key string, column_name string, value_raw string, seq long")
+    none = spark.createDataFrame([], "code string, detail map<string,string>")
+    rules = scrub.Rules(lastnames=("Simon",))
+    entry = corpus.freeze_delivery(spark, records, cells, none, f"{tmp_path}/c", {"name": "n"}, rules=rules, anonymised=("anonym",))
+    assert entry["record_count"] == 3 and entry["language_counts"] == {"de": 1, "und": 1, "mixed": 1} and entry["is_dev_sized"]
+    read = lambda t: corpus.read_corpus(spark, f"{tmp_path}/c", t)
+    assert {r.record_key: r.narrative for r in read("record").collect()}["r1"] == "Herr <Lastname_1> rief <Phone_1> an, er ist in der Stadt und wartet"
+    assert sorted((r.column_name, r.value_raw) for r in read("cell").collect()) == [("anonym", ""), ("anonym", "Tel. <Phone_1>"), ("ort", "044 123 45 67")]
+    tally = {r.rule_id: (r.hits, r.records) for r in read("scrub-tally").collect()}
+    assert tally["phone"] == (2, 1) and tally["names-lastname"] == (1, 1) and tally["email"] == (0, 0)
+    assert "Simon" not in "".join(str(r) for r in read("record").collect())
+    slow = scrub.Rules(patterns=(("slow", "Slow", r"(?:a|aa)+$"),), seconds=0.2)
+    with pytest.raises(ValueError, match="TEXT_SCRUB_TIMEOUT"):
+        corpus.freeze_delivery(spark, records, cells, none, f"{tmp_path}/d", {"name": "n"}, rules=slow)
+    assert not (tmp_path / "d" / "manifest").exists()
+    blocking = spark.createDataFrame([("ORPHAN_FK", None)], "code string, detail map<string,string>")
+    with pytest.raises(ValueError, match="ORPHAN_FK"):
+        corpus.freeze_delivery(spark, records, cells, blocking, f"{tmp_path}/e", {"name": "n"})
+    assert not (tmp_path / "e").exists()
+
+
+def test_derivation_catalogue():
+    specs = [
+        derive.Derivation("count_objects"), derive.Derivation("any_person_matches", derive.Filter("c", "in", ("1", "2"))), derive.Derivation("any_object_matches", derive.Filter("c", "is_empty")),
+        derive.Derivation("min_ordinal", None, "person", "c", ("b", "a")), derive.Derivation("distinct_count", None, "objekt", "c"),
+    ]
+    for spec in specs:
+        assert derive.derivation_from_json(spec.to_json()) == spec
+    for bad in ('{"type": "mean"}', '{"type": "distinct_count", "table": "objekt"}', '{"type": "any_object_matches", "filter": null}', '{"type": "max_ordinal", "table": "objekt", "column": "c", "ordered_codes": ["a", "a"]}', "[]"):
+        with pytest.raises(ValueError):
+            derive.derivation_from_json(bad)

@@ -129,3 +129,53 @@ def test_rule_checks():
     found = scrub.check_rules(bad, [])
     assert {("Bad!", "id"), ("Bad!", "tag"), ("Bad!", "does not compile"), ("e", "matches nothing at all"), ("p", "must match: no")} <= set(found)
     assert any(r == "p" and "protected" in why for r, why in found)
+
+
+def scrubbed_texts(spark, texts, rules=scrub.Rules()):
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, original string")
+    return rows.withColumn("s", scrub.scrubbed(spark, "original", rules)).select("k", "original", "s.*")
+
+
+def test_examples_are_grouped_by_value(spark):
+    rules = scrub.Rules(lastnames=("Meier",))
+    rows = scrubbed_texts(spark, ["Herr Meier rief 079 123 45 67 an.", "Herr MEIER und Meier", "079-123-45-67", "neu: 079 123 45 68", None], rules)
+    got = {(r.rule_id, r.value): r for r in scrub.scrub_examples(rows, "k").collect()}
+    assert {k: (r.hits, r.records) for k, r in got.items()} == {("names-lastname", "Meier"): (3, 2), ("phone", "079 123 45 67"): (2, 2), ("phone", "079 123 45 68"): (1, 1)}
+    first = got[("phone", "079 123 45 67")].examples[0]
+    assert (first.record_key, first.placeholder, first.before, first.matched, first.after) == ("0", "<Phone_1>", "Herr <Lastname_1> rief", "079 123 45 67", "an.")
+    few = scrub.scrub_examples(rows, "k", values=1).where("rule_id = 'phone'").collect()
+    assert [(r.value, r.other_hits) for r in few] == [("079 123 45 67", 1)]
+
+
+def test_slow_rules_are_findings(spark):
+    rules = scrub.Rules(patterns=(("slow", "Slow", r"(?:a|aa)+$"),), seconds=0.2)
+    rows = scrubbed_texts(spark, ["a" * 60 + "!", "079 123 45 67"], rules)
+    assert [(r.code, r.key, r.detail) for r in scrub.scrub_timeouts(rows, "k").collect()] == [("TEXT_SCRUB_TIMEOUT", "0", {"rule_id": "slow"})]
+    assert [r.text for r in rows.orderBy("k").collect()] == [None, "<Phone_1>"]
+
+
+def test_the_masking_function_runs_once(spark):
+    rows = scrubbed_texts(spark, ["x"])
+    for df in (scrub.scrub_tally(rows, scrub.Rules(), "k"), rows.where("size(hits) > 0").select("text", "hits")):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") <= 1
+
+
+def test_decimals_equal_decimal_arithmetic(spark):
+    import decimal
+    import random
+
+    rng = random.Random(1)
+    values = ["0.00500000000001", "1e-12", "2.675", "2.665", "-0.001", "1,5", "1'000.50", "9.995", "0.995", "99.999", "-0", "+5", "1e3", "12e-1", ".5", "5.", "abc", "", "-.5", "1e-30", "9999999999999.995", "1.2.3", "e5", "+", "."]
+    values += [("-" if rng.random() < 0.3 else "") + "".join(rng.choices("0123456789", k=rng.randint(0, 9))) + "." + "".join(rng.choices("0590", k=rng.randint(1, 14))) + rng.choice(["", "", "e3", "E-4"]) for _ in range(300)]
+
+    def expected(v, precision):
+        try:
+            n = decimal.Decimal(v.translate({ord(c): None for c in text.GROUPING}).replace(",", "."))
+        except decimal.InvalidOperation:
+            return v.strip()
+        return f"{(n if precision is None else round(n, precision)).normalize():f}"
+
+    rows = spark.createDataFrame([(v,) for v in values], "v string")
+    for precision in (2, 0, None):
+        got = rows.select("v", text.normalise_decimal(F.col("v"), precision).alias("n")).collect()
+        assert [(r.v, r.n) for r in got] == [(v, expected(v, precision)) for v in values]
