@@ -170,10 +170,12 @@ def synthetic_keys(spark, sf):
     return integrity.all_synthetic(read(spark, sf, "customer"), "c_name", r"^Customer#[0-9]{9}$")
 
 
-def _findings(spark, sf):
+def _findings(spark, sf, more_objects: DataFrame | None = None):
     o, lines = read(spark, sf, "orders"), read(spark, sf, "lineitem")
     unfall = read(spark, sf, "customer").select(F.col("c_mktsegment").alias("file"), F.col("c_custkey").alias("key"), (F.col("c_custkey") % 20).cast("string").alias("objects"), F.lit("x").alias("persons"))
     objekt = o.select(F.col("o_orderpriority").alias("file"), F.col("o_orderkey").alias("key"), F.when(F.col("o_orderkey") % 50 == 0, -1).otherwise(F.col("o_custkey")).alias("parent"))
+    if more_objects is not None:
+        objekt = objekt.unionByName(more_objects)
     person = lines.select(F.col("l_returnflag").alias("file"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("key"), F.col("l_orderkey").alias("parent"))
     texts = read(spark, sf, "documents").select(F.col("source").alias("file"), F.col("doc_id").alias("key"))
     return integrity.validate_delivery(unfall, objekt, person, texts)
@@ -191,6 +193,22 @@ def validate_delivery(spark, sf):
     return _findings(spark, sf).groupBy("code").agg(F.count("*").alias("n"))
 
 
+_KEYED = """SELECT 'DUP_KEY_CROSS_SET' AS code, CAST(k AS VARCHAR) AS key, 'files=' || string_agg(DISTINCT f, '|' ORDER BY f) || ' n=' || count(*) AS detail FROM (SELECT l_orderkey * 10 + l_linenumber AS k, l_returnflag AS f FROM lineitem) GROUP BY k HAVING count(*) > 1
+ UNION ALL SELECT 'ORPHAN_FK', CAST(o_orderkey AS VARCHAR), 'parent=-1' FROM orders WHERE o_orderkey % 50 = 0
+ UNION ALL SELECT 'SET_UNRESOLVED', NULL, 'filename=lost'
+ UNION ALL SELECT 'COUNT_MISMATCH_OBJ', CAST(c_custkey AS VARCHAR), 'actual=' || coalesce(a, 0) || ' declared=' || c_custkey % 20 FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS a FROM orders WHERE o_orderkey % 50 <> 0 GROUP BY 1) ON o_custkey = c_custkey WHERE c_custkey % 20 <> coalesce(a, 0)
+ UNION ALL SELECT 'TEXT_KEY_UNMATCHED', CAST(doc_id AS VARCHAR), '' FROM documents WHERE doc_id NOT IN (SELECT c_custkey FROM customer)
+ UNION ALL SELECT 'UNFALL_WITHOUT_TEXT', CAST(c_custkey AS VARCHAR), '' FROM customer WHERE c_custkey NOT IN (SELECT doc_id FROM documents)"""
+
+
+@query("validate_delivery_rows", f"{_KEYED} UNION ALL SELECT 'ORPHAN_FK', '-7', 'parent=-9'")
+def validate_delivery_rows(spark, sf):
+    """Every finding with key and detail; one more file of objects shares no key with any accident."""
+    found = _findings(spark, sf, spark.createDataFrame([("lost", -7, -9)], "file string, key long, parent long"))
+    shown = F.array_join(F.transform(F.array_sort(F.map_entries(F.map_filter("detail", lambda k, _: k != "table"))), lambda e: F.concat(e["key"], F.lit("="), e["value"])), " ")
+    return found.select("code", "key", shown.alias("detail"))
+
+
 @query("blocking_filter", f"SELECT * FROM ({_FINDINGS}) WHERE n > 0 AND code IN ('DUP_KEY_CROSS_SET', 'ORPHAN_FK')")
 def blocking_filter(spark, sf):
     return integrity.blocking(_findings(spark, sf)).groupBy("code").agg(F.count("*").alias("n"))

@@ -33,13 +33,12 @@ def scrub_mandatory(spark, sf):
     return _scrubbed(spark, sf).select("doc_id", *(_hits_of(r).alias(r.replace("-", "_")) for r, _, _ in scrub.MANDATORY))
 
 
-_EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}"
+_EMAIL = r"[\p{L}\p{M}\d._%+\-]+@[\p{L}\p{M}\d\-]+(\.[\p{L}\p{M}\d\-]+)*\.\p{L}{2,}"
 
 
-@query("scrub_email_count", f"SELECT doc_id, len(regexp_extract_all(text, '{_EMAIL}'))::BIGINT AS n FROM documents WHERE regexp_matches(text, '@[A-Za-z0-9]')")
+@query("scrub_email_count", f"SELECT doc_id, len(regexp_extract_all(text, '{_EMAIL}'))::BIGINT AS n FROM documents")
 def scrub_email_count(spark, sf):
-    hits = _scrubbed(spark, sf).join(read(spark, sf, "documents").where(F.col("text").rlike("@[A-Za-z0-9]")).select("doc_id"), "doc_id")
-    return hits.select("doc_id", _hits_of("email").alias("n"))
+    return _scrubbed(spark, sf).select("doc_id", _hits_of("email").alias("n"))
 
 
 @query("scrub_tally")
