@@ -11,7 +11,9 @@ depends on the characters between alone: a worker remembers a bounded number of
 from __future__ import annotations
 
 import functools
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +25,8 @@ from pyspark.sql import functions as F
 from .tokens import batches_of
 
 MARK = "▁"
+#: A word with the marks before it: where the next one begins, all paths meet.
+_RUNS, _WHOLE = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+"), re.compile(".+", re.S)
 #: How far below the lowest score an unknown character is put.
 UNKNOWN_PENALTY = 10.0
 #: Runs remembered by a worker between batches (some 250 MB), and the characters of one at most.
@@ -62,57 +66,48 @@ def stream(text: str, v: Vocabulary, memory: dict[str, tuple[bytes, str]] | None
     Of equal scores the one whose last piece is longest wins, which makes the result unique. Runs between places where all
     paths meet are taken from ``memory``, and put there up to MEMORY.
     """
-    coded = lambda ids: (np.array(ids, "<u4").tobytes(), decode_raw(ids, v))
-    at = 0
-    while at < len(text):
-        end = _next_word(text, at) if v.mark_leads else len(text)
-        run = text[at:end]
+    for m in (_RUNS if v.mark_leads else _WHOLE).finditer(text):
+        run = m[0]
         known = memory.get(run) if memory is not None else None
-        runs = [known] if known is not None else map(coded, committed(run, v))
-        if known is None and memory is not None and len(run) < RUN and len(memory) < MEMORY:
+        if known is not None:
+            yield known
+            continue
+        runs = ((array("I", ids).tobytes(), pieces_text(ids, v)) for ids in committed(run, v))
+        if memory is not None and len(run) < RUN and len(memory) < MEMORY:
             runs = list(runs)
-            memory[run] = b"".join(ids for ids, _ in runs), "".join(d for _, d in runs)
+            memory[run] = runs[0] if len(runs) == 1 else (b"".join(ids for ids, _ in runs), "".join(d for _, d in runs))
         yield from runs
-        at = end
-
-
-def _next_word(text: str, at: int) -> int:
-    """Where the next run of marks begins after the word at ``at``."""
-    while at < len(text) and text[at] == MARK:
-        at += 1
-    end = text.find(MARK, at)
-    return len(text) if end < 0 else end
 
 
 def committed(text: str, v: Vocabulary) -> Iterator[list[int]]:
     """The ids of the best segmentation, each list as soon as all surviving paths share its end."""
-    get, longest, n = v.prefixes.get, v.longest, len(text)
-    base, check = 0, 2 * longest  # what is before base is committed
-    best: list[float] = [0.0]  # from base on
-    back: list[tuple[int, int]] = [(0, -1)]  # (length of the last piece, its id, or -1 for an unknown character)
+    get, penalty, n, step = v.prefixes.get, v.penalty, len(text), 2 * v.longest
+    base, check, room = 0, step, min(n, step)  # what is before base is committed; positions kept beyond it
+    best = [0.0] + [-np.inf] * room
+    back = [(0, -1)] + [(1, -1)] * room  # (length of the last piece, its id, or -1 for an unknown character)
     for i in range(n):
-        here = best[i - base]
-        if i + 1 - base == len(best):
-            best.append(-np.inf)
-            back.append((1, -1))
-        if here + v.penalty > best[i + 1 - base]:
-            best[i + 1 - base], back[i + 1 - base] = here + v.penalty, (1, -1)
-        for j in range(i + 1, min(n, i + longest) + 1):
+        k = i - base
+        if room - k < step and base + room < n:
+            more = min(step, n - base - room)
+            best += [-np.inf] * more
+            back += [(1, -1)] * more
+            room += more
+        here = best[k]
+        if here + penalty > best[k + 1]:
+            best[k + 1], back[k + 1] = here + penalty, (1, -1)
+        for j in range(i + 1, n + 1):
             found = get(text[i:j])
-            if found is None:
+            if found is None:  # no piece begins so
                 break
-            while j - base >= len(best):
-                best.append(-np.inf)
-                back.append((1, -1))
-            if found[1] >= 0 and here + found[0] > best[j - base]:
-                best[j - base], back[j - base] = here + found[0], (j - i, found[1])
-        if i + 1 - base >= check:
-            # Survivors: the next position, and what longer pieces have reached already.
-            meet = base + _meeting(back, i + 1 - base, best)
-            if meet > base:
-                yield _path(text, back, base, meet, v)
-                best, back = best[meet - base :], back[meet - base :]
-                base, check = meet, 2 * longest
+            score, piece = found
+            if piece >= 0 and here + score > best[j - base]:
+                best[j - base], back[j - base] = here + score, (j - i, piece)
+        if k + 1 >= check:
+            meet = _meeting(back, k + 1, best)
+            if meet:
+                yield _path(text, back, base, base + meet, v)
+                best, back = best[meet:], back[meet:]
+                base, room, check = base + meet, room - meet, step
             else:
                 check *= 2
     if base < n:
@@ -120,7 +115,7 @@ def committed(text: str, v: Vocabulary) -> Iterator[list[int]]:
 
 
 def _meeting(back: list[tuple[int, int]], now: int, best: list[float]) -> int:
-    """The last boundary that the best paths to ``now`` and to all positions reached beyond it pass."""
+    """The last boundary that the best paths to ``now`` and to all positions that longer pieces have reached beyond pass."""
     points = {now} | {k - back[k][0] for k in range(now + 1, len(back)) if best[k] > -np.inf}
     while len(points) > 1:
         last = max(points)
@@ -177,6 +172,14 @@ def encode_all(texts: list[str | None], path: str) -> list[tuple[bytes, str]]:
     return out
 
 
+def pieces_text(ids: list[int], v: Vocabulary) -> str:
+    """As ``decode_raw``, at once where there are no byte pieces."""
+    try:
+        return "".join([v.text_of[i] for i in ids])
+    except KeyError:
+        return decode_raw(ids, v)
+
+
 def decode_raw(ids: list[int], v: Vocabulary) -> str:
     """As ``decode``, with the word marks left in."""
     out, held = [], bytearray()
