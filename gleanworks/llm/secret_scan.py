@@ -132,6 +132,11 @@ def training_findings(spark: SparkSession, rows: int = TRAINING_ROWS) -> DataFra
     word = lambda salt: choose([*DICTIONARY, "alpha", "orange", "window", "river", "summer"], salt)
     bad = [cut(digest("h"), size(32, 65, 1)), cut(b64("b"), size(24, 60, 2)), cut(alnum("a"), size(16, 44, 3)), F.concat(F.lit("AKIA"), F.upper(cut(digest("k"), F.lit(16)))), F.concat(F.lit("ghp_"), cut(alnum("g"), F.lit(36))), F.concat(cut(alnum("p"), size(6, 12, 4)), choose(list("!#@?"), 5), cut(alnum("q"), size(3, 8, 6))), cut(digest("w"), F.lit(40))]
     good = [F.concat(word(21), F.lit("_"), word(22), F.lit("_"), word(23)), F.concat_ws("/", F.lit(""), word(24), word(25), word(26), F.lit("file.txt")), F.repeat(choose(list("xX0*a1"), 27), size(8, 40, 28)), F.concat(word(29), word(30), word(31)), F.concat_ws("-", cut(digest("u"), F.lit(8)), cut(digest("v"), F.lit(4)), cut(digest("x"), F.lit(4)), cut(digest("y"), F.lit(4)), cut(digest("z"), F.lit(12))), cut(digest("c"), F.lit(40)), cut(digest("d"), F.lit(64)), F.concat(F.lit("get"), F.initcap(word(32)), F.lit("()"), F.lit(".value")), F.concat(F.lit("${"), F.upper(word(33)), F.lit("_"), F.upper(word(34)), F.lit("}"))]
+    letters = lambda salt: cut(F.translate(digest(salt), "0123456789abcdef", "aeioubcdfglmnprst"), size(2, 13, f"n{salt}"))
+    # Paths and slugs of words that no dictionary has, with a digit somewhere: nothing beside them says what they are.
+    parts = [*(letters(f"s{k}") for k in range(5)), (pick(130, 133) + 1900).cast("string"), word(134)]
+    slug = F.when(pick(2, 132) == 0, F.concat_ws("-", *parts)).otherwise(F.concat_ws("_", *parts))
+    good += [F.concat_ws("/", *(F.when(pick(3, f"v{k}") == 0, word(f"d{k}")).otherwise(letters(f"l{k}")) for k in range(5)), F.concat(F.initcap(letters("c")), F.initcap(letters("d")), pick(100, 131).cast("string"))), slug]
     of = lambda options, salt: functools.reduce(lambda rest, k: F.when(pick(len(options), salt) == k, options[k]).otherwise(rest), range(1, len(options)), options[0])
     label = pick(2, 41)
     innocent = choose(["sha256 checksum of the file is", "commit", "md5", "revision", "uuid", "digest:", "see example", "sample hash"], 42)
@@ -144,9 +149,11 @@ def training_findings(spark: SparkSession, rows: int = TRAINING_ROWS) -> DataFra
     base = spark.range(rows).select("id", label.alias("label"), F.when(label == 1, of(bad, 45)).otherwise(of(good, 46)).alias("value"), pick(len(good), 46).alias("kind"), pick(4, 47).alias("form"))
     # Innocent digests stand beside a word that says so; other innocent values are in assignments as often as secrets.
     digest_like = (F.col("label") == 0) & F.col("kind").isin(4, 5, 6)
-    named = ~digest_like & (F.col("form") > 0)
+    path_like = (F.col("label") == 0) & (F.col("kind") >= 9)
+    named = ~digest_like & ~path_like & (F.col("form") > 0)
+    told = digest_like | (F.col("label") == 0) & ~named & ~path_like
     head = F.concat(name, choose([" = \"", "=", ": ", ":"], 48))
-    long = base.where("id % 2 = 1").select(F.when(named, F.concat(head, "value")).otherwise(F.col("value")).alias("match"), "value", F.when((digest_like | ((F.col("label") == 0) & ~named)) & (beside != 1), F.concat(innocent, F.lit(" "))).otherwise(F.concat(plain, F.lit(" "))).alias("before"), F.when((digest_like | ((F.col("label") == 0) & ~named)) & (beside > 0), verdict).otherwise(follows).alias("after"), F.col("label").cast("double").alias("label"))
+    long = base.where("id % 2 = 1").select(F.when(named, F.concat(head, "value")).otherwise(F.col("value")).alias("match"), "value", F.when(told & (beside != 1), F.concat(innocent, F.lit(" "))).otherwise(F.concat(plain, F.lit(" "))).alias("before"), F.when(told & (beside > 0), verdict).otherwise(follows).alias("after"), F.col("label").cast("double").alias("label"))
 
     digits = lambda lo, hi, salt: cut(F.translate(digest(salt), "abcdef", "135790"), size(lo, hi, salt))
     own = lambda salt: choose(["hunter", "tiger", "dragon", "monkey", "orange", "window", "river", "summer", "shadow", "pass", "secret", "blue"], salt)
