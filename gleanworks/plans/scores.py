@@ -364,8 +364,15 @@ _TAG = "CASE record_id % 5 WHEN 0 THEN 'hallucination' WHEN 1 THEN 'structured_d
 _MIS = f"(SELECT model AS run_id, record_id, feature AS feature_id, record_value, model_value, CASE WHEN record_id % 2 = 0 THEN {_TAG} END AS tag FROM {_CASES} WHERE outcome = 'wrong')"
 
 
+def _stored(spark, rows: DataFrame, what: str) -> DataFrame:
+    """A table as a service keeps it: written once, then read."""
+    path = scratch_dir(spark, what)
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def _reviewed(spark, sf):
-    wrong = scoring.mismatches(_cases(spark, sf))
+    wrong = _stored(spark, scoring.mismatches(_cases(spark, sf)), "mismatches")
     first = wrong.where("record_id % 2 = 0").select(*review.KEY, F.lit("unclear").alias("tag"), F.lit("n").alias("note"), F.lit("r").alias("reviewer"), F.lit(1).alias("reviewed_at"))
     second = first.withColumns({"tag": F.expr(_TAG), "reviewed_at": F.lit(2)})
     return review.with_reviews(wrong, review.set_tag(first, second))
