@@ -20,6 +20,8 @@ from pyspark.sql.window import Window
 #: The bound of the training sample: so many documents a language, a stretch of so many characters of each, so large a
 #: dictionary; and the bytes of all dictionaries, which languages share evenly where they are many.
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES, ALL_BYTES = 800, 320, 262_144, 67_108_864
+#: Up to so many languages their counts, a row each, are broadcast.
+FEW_LANGS = 10_000
 #: Bytes of text compressed at once: each piece can refer to the whole dictionary.
 PIECE = 8192
 LEVEL = 9
@@ -45,6 +47,8 @@ def learn(docs: DataFrame) -> dict[str, bytes]:
     n_langs = counts.count()
     if not n_langs:
         return {}
+    if n_langs <= FEW_LANGS:  # else Spark joins by language; texts stay where they are so
+        counts = F.broadcast(counts)
     docs_each = max(1, min(SAMPLE_DOCS, ALL_BYTES // (n_langs * SAMPLE_CHARS)))
     bytes_each = min(DICTIONARY_BYTES, ALL_BYTES // n_langs)
     h = F.xxhash64("doc_id", "text")
