@@ -174,20 +174,33 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-def _shingle_chunk(texts: list[bytes]) -> list[np.ndarray]:
+def _word_chunk(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, A-Z lower-cased, and where the words of each text begin and end."""
     data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
     ends = np.cumsum([len(t) + 1 for t in texts])
     inside = _BYTE[data] != 0
     starts = np.flatnonzero(inside & ~np.concatenate(([False], inside[:-1])))
     if not len(starts):
-        return [np.empty(0, np.uint64)] * len(texts)
+        return np.empty(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
     word_of = np.cumsum(np.bincount(starts, minlength=len(data))) - 1
     place = np.arange(len(data)) - starts[np.maximum(word_of, 0)]
     powers = np.cumprod(np.full(int(place[inside].max()) + 1, _BASE, np.uint64))
     weight = np.where(inside, _BYTE[data] * powers[np.where(inside, place, 0)], np.uint64(0))
-    words = mix64(np.add.reduceat(weight, starts))
-    bounds = np.concatenate(([0], np.searchsorted(starts, ends)))
+    return mix64(np.add.reduceat(weight, starts)), np.concatenate(([0], np.searchsorted(starts, ends)))
+
+
+def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts one after another, A-Z lower-cased, and the number of words of each text."""
+    found = [_word_chunk(texts[a:b]) for a, b in chunks(texts)]
+    words = np.concatenate([np.empty(0, np.uint64), *(w for w, _ in found)])
+    return words, np.concatenate([np.empty(0, np.int64), *(np.diff(b) for _, b in found)])
+
+
+def _shingle_chunk(texts: list[bytes]) -> list[np.ndarray]:
+    words, bounds = _word_chunk(texts)
+    if not len(words):
+        return [np.empty(0, np.uint64)] * len(texts)
     long_enough = max(len(words) - 4, 0)
     five = np.zeros(long_enough, np.uint64)
     for k in range(5):

@@ -1,9 +1,11 @@
-"""The registered queries of the ten operators: each applies its operator to a whole table and keeps the contract's columns."""
+"""The registered queries of the operators: each applies its operator to a whole table and keeps the contract's columns."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import filter_audit as audit
+from . import importance_resampling as resampling
 from . import quality_rules as rules
 from .common import Scratch, table
 from .embedding_dedup import near_vectors
@@ -11,6 +13,7 @@ from .html_extract import extract_pages
 from .language_id import language_id
 from .license_scan import license_scan
 from .near_dedup import near_duplicates
+from .ngram_lm import score_texts
 from .packing import pack
 from .secret_scan import secret_findings
 from .sentencepiece_codec import sentencepiece_codec
@@ -58,8 +61,23 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_findings(table(spark, sf_dir, "documents"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     q.__name__: q
-    for q in (op1_minhash_near_dedup, op2_license_scans, op3_packing, op4_quality_rules, op5_sentencepiece, op6_html_extraction, op7_embedding_near_dedup, op8_language_id, op9_token_files, op10_secret_scans)
+    for q in (
+        op1_minhash_near_dedup, op2_license_scans, op3_packing, op4_quality_rules, op5_sentencepiece, op6_html_extraction, op7_embedding_near_dedup, op8_language_id, op9_token_files, op10_secret_scans,
+        op11_importance_resampling, op12_filter_audit, op13_lm_scoring,
+    )
 }
-ORACLES: dict[str, str] = {"op4_quality_rules": rules.oracle_sql()}
+ORACLES: dict[str, str] = {"op4_quality_rules": rules.oracle_sql(), "op11_importance_resampling": resampling.oracle_sql(), "op12_filter_audit": audit.oracle_sql()}
