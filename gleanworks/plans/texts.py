@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import re
+
 import pandas as pd
 import regex
 from pyspark.sql import functions as F
@@ -70,6 +73,41 @@ def _planted(spark, sf):
     return c.withColumn("s", scrub.scrubbed(spark, "original", _PLANTED_RULES)).select("c_custkey", "original", "s.text", "s.hits", "s.timed_out")
 
 
+#: Syllables of made names: 50 000 last names and 20 000 first names, a number for each.
+_SYLLABLES = "ba be bi bo bu da de di do du fa fe fi fo fu ga ge gi go gu ka ke ki ko ku la le li lo lu ma me mi mo mu na ne ni no nu".split()
+_N = len(_SYLLABLES)
+
+
+def made_name(k: int, end: str) -> str:
+    a, b, c = k % _N, k // _N % _N, k // _N**2
+    return (_SYLLABLES[a] + _SYLLABLES[b] + _SYLLABLES[c] + end).capitalize()
+
+
+@functools.cache
+def long_lists() -> Rules:
+    """Lists of the length that real ones have."""
+    return Rules(firstnames=tuple(made_name(k, "nia") for k in range(20_000)), lastnames=tuple(made_name(k, "rsen") for k in range(50_000)))
+
+
+def _name_sql(k: str, end: str) -> str:
+    syllable = lambda n: f"split('{' '.join(_SYLLABLES)}', ' ')[CAST({n} AS INT) + 1]"
+    made = "||".join(syllable(n) for n in (f"(({k}) % {_N})", f"(floor(({k}) / {_N}) % {_N})", f"floor(({k}) / {_N**2})"))
+    return f"upper(substr({made}, 1, 1)) || substr({made}, 2) || '{end}'"
+
+
+_KNOWN = _name_sql("o_orderkey * 7 % 20000", "nia"), _name_sql("o_orderkey * 11 % 50000", "rsen")
+_UNKNOWN = _name_sql("o_orderkey % 50000", "xel")
+
+
+@query("scrub_long_lists", f"""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'Frau <Firstname_1> <Lastname_1> sah ' || {_UNKNOWN} || ' und <Lastname_1>.' ELSE {_UNKNOWN} || ' sah nichts.' END AS masked, CASE WHEN o_orderkey % 3 = 0 THEN 3 ELSE 0 END AS n_hits FROM orders""")
+def scrub_long_lists(spark, sf):
+    """Lists of 70 000 names over a text for each order, two thirds of them without a listed name."""
+    named = f"CASE WHEN o_orderkey % 3 = 0 THEN 'Frau ' || {_KNOWN[0]} || ' ' || {_KNOWN[1]} || ' sah ' || {_UNKNOWN} || ' und ' || upper({_KNOWN[1]}) || '.' ELSE {_UNKNOWN} || ' sah nichts.' END"
+    spelt = F.expr(re.sub(r"\[(CAST\(.*? AS INT\)) \+ 1\]", r"[\1]", named))
+    found = read(spark, sf, "orders").select("o_orderkey", scrub.scrubbed(spark, spelt, long_lists()).alias("s"))
+    return found.select("o_orderkey", F.col("s.text").alias("masked"), F.size("s.hits").alias("n_hits"))
+
+
 _RULE_HITS = {"license-plate": "c_custkey % 4 = 0", "phone": "true", "email": "c_custkey % 5 = 0", "names-firstname": "c_custkey % 6 = 0", "names-lastname": "c_custkey % 6 <= 1", "names-name": "false"}
 
 
