@@ -90,13 +90,14 @@ def markup(page: str) -> Iterator[tuple[str, str, str]]:
     sections = plain = True  # whether a CDATA section, and an unclosed quotation mark in a tag, can still end
     while at < n:
         start = page.find("<", at)
-        if start > last:
-            start, n = page.find("<!--", start), 0  # an open comment takes the rest
+        unclosed = start > last
+        if unclosed:
+            start = page.find("<!--", start)  # an open comment takes the rest, all else is text
         if start < 0:
             break
         m = _NAME.match(page, start)
         mark = page[start + 1 : start + 2]
-        if n and not m and mark not in ("!", "?"):
+        if not unclosed and not m and mark not in ("!", "?"):
             yield "text", "", page[at : start + 1]
             at = start + 1
             continue
