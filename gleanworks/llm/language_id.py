@@ -7,7 +7,6 @@ predicted, and a narrow margin to the next one marks the prediction as rejected.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,7 +26,6 @@ PIECE = 8192
 LEVEL = 9
 #: A prediction whose margin, as a share of the second best size, is lower is rejected.
 MIN_MARGIN = 0.004
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -77,7 +75,7 @@ def _predictor(dictionaries):
         for batch in batches:
             out_lang, score, margin = [], [], []
             for text in batch.column("row").field("text").to_pylist():
-                if not text or not langs or not _LETTER.search(text):
+                if not text or not langs or not any(map(str.isalpha, text)):
                     out_lang.append("und"), score.append(0.0), margin.append(0.0)
                     continue
                 raw = text.lower().encode()
