@@ -143,23 +143,26 @@ def column_index(header: list[str], name: str) -> int | None:
     return names.index(name.strip().casefold()) if name.strip().casefold() in names else None
 
 
-def _opened(data: bytes, vocabularies: dict, keys: dict[str, str], overrides: dict) -> dict:
-    text, encoding, refused = decode(data, overrides.get("encoding"))
-    if refused:
-        return {"refused": refused[0], "refused_detail": refused[1]}
+def describe(text: str, vocabularies: dict, keys: dict[str, str], overrides: dict) -> dict:
+    """Dialect, header and kind of a file from its first lines, and the line of its header."""
     delimiter = overrides.get("delimiter") or sniff(text, overrides.get("kind"))
-    header = next((fields for _, fields, _, error in read_rows(text, delimiter) if not error), [])
+    line, header = next(((line, fields) for line, fields, _, error in read_rows(text, delimiter) if not error), (None, []))
     found = classify_header(header, vocabularies)
     if overrides.get("kind"):
         found["kind"] = overrides["kind"]
     if not overrides.get("delimiter") and not overrides.get("kind") and found["kind"] != "unknown":
         delimiter = sniff(text, found["kind"])
-    many, first, line = utf8_sequences(data) if encoding == "cp1252" else (0, None, None)
     names = [keys[k] for k in (f"{found['kind']}:{found['vocabulary']}", found["kind"]) if k in keys]
-    return {
-        "text": text, "encoding": encoding, "had_mark": data.startswith(UTF8_MARK), "delimiter": delimiter, "header": header, "header_ok": found.pop("ok"), **found,
-        "key_index": (column_index(header, names[0]) if names else None) or 0, "utf8_sequences": many, "first_utf8_offset": first, "first_utf8_line": line,
-    }
+    return {"delimiter": delimiter, "header": header, "header_line": line, "header_ok": found.pop("ok"), **found, "key_index": (column_index(header, names[0]) if names else None) or 0}
+
+
+def _opened(data: bytes, vocabularies: dict, keys: dict[str, str], overrides: dict) -> dict:
+    text, encoding, refused = decode(data, overrides.get("encoding"))
+    if refused:
+        return {"refused": refused[0], "refused_detail": refused[1]}
+    many, first, line = utf8_sequences(data) if encoding == "cp1252" else (0, None, None)
+    found = describe(text, vocabularies, keys, overrides)
+    return {"text": text, "encoding": encoding, "had_mark": data.startswith(UTF8_MARK), **found, "utf8_sequences": many, "first_utf8_offset": first, "first_utf8_line": line}
 
 
 def analyse_files(files: DataFrame, vocabularies: dict, keys: dict[str, str], overrides: dict[str, dict] | None = None) -> DataFrame:
