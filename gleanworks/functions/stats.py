@@ -55,3 +55,27 @@ def macro_interval(cells: DataFrame, by: str = "model", point: str = "point", lo
     return cells.groupBy(by).agg(
         F.avg(point).alias("macro"), F.greatest(F.lit(0.0), middle - spread).alias("macro_low"), F.least(F.lit(1.0), middle + spread).alias("macro_high"), F.sum(n).cast("long").alias("n"), F.count(F.lit(1)).alias("n_features")
     )
+
+
+def exact_round(x: Column, digits: int) -> Column:
+    """A double rounded to ``digits`` decimals from its exact value, ties to even, as a double.
+
+    The product with the power of ten is split into what a double holds and the exact rest, which decides where the product
+    alone looks like a tie. Holds for up to 11 decimals and products below 2^53; null, NaN and infinity stay.
+    """
+    if not 0 <= digits <= 11:
+        raise ValueError("0 to 11 digits")
+    scale = F.lit(10.0**digits)
+    big = x * F.lit(134217729.0)  # 2^27 + 1 cuts a double into halves
+    high = big - (big - x)
+    low = x - high
+    power_big = scale * F.lit(134217729.0)
+    power_high = power_big - (power_big - scale)
+    power_low = scale - power_high
+    product = x * scale
+    rest = ((high * power_high - product) + high * power_low + low * power_high) + low * power_low
+    down = F.floor(product).cast("double")
+    side = (product - down) - F.lit(0.5)
+    up = (side > 0) | (side == 0) & ((rest > 0) | (rest == 0) & (down % 2 != 0))
+    whole = F.when(up, down + 1).otherwise(down)
+    return F.when(F.abs(x) < F.lit(2.0**53) / scale, whole / scale).otherwise(x)

@@ -5,7 +5,6 @@ Scores are stored unsuppressed; floors are applied here, on reading.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,23 +69,20 @@ def rank_models(macros: DataFrame, by: list[str] | None = None) -> DataFrame:
     """``macros`` with rank: from the best, all that overlap the leader of the rest share a rank, which is one more than
     the models ranked before. Overlap is not transitive, so groups are peeled off one after another.
 
-    A group holds the models of one evaluation.
+    A group holds the models of one evaluation. In order of macro a model joins the first leader that it overlaps, or leads
+    itself, so one fold over the group finds all leaders.
     """
     by = by or []
-    schema = macros.select(*by, "model", "macro", "macro_low", "macro_high", F.lit(0).cast("long").alias("rank")).schema
-
-    def peel(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = pdf.sort_values(["macro", "model"], ascending=[False, True])
-        done = []
-        while len(left):
-            lead = left.iloc[0]
-            tied = (left.macro_low <= lead.macro_high) & (left.macro_high >= lead.macro_low)
-            tied.iloc[0] = True
-            done.append(left[tied].assign(rank=sum(map(len, done)) + 1))
-            left = left[~tied]
-        return pd.concat(done)[schema.names]
-
-    return macros.groupBy(*by).applyInPandas(peel, schema)
+    each = F.struct((-F.col("macro")).alias("down"), "model", "macro", "macro_low", "macro_high")
+    groups = macros.groupBy(*by).agg(F.array_sort(F.collect_list(each)).alias("models"))
+    models = F.col("models")
+    overlaps = lambda x, lead: (x["macro_low"] <= lead["macro_high"]) & (x["macro_high"] >= lead["macro_low"])
+    interval = lambda x: F.struct(x["macro_low"].alias("macro_low"), x["macro_high"].alias("macro_high"))
+    leads = F.aggregate(models, F.array().cast("array<struct<macro_low:double,macro_high:double>>"), lambda leads, x: F.when(F.exists(leads, lambda lead: overlaps(x, lead)), leads).otherwise(F.concat(leads, F.array(interval(x)))))
+    joined = lambda x: F.array_position(F.transform("leads", lambda lead: overlaps(x, lead)), True)
+    rows = groups.withColumn("leads", leads).select(*by, F.explode(F.transform(models, lambda x: F.struct(x["model"].alias("model"), x["macro"].alias("macro"), x["macro_low"].alias("macro_low"), x["macro_high"].alias("macro_high"), joined(x).alias("turn")))).alias("m"))
+    rank = F.rank().over(Window.partitionBy(*by).orderBy("m.turn")) if by else F.rank().over(Window.partitionBy(F.lit(0)).orderBy("m.turn"))
+    return rows.select(*by, "m.model", "m.macro", "m.macro_low", "m.macro_high", rank.cast("long").alias("rank"))
 
 
 def separating_features(scores: DataFrame, macros: DataFrame, floor: int = MIN_COUNT) -> DataFrame:

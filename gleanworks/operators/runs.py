@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.stats import exact_round
+
 
 DEV_RECORDS, RECORD_MIN = 50, 20
 #: Tokens kept free for an answer, and shares of the context.
@@ -146,10 +148,10 @@ def gate_verdict(band: Column, serial_differ: Column, parallel_differ: Column, s
 
 
 def gate_result(passes: DataFrame) -> DataFrame:
-    """``passes(n, band, serial_differ, parallel_differ, serial_ms, parallel_ms)`` with speedup (rounded to 2) and verdict
+    """``passes(n, band, serial_differ, parallel_differ, serial_ms, parallel_ms)`` with speedup (its exact value rounded to 2) and verdict
     (judged unrounded)."""
     speedup = F.col("serial_ms") / F.col("parallel_ms")
-    return passes.withColumns({"verdict": gate_verdict(F.col("band"), F.col("serial_differ"), F.col("parallel_differ"), speedup), "speedup": F.bround(speedup, 2)})
+    return passes.withColumns({"verdict": gate_verdict(F.col("band"), F.col("serial_differ"), F.col("parallel_differ"), speedup), "speedup": exact_round(speedup, 2)})
 
 
 def parallel_decision(mapped: Column, passing_n: Column, same_digest: Column, same_version: Column, measuring: Column | None = None) -> tuple[Column, Column]:

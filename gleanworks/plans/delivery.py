@@ -608,10 +608,10 @@ def census_csv(spark, sf):
     return _exported(spark, "census", rows).select("table_name", "column_name", "distinct_count", "long_tail")
 
 
-@query("findings_csv", """SELECT 'ORPHAN_FK' AS code, CAST(o_orderkey AS VARCHAR) AS key, 'a=' || o_orderpriority || '|b=x;"' || o_orderstatus || '"' AS detail FROM orders""")
+@query("findings_csv", """SELECT CASE o_orderstatus WHEN 'F' THEN '# ORPHAN_FK' WHEN 'P' THEN 'code' ELSE 'ORPHAN_FK' END AS code, CAST(o_orderkey AS VARCHAR) AS key, 'a=' || o_orderpriority || '|b=x;"' || o_orderstatus || '"' AS detail FROM orders""")
 def findings_csv(spark, sf):
     detail = F.create_map(F.lit("b"), F.concat(F.lit('x;"'), "o_orderstatus", F.lit('"')), F.lit("a"), F.col("o_orderpriority"))
-    rows = read(spark, sf, "orders").select(F.lit("ORPHAN_FK").alias("code"), F.lit("blocking").alias("severity"), F.col("o_orderkey").alias("key"), F.lit(None).cast("int").alias("line_no"), detail.alias("detail"))
+    rows = read(spark, sf, "orders").select(F.expr("CASE o_orderstatus WHEN 'F' THEN '# ORPHAN_FK' WHEN 'P' THEN 'code' ELSE 'ORPHAN_FK' END").alias("code"), F.lit("blocking").alias("severity"), F.col("o_orderkey").alias("key"), F.lit(None).cast("int").alias("line_no"), detail.alias("detail"))
     return _exported(spark, "findings", rows).select("code", "key", "detail")
 
 
@@ -620,27 +620,27 @@ def _orders_as(spark, sf, kind: str, **columns) -> DataFrame:
     return rows.select(*(columns.get(c, F.lit(None).cast("string")).alias(c) for c in exports.HEADERS[kind]))
 
 
-@query("presence_csv", "SELECT CAST(o_orderkey AS VARCHAR) AS record_id, CASE WHEN o_orderkey % 2 = 0 THEN 'True' ELSE 'False' END AS anonymised, ' ' || o_orderpriority AS record_value FROM orders")
+@query("presence_csv", "SELECT '#' || o_orderkey AS record_id, CASE WHEN o_orderkey % 2 = 0 THEN 'True' ELSE 'False' END AS anonymised, ' ' || o_orderpriority AS record_value FROM orders")
 def presence_csv(spark, sf):
-    rows = _orders_as(spark, sf, "presence", record_id=F.col("o_orderkey"), anonymised=F.col("o_orderkey") % 2 == 0, record_value=F.concat(F.lit(" "), "o_orderpriority"))
+    rows = _orders_as(spark, sf, "presence", record_id=F.concat(F.lit("#"), F.col("o_orderkey").cast("string")), anonymised=F.col("o_orderkey") % 2 == 0, record_value=F.concat(F.lit(" "), "o_orderpriority"))
     return _exported(spark, "presence", rows).select("record_id", "anonymised", "record_value")
 
 
-@query("mismatches_csv", "SELECT CAST(o_orderkey AS VARCHAR) AS mismatch_id, 'one' || chr(10) || 'two; ' || o_orderstatus AS evidence_span, '' AS note FROM orders")
+@query("mismatches_csv", "SELECT '#' || o_orderkey AS mismatch_id, 'one' || chr(10) || 'two; ' || o_orderstatus AS evidence_span, '' AS note FROM orders")
 def mismatches_csv(spark, sf):
-    rows = _orders_as(spark, sf, "mismatches", mismatch_id=F.col("o_orderkey"), evidence_span=F.concat(F.lit("one\ntwo; "), "o_orderstatus"))
+    rows = _orders_as(spark, sf, "mismatches", mismatch_id=F.concat(F.lit("#"), F.col("o_orderkey").cast("string")), evidence_span=F.concat(F.lit("one\ntwo; "), "o_orderstatus"))
     return _exported(spark, "mismatches", rows).select("mismatch_id", "evidence_span", "note")
 
 
-@query("run_scores_csv", "SELECT o_orderstatus AS feature_key, CAST(o_orderkey AS VARCHAR) AS n, CAST(o_custkey AS VARCHAR) AS value FROM orders")
+@query("run_scores_csv", "SELECT '# ' || o_orderstatus AS feature_key, CAST(o_orderkey AS VARCHAR) AS n, CAST(o_custkey AS VARCHAR) AS value FROM orders")
 def run_scores_csv(spark, sf):
-    rows = _orders_as(spark, sf, "run_scores", feature_key=F.col("o_orderstatus"), n=F.col("o_orderkey"), value=F.col("o_custkey"))
+    rows = _orders_as(spark, sf, "run_scores", feature_key=F.concat(F.lit("# "), "o_orderstatus"), n=F.col("o_orderkey"), value=F.col("o_custkey"))
     return _exported(spark, "run_scores", rows).select("feature_key", "n", "value")
 
 
-@query("run_mismatches_csv", "SELECT CAST(o_orderkey AS VARCHAR) AS mismatch_id, o_orderpriority AS note FROM orders")
+@query("run_mismatches_csv", "SELECT '#' || o_orderkey AS mismatch_id, o_orderpriority AS note FROM orders")
 def run_mismatches_csv(spark, sf):
-    rows = _orders_as(spark, sf, "run_mismatches", mismatch_id=F.col("o_orderkey"), note=F.col("o_orderpriority"))
+    rows = _orders_as(spark, sf, "run_mismatches", mismatch_id=F.concat(F.lit("#"), F.col("o_orderkey").cast("string")), note=F.col("o_orderpriority"))
     return _exported(spark, "run_mismatches", rows).select("mismatch_id", "note")
 
 

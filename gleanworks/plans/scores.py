@@ -493,8 +493,10 @@ def noise_band(spark, sf):
     return read(spark, sf, "orders").select(n, runs.noise_band(F.col("o_custkey") % 50, n).cast("long").alias("band"), runs.noise_floor(n).cast("long").alias("floor"))
 
 
-@query("gate_result", """SELECT o_orderkey, round_even(s / p, 2) AS speedup, CASE WHEN a AND b THEN 'passes' WHEN b THEN 'fails_parallel' WHEN a THEN 'fails_server' ELSE 'fails_both' END AS verdict
- FROM (SELECT o_orderkey, s, p, o_custkey % 9 <= 5 AND s / p >= 1.3 AS a, o_custkey % 7 <= 5 AS b FROM (SELECT *, (1000 + o_orderkey % 700)::DOUBLE AS s, (800 + o_custkey % 3)::DOUBLE AS p FROM orders))""")
+# The exact rest of s / p * 100 decides where the product looks like a tie: halves of doubles by 2^27 + 1.
+@query("gate_result", """SELECT o_orderkey, (CASE WHEN t > 0.5 OR t = 0.5 AND (e > 0 OR e = 0 AND d % 2 <> 0) THEN d + 1 ELSE d END) / 100 AS speedup, CASE WHEN a AND b THEN 'passes' WHEN b THEN 'fails_parallel' WHEN a THEN 'fails_server' ELSE 'fails_both' END AS verdict
+ FROM (SELECT *, floor(m) AS d, m - floor(m) AS t, (h * 100::DOUBLE - m) + (x - h) * 100::DOUBLE AS e FROM (SELECT *, x * 100::DOUBLE AS m, x * 134217729::DOUBLE - (x * 134217729::DOUBLE - x) AS h
+  FROM (SELECT o_orderkey, s / p AS x, o_custkey % 9 <= 5 AND s / p >= 1.3 AS a, o_custkey % 7 <= 5 AS b FROM (SELECT *, (1000 + o_orderkey % 700)::DOUBLE AS s, (800 + o_custkey % 3)::DOUBLE AS p FROM orders))))""")
 def gate_result(spark, sf):
     """Speedups that rounding lifts to the limit, and the verdict on what is not rounded."""
     passes = read(spark, sf, "orders").select("o_orderkey", F.lit(5).alias("band"), (F.col("o_custkey") % 7).alias("serial_differ"), (F.col("o_custkey") % 9).alias("parallel_differ"), (1000 + F.col("o_orderkey") % 700).alias("serial_ms"), (800 + F.col("o_custkey") % 3).alias("parallel_ms"))
@@ -591,10 +593,10 @@ def latest_settings(spark, sf):
     return runs.latest_settings(read(spark, sf, "events").select(F.col("event_type").alias("key"), "value", F.col("event_id").alias("changed_at")))
 
 
-@query("descriptor", "SELECT n_nationkey AS run_id, n_regionkey AS corpus_id, n::BIGINT AS record_count, n < 300 AS is_dev FROM nation JOIN region ON n_regionkey = r_regionkey JOIN (SELECT c_custkey % 5 AS k, count(*) AS n FROM customer WHERE c_custkey % 7 <> 0 OR c_custkey % 5 = 1 GROUP BY 1) ON k = n_regionkey")
+@query("descriptor", "SELECT n_nationkey AS run_id, n_regionkey AS corpus_id, n::BIGINT AS record_count, n < 300 AS is_dev FROM nation JOIN region ON n_regionkey = r_regionkey JOIN (SELECT c_nationkey % 5 AS k, count(*) AS n FROM customer GROUP BY 1) ON k = n_regionkey")
 def descriptor(spark, sf):
     run = read(spark, sf, "nation").select(F.col("n_nationkey").alias("run_id"), F.col("n_regionkey").cast("long").alias("corpus_id"))
     corpora = read(spark, sf, "region").select(F.col("r_regionkey").cast("long").alias("corpus_id"), "r_name")
-    records = read(spark, sf, "customer").where("c_custkey % 7 <> 0 OR c_custkey % 5 = 1").select((F.col("c_custkey") % 5).alias("corpus_id"))
+    records = read(spark, sf, "customer").select((F.col("c_nationkey") % 5).cast("long").alias("corpus_id"))
     found = runs.descriptor(run, corpora, records).withColumn("is_dev", runs.is_dev(F.col("record_count"), 300))
     return found.select("run_id", F.col("corpus_id").cast("int").alias("corpus_id"), "record_count", "is_dev")

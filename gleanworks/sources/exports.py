@@ -45,6 +45,7 @@ def write_csv(rows: DataFrame, path: str, classification: str, context: str, col
     columns = columns or rows.columns
     named = io.StringIO()
     csv.writer(named, delimiter=";", lineterminator="").writerow(columns)
+    classification, context = (" ".join(x.splitlines()) for x in (classification, context))
     head = f"\ufeff# {classification}\r\n# {context}\r\n{named.getvalue()}"
     first = rows.sparkSession.createDataFrame([(head,)], "value string").coalesce(1)
     flat = [F.when(F.col(c), "True").otherwise("False") if rows.schema[c].dataType.typeName() == "boolean" else F.col(c) for c in columns]
@@ -66,12 +67,14 @@ def gather(spark: SparkSession, path: str, out: str) -> None:
 
 
 def read_csv(spark: SparkSession, kind: str, path: str) -> DataFrame:
-    """The rows of an export, a folder or one file, as strings; its mark, comments and header are left out."""
+    """The rows of one export, a folder or a file, as strings. The first three rows of its first file are its head: the two
+    comments and the column names are left out; rows that look like them elsewhere are rows."""
     columns = HEADERS[kind]
-    lines = spark.read.option("sep", ";").option("quote", '"').option("escape", '"').option("multiLine", True).option("comment", "#").option("emptyValue", "").option("nullValue", "\0")
-    rows = lines.schema(", ".join(f"`{c}` string" for c in columns)).csv(path)
-    first = F.col(columns[0])
-    return rows.where(~first.startswith("\ufeff") & (first != columns[0])).fillna("")  # an export knows no nulls
+    lines = spark.read.option("sep", ";").option("quote", '"').option("escape", '"').option("multiLine", True).option("emptyValue", "").option("nullValue", "\0")
+    rows = lines.schema(", ".join(f"`{c}` string" for c in columns)).csv(path).select("*", F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at")).alias("_at"))
+    head = rows.agg(F.min("_at").alias("_head"))  # one row
+    below = rows.join(F.broadcast(head)).where("_at.file <> _head.file OR _at.at > _head.at + 2")
+    return below.select(columns).fillna("")  # an export knows no nulls
 
 
 def export(kind: str, rows: DataFrame, path: str, classification: str = "internal", context: str = "") -> None:
