@@ -4,9 +4,10 @@ The model mixes maximum-likelihood estimates of every order, and a smoothed unig
 depend on how often the context was seen. The weights are learned by expectation-maximisation on a deleted part of the
 training documents, with counts of the rest; the counts of the final model are those of all training documents.
 
-Work is dealt in blocks of some megabytes of text. A block asks once for the count of each distinct n-gram that it holds,
-whatever their number in the text, so a frequent n-gram costs a row per block and not per document; counts are sums over
-those rows, and every n-gram of the corpus is counted. Texts and the answers meet again by block.
+Documents are tokenised once, into chunks of some megabytes of text, a row each. A chunk asks once for the count of each
+distinct n-gram that it holds, whatever their number in the text, so a frequent n-gram costs a row per chunk and not per
+document. What it asks travels as sorted, compressed runs of keys, a run for each range of keys; the task of a range adds up
+what all chunks have and answers every run with counts in its order. Every n-gram of the corpus is counted, none is dropped.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,20 +28,33 @@ from .common import Scratch, hashed_words, mix64
 ORDER, FOLDS = 2, 8
 #: The fold of documents that are held out of training altogether, of so many.
 HELD_OUT, OUT_OF = 2, 7
-#: Bytes of text in a block, fewer where there would be fewer blocks than shuffle partitions.
-BLOCK_BYTES, LEAST_BYTES = 32_000_000, 4_000_000
+#: Bytes of text in a chunk, and in the texts for each range of keys.
+CHUNK_BYTES, RANGE_BYTES = 8_000_000, 16_000_000
 ROUNDS, TOLERANCE = 25, 1e-6
 #: Buckets of contexts: the order of the longest context seen, and the binary logarithm of its count.
 SIZES = 64
 _END, _START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _PLACES = mix64(np.arange(1, 6, dtype=np.uint64)) | np.uint64(1)
-ASKED, EM_ROW = "block int, k tinyint, key long, kept long, deleted long", "bucket int, p array<double>, n long"
+CHUNK = "chunk long, deleted boolean, kept_tokens long, deleted_tokens long, doc_ids array<long>, held_out array<boolean>, learn array<boolean>, sizes binary, vocabulary binary, ids binary"
+RUN = "range int, chunk long, deleted boolean, n int, single binary, keys binary, counts binary"
+ANSWER = "chunk long, range int, deleted boolean, kept binary, total binary, v_kept long, v_all long"
+EM_ROW = "bucket int, p array<double>, n long"
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _grams(texts: list[bytes], order: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-    """Keys of the k-grams that end at each token, and of the contexts before it (k - 1 words), for k = 1 to ``order``;
-    tokens per text, the end token of each text included. A context before the first word is made of start marks."""
+def packed(a: np.ndarray) -> bytes:
+    """Numbers as byte planes, the lowest first, in one zstandard frame: planes of zeros cost nothing."""
+    planes = a.astype("<u8").view(np.uint8).reshape(-1, 8).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpacked(frame: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(frame), np.uint8)
+    return np.ascontiguousarray(raw.reshape(8, -1).T).view("<u8").ravel()
+
+
+def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the tokens of all texts, each with its end, and the number of tokens of each text."""
     words, counts = hashed_words(texts)
     sizes = counts + 1
     ends = np.cumsum(sizes)
@@ -46,90 +62,172 @@ def _grams(texts: list[bytes], order: int) -> tuple[list[np.ndarray], list[np.nd
     inside = np.ones(len(tokens), bool)
     inside[ends - 1] = False
     tokens[inside] = words
-    place = np.arange(len(tokens)) - np.repeat(ends - sizes, sizes)
-
-    def gram(first: int, k: int) -> np.ndarray:
-        """Keys of the ``k`` tokens that end ``first`` before each."""
-        total = np.full(len(tokens), k, np.uint64)
-        for j in range(first, first + k):
-            before = np.full(len(tokens), _START, np.uint64)
-            before[j:] = tokens[: len(tokens) - j]
-            total += np.where(place >= j, before, _START) * _PLACES[j - first]
-        return mix64(total)
-
-    return [gram(0, k) for k in range(1, order + 1)], [gram(1, k - 1) for k in range(1, order + 1)], sizes
-
-
-def _asked(table: pa.Table, order: int) -> pa.Table:
-    """The distinct n-grams of a block, with their counts where the block is one of training documents."""
-    learn = np.array(table.column("learn").to_pylist(), bool)
-    deleted = bool(table.column("is_deleted")[0].as_py())
-    block = table.column("block")[0].as_py()
-    grams, contexts, sizes = _grams(table.column("text").to_pylist(), order)
-    counted = np.repeat(learn, sizes)
-    firsts = np.cumsum(sizes) - sizes
-    keys, sums, orders = [], [], []
-    for k in range(1, order + 1):
-        # A context of start marks alone ends at no token: it is counted once for each text.
-        marks = contexts[k][firsts] if k < order else np.empty(0, np.uint64)
-        found, index = np.unique(np.concatenate([grams[k - 1], marks]), return_inverse=True)
-        weight = np.concatenate([counted, learn if k < order else np.empty(0, bool)])
-        keys.append(found), sums.append(np.bincount(index, weights=weight, minlength=len(found)).astype(np.int64))
-        orders.append(np.where(np.isin(found, marks), -k, k).astype(np.int8))
-    total, zero = np.concatenate(sums), np.zeros(sum(map(len, sums)), np.int64)
-    return pa.table({"block": pa.array(np.full(len(total), block, np.int32)), "k": np.concatenate(orders), "key": np.concatenate(keys).view(np.int64), "kept": zero if deleted else total, "deleted": total if deleted else zero})
-
-
-class Estimates:
-    """Estimates of every order for the tokens of some texts, from the answers of their block."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, n: int, v: int, order: int):
-        at = np.argsort(keys)
-        self.keys, self.counts, self.n, self.v, self.order = keys[at], counts[at], n, v, order
-
-    def count(self, keys: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.zeros(len(keys), np.int64)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.counts[at], 0)
-
-    def of(self, grams: list[np.ndarray], contexts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Counts of the tokens, the bucket of each one's context, and its estimates by order (0: smoothed unigrams)."""
-        single = self.count(grams[0])
-        p = [(single + 1) / (self.n + self.v + 1)]
-        bucket = np.zeros(len(single), np.int32)
-        if self.n:
-            p.append(single / self.n)
-            bucket += SIZES
-        else:
-            p.append(np.zeros(len(single)))
-        for k in range(2, self.order + 1):
-            seen = self.count(contexts[k - 1])
-            p.append(np.where(seen > 0, self.count(grams[k - 1]) / np.maximum(seen, 1), 0.0))
-            bucket = np.where(seen > 0, k * SIZES + np.log2(np.maximum(seen, 1)).astype(np.int32), bucket)
-        return single, bucket, np.stack(p, axis=1)
-
-
-def _answers(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    return table.column("key").to_numpy().view(np.uint64), table.column("n").to_numpy()
-
-
-def _em_rows(texts: pa.Table, answers: pa.Table, order: int, n: int, v: int) -> pa.Table:
-    """The tokens of a deleted block by bucket and estimates, those that are alike counted together."""
-    grams, contexts, _ = _grams(texts.column("text").to_pylist(), order)
-    _, bucket, p = Estimates(*_answers(answers), n, v, order).of(grams, contexts)
-    rows, counts = np.unique(np.column_stack([bucket, p]), axis=0, return_counts=True)
-    listed = pa.ListArray.from_arrays(np.arange(0, len(rows) * (order + 1) + 1, order + 1, dtype=np.int32), rows[:, 1:].ravel())
-    return pa.table({"bucket": rows[:, 0].astype(np.int32), "p": listed, "n": counts.astype(np.int64)})
-
-
-def _scores(texts: pa.Table, answers: pa.Table, order: int, n: int, v: int, weights: np.ndarray) -> pa.Table:
-    grams, contexts, sizes = _grams(texts.column("text").to_pylist(), order)
-    single, bucket, p = Estimates(*_answers(answers), n, v, order).of(grams, contexts)
-    mixed = (weights[bucket] * p).sum(axis=1)
-    starts = np.cumsum(sizes) - sizes
-    total = lambda x: np.add.reduceat(x, starts)  # noqa: E731  a text has its end token at least
-    return pa.table({"doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"), "n_tokens": sizes.astype(np.int64), "n_known": total((single > 0).astype(np.int64)), "base_score": total(np.log10(p[:, 0])), "score": total(np.log10(mixed))})
+    return tokens, sizes
+
+
+class NGrams:
+    """The n-grams of a chunk: for each order its distinct keys and, for each token, which of them ends there."""
+
+    def __init__(self, vocabulary: np.ndarray, ids: np.ndarray, sizes: np.ndarray, order: int):
+        self.sizes, self.order = sizes, order
+        self.firsts = np.cumsum(sizes) - sizes
+        tokens, place = vocabulary[ids], np.arange(len(ids)) - np.repeat(self.firsts, sizes)
+        self.keys, self.at = [mix64(vocabulary * _PLACES[0] + np.uint64(1))], [ids]
+        for k in range(2, order + 1):
+            total = tokens * _PLACES[0] + np.uint64(k)
+            for j in range(1, k):
+                # what stands before a text are start marks
+                total[j:] += np.where(place[j:] >= j, tokens[:-j], _START) * _PLACES[j]
+                total[:j] += _START * _PLACES[j]
+            keys, at = np.unique(mix64(total), return_inverse=True)
+            self.keys.append(keys), self.at.append(at)
+        #: Contexts of start marks alone, which end at no token.
+        marks = [mix64(np.array([sum((int(_START) * int(_PLACES[j]) for j in range(k)), k) % 2**64], np.uint64)) for k in range(1, order)]
+        every = np.concatenate([*self.keys, *marks])
+        self.sorted = np.argsort(every, kind="stable")
+        self.every = every[self.sorted]
+        self.cuts = np.cumsum([len(k) for k in self.keys])
+
+    def counts(self, learn: np.ndarray) -> np.ndarray:
+        """Of the keys in order, in the texts that ``learn`` marks."""
+        weight = np.repeat(learn, self.sizes).astype(np.float64)
+        sums = [np.bincount(at, weights=weight, minlength=len(k)) for k, at in zip(self.keys, self.at, strict=True)]
+        return np.concatenate([*sums, np.full(self.order - 1, learn.sum())])[self.sorted].astype(np.int64)
+
+    @property
+    def single(self) -> np.ndarray:
+        """Which of the keys in order are tokens."""
+        return self.sorted < self.cuts[0]
+
+    def found(self, counts: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """For each order the counts of the n-gram at each token, and of its context, from counts of the keys in order."""
+        back = np.empty_like(counts)
+        back[self.sorted] = counts
+        of = [c[at] for c, at in zip(np.split(back[: self.cuts[-1]], self.cuts[:-1]), self.at, strict=True)]
+        contexts = []
+        for k in range(1, self.order):
+            c = np.concatenate(([0], of[k - 1][:-1]))
+            c[self.firsts] = back[self.cuts[-1] + k - 1]
+            contexts.append(c)
+        return of, contexts
+
+
+def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks of the documents of a partition, those of the deleted part apart."""
+    held: dict[bool, list] = {}
+    size = {True: 0, False: 0}
+    made = 0
+
+    def chunk(deleted: bool) -> pa.RecordBatch:
+        nonlocal made
+        doc_ids, held_out, learn, texts = zip(*held.pop(deleted), strict=True)
+        size[deleted] = 0
+        tokens, sizes = _tokens(texts)
+        vocabulary, ids = np.unique(tokens, return_inverse=True)
+        learned = int(sizes[np.array(learn, bool)].sum())
+        number = (TaskContext.get().partitionId() << 32) + made
+        made += 1
+        row = [number, deleted, 0 if deleted else learned, learned if deleted else 0, doc_ids, held_out, learn, packed(sizes), packed(vocabulary), packed(ids)]
+        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=[f.split()[0] for f in CHUNK.split(", ")])
+
+    for batch in batches:
+        columns = (batch.column(n).to_pylist() for n in ("doc_id", "held_out", "learn", "text", "is_deleted"))
+        for *row, deleted in zip(*columns, strict=True):
+            held.setdefault(deleted, []).append(row)
+            size[deleted] += len(row[-1])
+            if size[deleted] >= CHUNK_BYTES:
+                yield chunk(deleted)
+    for deleted in list(held):
+        yield chunk(deleted)
+
+
+def _opened(row: dict, order: int) -> NGrams:
+    return NGrams(unpacked(row["vocabulary"]), unpacked(row["ids"]).astype(np.int64), unpacked(row["sizes"]).astype(np.int64), order)
+
+
+def _range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
+    """Ranges ascend with the keys."""
+    return ((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+
+
+def _runs(batches: Iterator[pa.RecordBatch], order: int, ranges: int) -> Iterator[pa.RecordBatch]:
+    """What each chunk asks: its n-grams by range, the keys as differences, and its own counts."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            grams = _opened(row, order)
+            keys, counts, single = grams.every, grams.counts(np.array(row["learn"], bool)), grams.single
+            of = _range_of(keys, ranges)
+            cuts = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1], [True])))
+            found = []
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                steps = np.diff(keys[a:b], prepend=np.uint64(0))
+                found.append((int(of[a]), row["chunk"], row["deleted"], b - a, np.packbits(single[a:b]).tobytes(), packed(steps), packed(counts[a:b])))
+            kinds = [pa.int32(), pa.int64(), pa.bool_(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*found, strict=True), kinds, strict=True)], names=[f.split()[0] for f in RUN.split(", ")])
+
+
+def _answered(table: pa.Table) -> pa.Table:
+    """Counts of all chunks for the runs of one range, in the order of each run; and how many single tokens there are."""
+    rows = table.to_pylist()
+    keys = np.concatenate([np.cumsum(unpacked(r["keys"]), dtype=np.uint64) for r in rows])
+    counts = np.concatenate([unpacked(r["counts"]) for r in rows]).astype(np.int64)
+    single = np.concatenate([np.unpackbits(np.frombuffer(r["single"], np.uint8), count=r["n"]) for r in rows]).astype(bool)
+    deleted = np.repeat([r["deleted"] for r in rows], [r["n"] for r in rows])
+    distinct, index = np.unique(keys, return_inverse=True)
+    of = lambda which: np.bincount(index[which], weights=counts[which], minlength=len(distinct)).astype(np.int64)
+    kept = of(~deleted)
+    total = kept + of(deleted)
+    word = np.zeros(len(distinct), bool)
+    word[index[single]] = True
+    ends = np.cumsum([r["n"] for r in rows])
+    slices = [index[e - r["n"] : e] for e, r in zip(ends, rows, strict=True)]
+    known = [int((word & (c > 0)).sum()) for c in (kept, total)]
+    return pa.table({
+        "chunk": pa.array([r["chunk"] for r in rows], pa.int64()), "range": pa.array([r["range"] for r in rows], pa.int32()), "deleted": [r["deleted"] for r in rows],
+        "kept": pa.array([packed(kept[x]) if r["deleted"] else None for x, r in zip(slices, rows, strict=True)], pa.binary()), "total": pa.array([packed(total[x]) for x in slices], pa.binary()),
+        "v_kept": pa.array([known[0]] + [0] * (len(rows) - 1), pa.int64()), "v_all": pa.array([known[1]] + [0] * (len(rows) - 1), pa.int64()),
+    })
+
+
+def _estimated(chunk: pa.Table, answers: pa.Table, counts: str, order: int, n: int, v: int) -> tuple[dict, NGrams, np.ndarray, np.ndarray, np.ndarray]:
+    """(the chunk, its n-grams, counts of its tokens, the bucket of each one's context, its estimates by order; 0 is the
+    smoothed one of unigrams), from the counts that the chunk was answered."""
+    row = chunk.to_pylist()[0]
+    grams = _opened(row, order)
+    frames = answers.sort_by("range").column(counts).to_pylist()
+    of, contexts = grams.found(np.concatenate([unpacked(x) for x in frames]).astype(np.int64))
+    single = of[0]
+    p = np.empty((len(single), order + 1))
+    p[:, 0] = (single + 1) / (n + v + 1)
+    p[:, 1] = single / max(n, 1)
+    bucket = np.full(len(single), SIZES if n else 0, np.int32)
+    for k in range(2, order + 1):
+        seen = contexts[k - 2]
+        p[:, k] = np.where(seen > 0, of[k - 1] / np.maximum(seen, 1), 0.0)
+        bucket = np.where(seen > 0, k * SIZES + np.log2(np.maximum(seen, 1)).astype(np.int32), bucket)
+    return row, grams, single, bucket, p
+
+
+def _em_rows(chunk: pa.Table, answers: pa.Table, order: int, n: int, v: int) -> pa.Table:
+    """The tokens of a deleted chunk by bucket and estimates, those that are alike counted together."""
+    _, _, _, bucket, p = _estimated(chunk, answers, "kept", order, n, v)
+    alike = bucket.astype(np.uint64)
+    for k in range(order + 1):
+        alike = mix64(alike + p[:, k].view(np.uint64))
+    _, at, counts = np.unique(alike, return_index=True, return_counts=True)
+    listed = pa.ListArray.from_arrays(np.arange(0, len(at) * (order + 1) + 1, order + 1, dtype=np.int32), p[at].ravel())
+    return pa.table({"bucket": bucket[at].astype(np.int32), "p": listed, "n": counts.astype(np.int64)})
+
+
+def _scores(chunk: pa.Table, answers: pa.Table, order: int, n: int, v: int, weights: np.ndarray) -> pa.Table:
+    row, grams, single, bucket, p = _estimated(chunk, answers, "total", order, n, v)
+    base = np.log10(p[:, 0])
+    mixed = np.zeros(len(p))
+    for k in range(order + 1):
+        mixed += weights[bucket, k] * p[:, k]
+    total = lambda x: np.add.reduceat(x, grams.firsts)  # noqa: E731  a text has its end token at least
+    return pa.table({"doc_id": pa.array(row["doc_ids"], pa.int64()), "held_out": row["held_out"], "n_tokens": grams.sizes, "n_known": total((single > 0).astype(np.int64)), "base_score": total(base), "score": total(np.log10(mixed))})
 
 
 def start_weights(order: int) -> np.ndarray:
@@ -192,28 +290,20 @@ def score_texts(docs: DataFrame, order: int = ORDER, folds: int = FOLDS, scratch
     learn = F.col("doc_id").isNotNull() & ~held_out
     deleted = learn & F.coalesce(F.floor(crc / OUT_OF) % folds == 0, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"), held_out.alias("held_out"), learn.alias("learn"), deleted.alias("is_deleted"))
-    size = {r.is_deleted: r.size for r in rows.groupBy("is_deleted").agg(F.sum(F.octet_length("text") + 1).alias("size")).collect()}
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = {d: max(1, min(-(-n // LEAST_BYTES), partitions), -(-n // BLOCK_BYTES)) for d, n in size.items()}
-    n_deleted, n_other = blocks.get(True, 0), blocks.get(False, 1)
-    h = F.xxhash64("doc_id", "text")
-    block = F.when(F.col("is_deleted"), F.pmod(h, F.lit(max(n_deleted, 1)))).otherwise(F.pmod(h, F.lit(n_other)) + n_deleted)
-    rows = rows.withColumn("block", block.cast("int"))
-
-    asked = scratch.write(rows.groupBy("block").applyInArrow(lambda t: _asked(t, order), ASKED), "asked")
-    counts = asked.groupBy("key").agg(F.min("k").alias("k"), F.sum("kept").alias("kept"), F.sum("deleted").alias("deleted")).where("kept + deleted > 0")
-    counts = scratch.write(counts, "counts")
-    known = lambda c: F.count_if((F.col("k") == 1) & (c > 0))
-    single = lambda c: F.coalesce(F.sum(F.when(F.col("k") == 1, c)), F.lit(0))
-    kept, both = F.col("kept"), F.col("kept") + F.col("deleted")
-    n_kept, v_kept, n_all, v_all = counts.agg(single(kept), known(kept), single(both), known(both)).first()
-
-    def answered(where: str, count: Column) -> DataFrame:
-        return asked.where(where).select("block", "key").join(counts.select("key", count.alias("n")).where("n > 0"), "key").groupBy("block")
-
-    em = rows.where("is_deleted").groupBy("block").cogroup(answered(f"block < {n_deleted}", kept))
-    em = em.applyInArrow(lambda t, a: _em_rows(t, a, order, n_kept, v_kept), EM_ROW)
+    chunks = scratch.write(rows.mapInArrow(_chunked, CHUNK), "chunks")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
+    runs = chunks.select("chunk", "deleted", "learn", "sizes", "vocabulary", "ids").mapInArrow(lambda b: _runs(b, order, ranges), RUN)
+    answers = scratch.write(runs.groupBy("range").applyInArrow(_answered, ANSWER), "answers")
+    n_kept, n_deleted = chunks.agg(F.coalesce(F.sum("kept_tokens"), F.lit(0)), F.coalesce(F.sum("deleted_tokens"), F.lit(0))).first()
+    v_kept, v_all = answers.agg(F.coalesce(F.sum("v_kept"), F.lit(0)), F.coalesce(F.sum("v_all"), F.lit(0))).first()
+    n_all = n_kept + n_deleted
+
+    in_chunk = lambda df, *columns: df.select("chunk", *columns).groupBy("chunk")
+    em = in_chunk(chunks.where("deleted"), "sizes", "vocabulary", "ids").cogroup(in_chunk(answers.where("deleted"), "range", "kept"))
+    em = em.applyInArrow(lambda c, a: _em_rows(c, a, order, n_kept, v_kept), EM_ROW)
     em = scratch.write(em.groupBy("bucket", "p").agg(F.sum("n").alias("n")), "deleted")
     weights = learn_weights(em, order)
-    found = rows.groupBy("block").cogroup(answered("true", both)).applyInArrow(lambda t, a: _scores(t, a, order, n_all, v_all, weights), SCORED)
+    found = in_chunk(chunks, "doc_ids", "held_out", "sizes", "vocabulary", "ids").cogroup(in_chunk(answers, "range", "total"))
+    found = found.applyInArrow(lambda c, a: _scores(c, a, order, n_all, v_all, weights), SCORED)
     return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")

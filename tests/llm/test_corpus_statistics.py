@@ -242,7 +242,7 @@ SCORED += [(None, None, None), (None, "v1 W1 v2", "de"), (5, "", "de"), (6, "uns
 
 @pytest.mark.parametrize("order", [1, 2, 3])
 def test_scores_equal_plain_python(spark, order, monkeypatch):
-    monkeypatch.setattr(ngram_lm, "LEAST_BYTES", 500)
+    monkeypatch.setattr(ngram_lm, "CHUNK_BYTES", 300)
     model = PlainModel(SCORED, order, 3)
     found = ngram_lm.score_texts(documents(spark, SCORED), order, 3)
     assert found.columns == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
