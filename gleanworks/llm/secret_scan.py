@@ -9,15 +9,13 @@ are compiled to CASE expressions that run inside the row, so scanning needs no s
 from __future__ import annotations
 
 import functools
-import inspect
-import sys
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fitted
+from .common import Scratch, fitted
 
 #: Shapes of candidates. Whole private keys, forms of known keys, a value after a name that suggests one,
 #: passwords in addresses, tokens after the scheme of a header, then long runs.
@@ -29,9 +27,13 @@ SCHEME = r"(?i:bearer|basic|token)[ \t]++(?=[^\s\"'=:])"
 _HEAD = rf"(?i:(?:{NAMES})[A-Za-z0-9_-]{{0,20}})[\"']?[ \t]*+\s{{0,3}}(?:=>|:=|={{1,3}}|:)[ \t]*+\s{{0,3}}"
 #: A value that is the next name with its sign belongs to no name before it.
 _NEXT = rf"(?![A-Za-z0-9_-]{{0,20}}(?i:{NAMES})[A-Za-z0-9_-]{{0,20}}[\"']?[ \t]*+(?:=>|:=|={{1,3}}|:)[\s\"'])"
-NAMED = rf"{_HEAD}(?:\"(?:{SCHEME})?(?!-----BEGIN)[^\"\r\n]+(?:(?<=\\)\"[^\"\r\n]+){{0,99}}(?=\")|'(?:{SCHEME})?(?!-----BEGIN)[^'\r\n]+(?:(?<=\\)'[^'\r\n]+){{0,99}}(?=')|[\"']?(?:{SCHEME})?(?!-----BEGIN){_NEXT}[^\s\"'<>,;]+)"
+#: Candidates are found in a text whose escaped quotes are two code points of the private range each, so that a quoted value
+#: is what stands up to the next quote, however long and however many escaped ones it holds; offsets stay.
+ESCAPED = {'\\"': "\ue000\ue001", "\\'": "\ue002\ue003"}
+_ESC = "\ue000-\ue003"
+NAMED = rf"{_HEAD}(?:\"(?:{SCHEME})?(?!-----BEGIN)[^\"\r\n]++(?=\")|'(?:{SCHEME})?(?!-----BEGIN)[^'\r\n]++(?=')|[\"']?(?:{SCHEME})?(?!-----BEGIN){_NEXT}[^\s\"'<>,;{_ESC}]+)"
 _USER = r"://[^\s/:@?#\"'<>]*+:"
-ADDRESS = rf"{_USER}[^\s/\"'<>]+(?=@)"
+ADDRESS = rf"{_USER}[^\s/\"'<>{_ESC}]+(?=@)"
 HEADER = r"\b(?i:bearer|basic)[ \t]++[A-Za-z0-9._~+/-]{8,}={0,2}"
 LONG = r"\b(?:[0-9a-f]{32,}|[0-9A-F]{32,}|[A-Za-z0-9+/_-]{32,}={0,2})"
 CANDIDATE = f"{PEM}|{KNOWN}|{NAMED}|{ADDRESS}|{HEADER}|{LONG}"
@@ -47,6 +49,8 @@ CONTEXT = 40
 MASK = "[SECRET]"
 #: Labelled findings made for training; the bound of the training table.
 TRAINING_ROWS, TREES, DEPTH = 4000, 20, 6
+#: Of the training rows, features and forest: a fitted one is kept under it.
+VERSION = f"3-{TRAINING_ROWS}-{TREES}-{DEPTH}"
 
 
 def features(c: Column) -> dict[str, Column]:
@@ -94,7 +98,9 @@ def features(c: Column) -> dict[str, Column]:
 def candidates(text: Column) -> Column:
     """Array of struct(match, value, before, after, start, end): code point offsets of the value, end exclusive."""
     t = F.coalesce(text, F.lit(""))
-    found, parts = F.regexp_extract_all(t, F.lit(CANDIDATE), 0), F.split(t, CANDIDATE, -1)
+    read = functools.reduce(lambda x, e: F.replace(x, F.lit(e[0]), F.lit(e[1])), ESCAPED.items(), t)
+    plain = lambda x: functools.reduce(lambda x, e: F.replace(x, F.lit(e[1]), F.lit(e[0])), ESCAPED.items(), x)
+    found, parts = F.regexp_extract_all(read, F.lit(CANDIDATE), 0), F.split(read, CANDIDATE, -1)
 
     def located(pair: Column) -> Column:
         found, parts = pair["f"], pair["p"]
@@ -104,7 +110,7 @@ def candidates(text: Column) -> Column:
             head = F.regexp_extract(x["match"], PREFIX, 0)
             start = at + F.length(head)
             end = at + F.length(x["match"])
-            one = F.struct(x["match"].alias("match"), F.substr(x["match"], F.length(head) + 1).alias("value"), F.right(x["part"], F.lit(CONTEXT)).alias("before"), F.left(F.coalesce(F.get(parts, k + 1), F.lit("")), F.lit(CONTEXT)).alias("after"), start.alias("start"), end.alias("end"))
+            one = F.struct(plain(x["match"]).alias("match"), plain(F.substr(x["match"], F.length(head) + 1)).alias("value"), plain(F.right(x["part"], F.lit(CONTEXT))).alias("before"), plain(F.left(F.coalesce(F.get(parts, k + 1), F.lit("")), F.lit(CONTEXT))).alias("after"), start.alias("start"), end.alias("end"))
             return F.struct(end.alias("at"), F.concat(acc["done"], F.array(one)).alias("done"))
 
         zipped = F.zip_with(found, F.slice(parts, 1, F.greatest(F.size(found), F.lit(1))), lambda m, p: F.struct(F.coalesce(m, F.lit("")).alias("match"), F.coalesce(p, F.lit("")).alias("part")))
@@ -114,7 +120,7 @@ def candidates(text: Column) -> Column:
 
     none = F.expr("CAST(array() AS array<struct<match:string,value:string,before:string,after:string,start:int,end:int>>)")
     pair = F.struct(found.alias("f"), parts.alias("p"))
-    return F.when(t.rlike(CANDIDATE), F.element_at(F.transform(F.array(pair), located), 1)).otherwise(none)
+    return F.when(read.rlike(CANDIDATE), F.element_at(F.transform(F.array(pair), located), 1)).otherwise(none)
 
 
 def training_findings(spark: SparkSession, rows: int = TRAINING_ROWS) -> DataFrame:
@@ -179,29 +185,36 @@ def training_findings(spark: SparkSession, rows: int = TRAINING_ROWS) -> DataFra
     user = F.concat(F.lit("://"), choose(["admin", "user", "root", "", "app"], 98), F.lit(":"))
     token = of([cut(b64("o"), size(12, 60, 99)), cut(alnum("u"), size(10, 44, 100)), cut(digest("f"), size(16, 65, 101)), F.regexp_replace(F.base64(F.concat_ws(":", own(102), short[0]).cast("binary")), r"\s", "")], 103)
     secret = of(short, 104)
-    pin = F.concat(strictly, quote), digits(4, 11, 105)
+    scratch = Scratch(spark, "secret-training")
+    parts = {"strictly": strictly, "loosely": loosely, "quote": quote, "body": pem(body), "hollow": pem(choose(["...", "xxxxxxxx", "your key here", "<key>", "MII..."], 106)), "scheme": scheme, "user": user, "token": token, "secret": secret, "open_value": open_value, "quoted_value": quoted_value}
+    ids = scratch.write(spark.range(rows).where("id % 2 = 0").select("id", *(c.alias(n) for n, c in parts.items())), "parts")
+    strictly, loosely, quote, body, hollow, scheme, user, token, secret, open_value, quoted_value = map(F.col, parts)
     # (head, value) by kind: a secret, then what only looks like one.
     pairs = [
-        ((F.lit(""), pem(body)), (F.lit(""), pem(choose(["...", "xxxxxxxx", "your key here", "<key>", "MII..."], 106)))),
+        ((F.lit(""), body), (F.lit(""), hollow)),
         ((user, F.regexp_replace(secret, r"[\s,;]", "-")), (user, F.regexp_replace(open_value, r"[<>\s]", ""))),
         ((scheme, token), (scheme, open_value)),
         ((F.concat(loosely, quote), secret), (F.concat(choose([*strict, *loose, *alike], 107), sign_of, quote), quoted_value)),
         ((loosely, F.regexp_replace(secret, r"[\s,;]", "-")), (F.concat(choose([*strict, *loose, *alike], 108), sign_of), F.regexp_replace(open_value, r"[<>\s]", ""))),
-        (pin, (F.concat(choose(alike, 109), sign_of), of([plain_number, digits(1, 6, 110)], 111))),
+        ((F.concat(strictly, quote), digits(4, 11, 105)), (F.concat(choose(alike, 109), sign_of), of([plain_number, digits(1, 6, 110)], 111))),
         ((F.concat(loosely, quote), F.concat(F.lit("db"), user, F.regexp_replace(secret, r"[\s,;]", "-"), F.lit("@host/db"))), (F.concat(loosely, quote), F.concat(F.lit("https://host/"), prose(112)))),
     ]
     kind = pick(len(pairs), 113)
-    side = lambda part: F.when(label == 1, functools.reduce(lambda rest, k: F.when(kind == k, pairs[k][0][part]).otherwise(rest), range(1, len(pairs)), pairs[0][0][part])).otherwise(functools.reduce(lambda rest, k: F.when(kind == k, pairs[k][1][part]).otherwise(rest), range(1, len(pairs)), pairs[0][1][part]))
-    made = spark.range(rows).where("id % 2 = 0").select(side(0).alias("head"), side(1).alias("value"), F.concat(plain, F.lit(" ")).alias("before"), follows.alias("after"), label.cast("double").alias("label"))
+    side = lambda secrets, part: functools.reduce(lambda rest, k: F.when(kind == k, pairs[k][secrets][part]).otherwise(rest), range(1, len(pairs)), pairs[0][secrets][part])
+    sides = scratch.write(ids.select("id", *(side(k, part).alias(f"{n}{k}") for k in (0, 1) for part, n in enumerate(("head", "value")))), "sides")
+    made = sides.select(*(F.when(label == 1, F.col(f"{n}0")).otherwise(F.col(f"{n}1")).alias(n) for n in ("head", "value")), F.concat(plain, F.lit(" ")).alias("before"), follows.alias("after"), label.cast("double").alias("label"))
     return long.union(made.select(F.concat("head", "value").alias("match"), "value", "before", "after", "label"))
 
 
 def train_forest(spark: SparkSession) -> list[dict]:
     """The trees of a random forest, as nested dicts: feature, threshold, left, right, or the share of secrets."""
     names = list(features(F.struct(*(F.lit("").alias(n) for n in ("match", "value", "before", "after")))))
-    rows = training_findings(spark)
+    # In steps: all expressions at once are more code than one method can hold.
+    scratch = Scratch(spark, "secret-training")
+    rows = scratch.write(training_findings(spark), "findings")
     one = F.struct("match", "value", "before", "after")
-    table = rows.select("label", *(c.alias(n) for n, c in features(one).items())).coalesce(1)
+    table = rows.select("label", *(c.alias(n) for n, c in features(one).items()))
+    table = scratch.write(table, "features").coalesce(1)  # TRAINING_ROWS rows, passed over for each level of the trees
     table = VectorAssembler(inputCols=names, outputCol="features").transform(table).select("label", "features")
     model = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=11, subsamplingRate=0.8).fit(table)
 
@@ -233,7 +246,7 @@ def scan(docs: DataFrame, threshold: float = 0.5, text: str = "text", into: str
     candidates; a very long one is scanned whole. Any other column is passed on. The forest is fitted once and kept in the
     shared folder.
     """
-    trees = fitted(docs.sparkSession, "secret-forest", lambda spark: {"trees": train_forest(spark)}, inspect.getsource(sys.modules[__name__]))["trees"]
+    trees = fitted(docs.sparkSession, "secret-forest", lambda spark: {"trees": train_forest(spark)}, VERSION)["trees"]
     judged = lambda c: F.element_at(F.transform(F.array(F.struct(*(x.alias(n) for n, x in features(c).items()))), lambda f: forest_score(trees, f)), 1)
     scored = F.transform(candidates(F.col(text)), lambda c: F.struct(c["start"].cast("long").alias("start"), c["end"].cast("long").alias("end"), c["value"].alias("value"), c["match"].alias("match"), judged(c).alias("score")))
     return docs.withColumn(into, F.transform(scored, lambda c: F.struct(c["start"], c["end"], c["value"], c["match"], c["score"], (c["score"] >= threshold).alias("secret"))))
