@@ -13,10 +13,8 @@ kept in the shared folder.
 from __future__ import annotations
 
 import html
-import inspect
 import random
 import re
-import sys
 from collections import Counter
 from collections.abc import Iterator
 
@@ -293,6 +291,8 @@ def sayings(node: Node) -> tuple[float, float]:
 PAGE_BYTES = 1_000_000
 #: The bound of the training set, and the size of the model.
 TRAINING_PAGES, ROUNDS, DEPTH = 1000, 24, 5
+#: Of the training pages, parser, features and trees: fitted ones are kept under it.
+VERSION = f"3-{TRAINING_PAGES}-{ROUNDS}-{DEPTH}"
 
 
 def training_page(rng: random.Random) -> str:
@@ -431,7 +431,7 @@ class Trees:
     """The boosted trees as arrays, for scoring in tasks: log-odds of content."""
 
     def __init__(self, spark: SparkSession):
-        saved = fitted(spark, "html-trees", fit_trees, inspect.getsource(sys.modules[__name__]))
+        saved = fitted(spark, "html-trees", fit_trees, VERSION)
         self.weights = saved["weights"]
         self.trees = [tuple(np.array(c) for c in columns) for columns in saved["trees"]]
 
