@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, connected_components, earlier_buckets, groups
@@ -103,6 +103,18 @@ def _coder(codes):
     return run
 
 
+def scaled(v: Column) -> Column:
+    """A vector times the power of two that brings its largest component near one: its squares neither overflow nor vanish,
+    and cosines stay as they are. Null, NaN and infinity stay what they are."""
+    finite = F.filter(F.transform(v, F.abs), lambda x: (x > 0) & (x < float("inf")))
+    power = -F.floor(F.log2(F.array_max(finite)))
+    # in two factors, as the whole power may be none that a double holds
+    factor = lambda p: F.pow(F.lit(2.0), p.cast("double"))
+    factors = F.array(F.struct(factor(F.floor(power / 2)).alias("a"), factor(power - F.floor(power / 2)).alias("b")))
+    times = F.element_at(F.transform(factors, lambda f: F.transform(v, lambda x: x * f["a"] * f["b"])), 1)
+    return F.when(F.size(finite) > 0, times).otherwise(v)
+
+
 def cosine(a: str, b: str):
     """Cosine in double precision of two array columns of one length."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -183,7 +195,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "vectors")
-    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), "label")
+    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), scaled(F.col("embedding").cast("array<double>")).alias("embedding"), "label")
     sound = F.exists("embedding", lambda x: x != 0) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     ok = F.coalesce(sound, F.lit(False)) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     rows = v.withColumn("ok", ok).withColumn("h1", F.xxhash64("label", "embedding")).withColumn("h2", F.xxhash64(F.lit(11), "label", "embedding"))
