@@ -10,10 +10,10 @@ The band rows (50 a class, 20 bytes each) are counted with map-side combine and
 expanded to pairs. First each class is confirmed against the smallest class of the bands that it shares most, then
 against one of the largest component in its bands, which joins most copies of a text to one component. After that only
 bands in which different components meet are looked at: the few members of small ones as pairs, the members of large
-ones inside tasks that compare sketches, confirm on full sets and return just the links that join two components.
-Members of a band's largest component meet its other members, not each other. A band with more than a block of other
-members is split by a second such band, as linked documents agree on about twelve of the fifty. Texts are shuffled for
-the classes that share a band.
+ones in blocks inside tasks. These compare sketches first; the texts of members that may be linked follow to their block,
+are confirmed on full sets there, and only links that join two components come back. Members of a band's largest component
+meet its other members, not each other. In a band with more than a block of other members an exact filter takes the
+band's place: two sets that are linked share one of their rarest shingles, of which each set needs a quarter at most.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import Scratch, connected_components, earlier_buckets, groups, mix64, shingle_sets
 
@@ -179,16 +180,34 @@ def _best(rows: DataFrame) -> DataFrame:
     return best.select(F.least("rep", -F.col("m.col2")).alias("a"), F.greatest("rep", -F.col("m.col2")).alias("b")).distinct()
 
 
-def _split(rows: DataFrame) -> DataFrame:
-    """``rows(key, rep, size, comp)`` with a key for each two bands of a member."""
-    held = rows.groupBy("rep", "size", "comp").agg(F.sort_array(F.collect_list("key")).alias("ks"))  # at most BANDS
-    both = F.flatten(F.transform("ks", lambda x, i: F.transform(F.slice("ks", i + 2, BANDS), lambda y: F.xxhash64(x, y))))
-    return held.select(F.explode(both).alias("key"), "rep", "size", "comp")
-
-
-def _block_linker(percent: int):
-    """Links (a, b) that join components, from rows sorted by (key, i, j): the pairs of two blocks of a band that no band
-    with a smaller key has compared."""
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 500):
+            part = batch.slice(lo, 500)
+            sets = shingle_sets([t.encode() for t in part.column("text").to_pylist()])
+            n = [len(x) for x in sets]
+            rep, size, comp = (pa.array(np.repeat(part.column(c).to_numpy(), n)) for c in ("rep", "size", "comp"))
+            yield pa.RecordBatch.from_arrays([rep, size, comp, pa.array(np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64))], names=["rep", "size", "comp", "shingle"])
+
+
+def _rarest(rows: DataFrame, members: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """``rows(key, rep, size, comp)`` for the members of ``rows``, with keys that linked ones share surely: of a set of n
+    shingles the n - ceil(percent * n / 100) + 1 rarest among these members. Shingles that no other member has take places
+    and make no key."""
+    held = rows.select("rep", "size", "comp").distinct()
+    each = scratch.write(members.select("rep", "text").join(held, "rep").mapInArrow(_shingles, "rep long, size long, comp long, shingle long"), "shingles")
+    shared = each.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    met = each.join(shared, "shingle")
+    # the set's own shingles come first, and fill as many places
+    order = Window.partitionBy("rep").orderBy("n", "shingle")
+    ranked = met.withColumn("place", F.row_number().over(order) + F.col("size") - F.count("*").over(Window.partitionBy("rep")))
+    places = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1
+    return ranked.where(F.col("place") <= places).select(F.xxhash64("shingle", F.lit("rare")).alias("key"), "rep", "size", "comp")
+
+
+def _block_linker(percent: int, on_texts: bool):
+    """From rows sorted by (key, i, j), the pairs of two blocks of a band that no band with a smaller key has compared: links
+    (a, b) that join components; without texts the members (key, i, j, rep) that may have some."""
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups(batches, ["key", "i", "j"]):
@@ -196,21 +215,29 @@ def _block_linker(percent: int):
             rep, size, block, comp = (group.column(n).to_numpy() for n in ("rep", "size", "block", "comp"))
             regs = np.frombuffer(b"".join(group.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
             before = earlier_buckets(group.column("keys").combine_chunks(), key)
-            texts, sets, links = group.column("text"), {}, []
+            sets, links, may = {}, [], np.zeros(len(rep), bool)
             left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
             for x in left:
                 rest = right[right > x] if i == j else right
                 rest = rest[comp[rest] != comp[x]]
                 rest = rest[before[rest] @ before[x] == 0]
                 rest = rest[worth_confirming(regs[x : x + 1], regs[rest], size[x], size[rest], percent)]
-                new = [k for k in (x, *rest) if k not in sets] if len(rest) else []
+                if not len(rest):
+                    continue
+                may[x] = may[rest] = True
+                if not on_texts:
+                    continue
+                texts, new = group.column("text"), [k for k in (x, *rest) if k not in sets]
                 sets.update(zip(new, shingle_sets([texts[int(k)].as_py().encode() for k in new]), strict=True))
                 for y in rest:
                     if comp[x] != comp[y] and _linked(sets[x], sets[y], percent):
                         links.append((rep[x], rep[y]))
                         comp = np.where(comp == comp[y], comp[x], comp)
-            if links:
+            if on_texts and links:
                 yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            if not on_texts and may.any():
+                at = [pa.array(np.full(may.sum(), v)) for v in (key, i, j)]
+                yield pa.RecordBatch.from_arrays([*at, pa.array(rep[may])], names=["key", "i", "j", "rep"])
 
     return link
 
@@ -229,12 +256,21 @@ def _dealt(rows: DataFrame) -> DataFrame:
     return dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "comp", "rep")
 
 
-def _linked_in_blocks(rows: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+def _linked_in_blocks(rows: DataFrame, members: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Links (a, b) that join components within large bands, from rows as of ``_open_bands``. Each pair of blocks is one
-    group, so that no group grows with the band."""
+    group, so that no group grows with the band; sketches go to all of a member's groups, its text to those where it may be
+    linked."""
     keys = rows.groupBy("rep").agg(F.collect_list("key").alias("keys"))
-    units = _dealt(rows).join(members.join(keys, "rep"), "rep").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return units.mapInArrow(_block_linker(percent), "a long, b long")
+    sketched = scratch.write(members.drop("text").join(keys, "rep"), "sketched")
+    dealt = scratch.write(_dealt(rows), "dealt")
+
+    def grouped(units: DataFrame) -> DataFrame:
+        return units.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    may = grouped(dealt.join(sketched, "rep")).mapInArrow(_block_linker(percent, False), "key long, i long, j long, rep long")
+    may = dealt.join(scratch.write(may, "may-be-linked"), ["key", "i", "j", "rep"])
+    texts = members.select("rep", "text")
+    return grouped(may.join(sketched, "rep").join(texts, "rep")).mapInArrow(_block_linker(percent, True), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -282,15 +318,17 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     done = done.union(confirm(again.join(done, ["a", "b"], "left_anti")))
     rows = labelled(rows, done)
 
+    huge = (F.col("n") > SMALL) & (F.col("rest") > BLOCK)
+    if not rows.where(huge).isEmpty():
+        rarest = scratch.write(_rarest(rows.where(huge), members, percent, scratch), "rarest")
+        rows = rows.where(~huge).unionByName(_open_bands(rarest, scratch))
     small = rows.where(F.col("n") <= SMALL)
     x, y = small.alias("x"), small.alias("y")
     met = x.join(y, F.col("x.key") == F.col("y.key")).where("x.comp < y.comp")
     met = met.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
     done = done.union(confirm(met.join(done, ["a", "b"], "left_anti")))
-    huge = F.col("rest") > BLOCK
-    split = _open_bands(_split(rows.where(huge)), scratch)
-    blocked = scratch.write(rows.where((F.col("n") > SMALL) & ~huge).unionByName(split), "large-bands")
-    in_blocks = scratch.write(_linked_in_blocks(blocked, members, percent), "links-of-blocks")
+    blocked = scratch.write(rows.where(F.col("n") > SMALL), "large-bands")
+    in_blocks = scratch.write(_linked_in_blocks(blocked, members, percent, scratch), "links-of-blocks")
     links = done.where("linked").select("a", "b").union(in_blocks)
 
     comps = connected_components(links, scratch)

@@ -117,6 +117,37 @@ def test_unlinked_bands_are_dealt_in_proportion(spark, monkeypatch):
     assert sent[0] <= 4000, sent
 
 
+def test_linked_texts_share_a_rare_shingle(spark):
+    """What takes the place of a band with many strangers: every linked pair shares a key, and strangers share few."""
+    rng = random.Random(5)
+    rows = family(300, rng, shared=40, own=50)
+    rows += [(1000 + i, text + " " + " ".join(f"n{i}x{k}" for k in range(i % 28))) for i, (_, text) in enumerate(rows[:200])]
+    sets = {d: shingles(t) for d, t in rows}
+    members = spark.createDataFrame(rows, "rep long, text string")
+    held = spark.createDataFrame([(1, d, len(s), d) for d, s in sets.items()] * 2, "key long, rep long, size long, comp long")
+    keys = {}
+    for r in near_dedup._rarest(held, members, 75, Scratch(spark, "t")).collect():
+        keys.setdefault(r.rep, set()).add(r.key)
+    linked = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    assert len(linked) > 100 and all(keys.get(a, set()) & keys.get(b, set()) for a, b in linked)
+    assert sum(map(len, keys.values())) < 30 * len(rows)
+
+
+def test_texts_go_where_links_may_be(spark, monkeypatch):
+    """Of strangers that share a third of their text sketches alone are dealt to blocks."""
+    sent = []
+    real = near_dedup._block_linker
+
+    def counted(percent, on_texts):
+        sent.append(on_texts)
+        return real(percent, on_texts)
+
+    monkeypatch.setattr(near_dedup, "_block_linker", counted)
+    monkeypatch.setattr(near_dedup, "BLOCK", 128)
+    assert all(r["component_id"] == r["doc_id"] for r in found(spark, family(1200, random.Random(7), shared=60, own=30)))
+    assert sent == [False, True]
+
+
 def test_links_at_the_threshold_are_confirmed(spark):
     """Pairs at exactly 0.75: sets of 7 and of 70 shingles with 6 and 60 in common."""
     rng = random.Random(8)
