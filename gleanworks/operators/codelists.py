@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .overlap import overlaps
+
 
 def value_counts(rows: DataFrame, column: str) -> DataFrame:
     """Uses of each non-empty value: value, n, most used first, then by value."""
@@ -50,12 +52,12 @@ def mapping_suggest(values: DataFrame, codes: DataFrame, copied: DataFrame | Non
     values with the highest Jaccard, if only one has it. A copied mapping (column, attribute) comes first; one to an
     attribute that is unknown suggests nothing.
 
-    Columns and attributes meet by an equi-join on the code, never pairwise.
+    Columns and attributes meet on their codes, and codes that lie in the same of them count together.
     """
     v = values.select("column", "value").distinct()
     c = codes.select("attribute", F.col("code").alias("value")).distinct()
     n_values, n_codes = v.groupBy("column").agg(F.count("*").alias("nv")), c.groupBy("attribute").agg(F.count("*").alias("nc"))
-    both = v.join(c, "value").groupBy("column", "attribute").agg(F.count("*").alias("common"))
+    both = overlaps(v.select(F.col("column").alias("name"), F.col("value").alias("k")), c.select(F.col("attribute").alias("name"), F.col("value").alias("k"))).toDF("column", "attribute", "common")
     scored = both.join(n_values, "column").join(n_codes, "attribute").where("common = nv AND nv >= 2").withColumn("jaccard", F.col("common") / (F.col("nv") + F.col("nc") - F.col("common")))
     best = scored.withColumn("r", F.rank().over(Window.partitionBy("column").orderBy(F.desc("jaccard")))).where("r = 1")
     best = best.withColumn("n", F.count("*").over(Window.partitionBy("column"))).where("n = 1").select("column", "attribute", F.round("jaccard", 9).alias("jaccard"))

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .overlap import overlaps
+
 #: Severity of each finding.
 BLOCKING = ("FILE_UNDECODABLE", "FILE_UNSUPPORTED_BOM", "FILE_CONTAINS_NUL", "HEADER_MISMATCH", "DUP_KEY_CROSS_SET", "ORPHAN_FK", "SET_UNRESOLVED", "TEXT_SCRUB_TIMEOUT")
 #: Fixed value: shape of a key that a generator of test data made.
@@ -56,10 +58,9 @@ def text_join_check(texts: DataFrame, records: DataFrame, key: str) -> DataFrame
 
 def resolve_sets(child: DataFrame, parent: DataFrame, child_file: str, child_key: str, parent_file: str, parent_key: str) -> DataFrame:
     """For each child file the parent file that shares most keys, the first of equals: file, set, overlap. Without a shared
-    key the set is null."""
-    c = child.select(F.col(child_file).alias("file"), F.col(child_key).alias("k")).where("k IS NOT NULL").distinct()
-    p = parent.select(F.col(parent_file).alias("set"), F.col(parent_key).alias("k")).distinct()
-    overlap = c.join(p, "k").groupBy("file", "set").agg(F.count("*").alias("overlap"))
+    key the set is null. Keys that lie in the same files count together."""
+    side = lambda df, file, key: df.select(F.col(file).alias("name"), F.col(key).alias("k"))
+    overlap = overlaps(side(child, child_file, child_key), side(parent, parent_file, parent_key)).toDF("file", "set", "overlap")
     first = Window.partitionBy("file").orderBy(F.desc("overlap"), "set")
     best = overlap.withColumn("rn", F.row_number().over(first)).where("rn = 1").drop("rn")
     files = child.select(F.col(child_file).alias("file")).distinct()

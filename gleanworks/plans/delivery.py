@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import query, read, scratch_dir
-from ..operators import census, codelists, corpus, derive, integrity
+from ..operators import census, codelists, corpus, derive, integrity, overlap, paging
 from ..operators.derive import Filter
 from ..sources import exports
 
@@ -285,6 +285,25 @@ def paged_lists(spark, sf):
     return corpus.page(read(spark, sf, "customer").select("c_custkey", "c_mktsegment"), "c_mktsegment", "c_custkey", descending=True, offset=50, limit=25)
 
 
+_ORDERED = "ORDER BY o_totalprice DESC, o_orderkey"
+
+
+@query("stored_page", f"SELECT o_orderkey, o_totalprice, total FROM (SELECT o_orderkey, o_totalprice, count(*) OVER ()::BIGINT AS total FROM orders) {_ORDERED} LIMIT 40 OFFSET 1000")
+def stored_page(spark, sf):
+    """A page far back in a list that is stored in its order."""
+    path = scratch_dir(spark, "list")
+    rows = read(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    paging.store(rows, path, [F.desc("o_totalprice"), F.col("o_orderkey")])
+    return paging.page(spark, path, 1000, 40)
+
+
+@query("shared_keys", """SELECT l, r, count(*)::BIGINT AS overlap FROM (SELECT DISTINCT o_orderpriority AS l, o_custkey AS k FROM orders) JOIN (SELECT DISTINCT c_mktsegment AS r, c_custkey AS k FROM customer) USING (k) GROUP BY ALL""")
+def shared_keys(spark, sf):
+    """Customers that the orders of each priority share with each segment."""
+    left = read(spark, sf, "orders").select(F.col("o_orderpriority").alias("name"), F.col("o_custkey").alias("k"))
+    return overlap.overlaps(left, read(spark, sf, "customer").select(F.col("c_mktsegment").alias("name"), F.col("c_custkey").alias("k")))
+
+
 # --- code lists ----------------------------------------------------------------------------------------------------
 
 
