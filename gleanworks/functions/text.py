@@ -123,16 +123,44 @@ def fold_search(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", text.lower().replace("ß", "ss")) if not unicodedata.combining(c))
 
 
+#: Letters beyond ASCII of which built-in expressions know the folded form, and signs that folding leaves alone.
+_LETTERS, _BARE = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+_KNOWN = "^[\\x00-\\x7FÀ-ÅÇ-ÏÑ-ÖÙ-Ýß-åç-ïñ-öù-ýÿ«»–—“”„‘’€]*\\z"
+
+
+def _bare(text: Column) -> Column:
+    """The folded form for search of a text that _KNOWN matches."""
+    return F.translate(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), _LETTERS, _BARE)
+
+
 @F.pandas_udf(T.StringType())
-def normalise_text(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _fold_texts(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in values:
         yield batch.map(fold_text, na_action="ignore")
 
 
-@F.pandas_udf(T.BooleanType())
-def text_contains(text: pd.Series, query: pd.Series) -> pd.Series:
-    """Whether the folded query is inside the folded text; an empty query is inside everything."""
-    return pd.Series([None if t is None or q is None else fold_search(q) in fold_search(t) for t, q in zip(text, query, strict=True)], dtype="object")
+@F.pandas_udf(T.StringType())
+def _fold_searches(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for batch in values:
+        yield batch.map(fold_search, na_action="ignore")
+
+
+def normalise_text(value: Column | str) -> Column:
+    """``fold_text`` of a column: of ASCII by built-in expressions; other rows alone go to Python."""
+    value = F.col(value) if isinstance(value, str) else value
+    edges = "[" + "".join(f"\\x{ord(c):02x}" for c in EDGES if ord(c) < 128) + "]+"
+    line = F.trim(F.regexp_replace(F.lower(value), r"[\s\x0b\x1c-\x1f]+", " "))
+    bare = F.regexp_replace(line, f"^{edges}|{edges}\\z", "")
+    plain = value.rlike(r"^[\x00-\x7F]*\z")
+    return F.when(plain, F.when(bare == "", line).otherwise(bare)).otherwise(_fold_texts(F.when(~plain, value)))
+
+
+def text_contains(text: Column | str, query: Column | str) -> Column:
+    """Whether the folded query is inside the folded text; an empty query is inside everything. Rows whose letters built-in
+    expressions know stay out of Python."""
+    sides = [F.col(x) if isinstance(x, str) else x for x in (text, query)]
+    folded = [F.when(x.rlike(_KNOWN), _bare(x)).otherwise(_fold_searches(F.when(~x.rlike(_KNOWN), x))) for x in sides]
+    return F.contains(*folded)
 
 
 def normalise(value: Column, value_type: Column, precision: int = 2, free_text: bool = True) -> Column:

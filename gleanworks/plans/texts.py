@@ -143,13 +143,14 @@ def scrub_timeout(spark, sf):
     return scrub.scrub_timeouts(found, "n_nationkey").select("code", "key", F.col("detail")["rule_id"].alias("rule"))
 
 
-@query("entry_search", "SELECT n_nationkey, contains(lower(n_name), 'an') AS found FROM nation")
+@query("entry_search", "SELECT n_nationkey, contains(lower(n_name), 'an') AS marked, contains(lower(n_name), 'an') AS written_out, contains(lower(n_name), 'an') AS plain, false AS other FROM nation")
 def entry_search(spark, sf):
-    @F.pandas_udf("boolean")
-    def found(names: pd.Series) -> pd.Series:
-        return names.map(lambda n: bool(scrub.search_entries([n], "ÀN")))
+    """Entries with umlauts are found by the umlaut, by its written-out form and by the bare letter."""
+    @F.pandas_udf("marked boolean, written_out boolean, plain boolean, other boolean")
+    def found(entries: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([[bool(scrub.search_entries([e], q)) for q in ("ÄN", "aen", "An", "aän")] for e in entries], columns=["marked", "written_out", "plain", "other"])
 
-    return read(spark, sf, "nation").select("n_nationkey", found("n_name").alias("found"))
+    return read(spark, sf, "nation").select("n_nationkey", found(F.translate("n_name", "A", "Ä")).alias("f")).select("n_nationkey", "f.*")
 
 
 @query("scrub_fingerprint", "SELECT n_nationkey, true AS same, true AS other FROM nation")
@@ -184,9 +185,11 @@ def name_match(spark, sf):
     return scrub.entry_tally(_scrubbed(spark, sf, RULES), 1)
 
 
-@query("text_fold_match", "SELECT doc_id, contains(lower(text), 'the') AS found FROM documents")
+@query("text_fold_match", "SELECT doc_id, contains(t, 'ion') AS accented, contains(t, 'gross') AS sharp FROM (SELECT doc_id, strip_accents(replace(lower(text), 'ß', 'ss')) AS t FROM documents)")
 def text_fold_match(spark, sf):
-    return read(spark, sf, "documents").select("doc_id", text.text_contains("text", F.lit("THE")).alias("found"))
+    """Accents and sharp s are folded in the texts and in what is looked for."""
+    docs = read(spark, sf, "documents")
+    return docs.select("doc_id", text.text_contains("text", F.lit("IÓN")).alias("accented"), text.text_contains("text", F.lit("Groß")).alias("sharp"))
 
 
 @query("estimate_tokens", "SELECT doc_id, ceil(length(text) / 4.0)::BIGINT AS tokens FROM documents")
