@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..catalog import query, read, scratch_dir
-from ..sources import delivery, lists
+from ..sources import delivery, lists, ranges
 
 VOCABULARIES = {"text": [("one", ["UID", "HERGANG"])]}
 KEYS = {"text": "UID"}
@@ -220,3 +220,14 @@ def name_list_scan(spark, sf):
     lines = c.select(F.concat("c_mktsegment", F.when(F.col("c_custkey") % 2 == 0, " # note").otherwise("")).alias("value")).union(spark.createDataFrame([("# a comment",), ("ab",), ("",)], "value string"))
     lines.write.text(folder)
     return lists.read_names(spark, folder).select("key", "entry")
+
+
+@query("read_ranges", """SELECT lpad(CAST(o_orderkey AS VARCHAR), 32, '0') AS uid, 'status ' || o_orderstatus || chr(10) || 'said "' || o_orderpriority || '"; done' AS narrative, 2 AS line_span FROM orders""")
+def read_ranges(spark, sf):
+    """The orders as one file, with a line end, quotation marks and delimiters inside quotes, read back by ranges."""
+    path = scratch_dir(spark, "ranges")
+    quoted = F.concat(F.lit('"status '), "o_orderstatus", F.lit('\nsaid ""'), "o_orderpriority", F.lit('""; done"'))
+    rows = read(spark, sf, "orders").select(F.concat_ws(";", F.lpad(F.col("o_orderkey").cast("string"), 32, "0"), quoted).alias("value"))
+    spark.createDataFrame([("UID;HERGANG",)], "value string").coalesce(1).union(rows.coalesce(1)).coalesce(1).write.text(path)
+    found = ranges.Delivery(spark, path, VOCABULARIES, KEYS).rows()
+    return found.select(F.col("fields")[0].alias("uid"), F.col("fields")[1].alias("narrative"), "line_span")

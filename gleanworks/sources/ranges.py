@@ -285,6 +285,7 @@ class Range:
     path: str
     number: int
     first_line: int
+    n_bytes: int
     is_open: bool = False
     owner: int = -1  # the range in which the row begins that is open here at first
     first: int = 0  # where the first row begins, -1: nowhere
@@ -374,19 +375,19 @@ def _rows(batches: Iterator[pa.RecordBatch], ranges: dict[tuple[str, int], Range
     stretches = _stretches(batches, ["path", "start"])
     ahead = next(stretches, None)
     while ahead:
-        key = ahead[0]
+        key, n_bytes = ahead[0], 0
 
         def data(key: tuple = key) -> Iterator[bytes]:
-            nonlocal ahead
+            nonlocal ahead, n_bytes
             while ahead and ahead[0] == key:
                 d, ahead = ahead[1], next(stretches, None)
+                n_bytes += len(d)
                 yield d
 
-        mine = data()
         if key in ranges:
-            yield from _rows_of_range(mine, ranges[key], files[key[0]], chunk)
-        for _ in mine:  # of a file that is refused, or is read in one piece
-            pass
+            yield from _rows_of_range(data(), ranges[key], files[key[0]], chunk)
+        if key not in ranges or n_bytes != ranges[key].n_bytes:
+            raise ValueError(f"{key[0]} is cut elsewhere than when it was analysed: keep spark.sql.files.maxPartitionBytes and the cores as they were, or analyse again")
 
 
 def _whole(batches: Iterator[pa.RecordBatch], files: dict[str, dict], chunk: int) -> Iterator[pa.RecordBatch]:
@@ -402,7 +403,7 @@ def _whole(batches: Iterator[pa.RecordBatch], files: dict[str, dict], chunk: int
                 d, ahead = ahead[1], next(stretches, None)
                 yield d
 
-        yield from _rows_of_range(data(), Range(key[0], 0, 1, last=True), files[key[0]], chunk)
+        yield from _rows_of_range(data(), Range(key[0], 0, 1, -1, last=True), files[key[0]], chunk)
 
 
 def _joined(table: pa.Table) -> pa.Table:
@@ -423,7 +424,8 @@ class Delivery:
     Rows, errors, line numbers and findings are those of reading each file whole. A file may be refused; an empty one has no
     rows. A file with a quoted field of several lines beyond FIELD_LIMIT is read by one task, as the parser's recovery
     depends on where it gives up; so is one whose header is not among its first HEAD_LINES lines. Lines end at line feeds
-    for the cut: a file with none of them is one range, of at most 2 GB. ``overrides`` may name one of ENCODINGS.
+    for the cut: a file with none of them is one range, of at most 2 GB. Rows are read under the settings that cut the files
+    when they were analysed; under others reading fails. ``overrides`` may name one of ENCODINGS.
     """
 
     def __init__(self, spark: SparkSession, path: str | list[str], vocabularies: dict, keys: dict[str, str], overrides: dict[str, dict] | None = None):
@@ -494,7 +496,7 @@ class Delivery:
             first = next((b + r.first, n + r.first_feed) for b, n, r in zip(bases, feeds, ranges, strict=True) if r.many)
             f.found |= {"utf8_sequences": many, "first_utf8_offset": first[0], "first_utf8_line": first[1]}
         f.serial = f.found["header_line"] is None and sum(r.n_feeds for r in ranges) > HEAD_LINES
-        f.ranges = [(r.start, Range(f.path, k, n, last=k + 1 == len(ranges))) for k, (r, n) in enumerate(zip(ranges, lines, strict=True))]
+        f.ranges = [(r.start, Range(f.path, k, n, r.n_bytes, last=k + 1 == len(ranges))) for k, (r, n) in enumerate(zip(ranges, lines, strict=True))]
 
     def _lead(self, by_file: dict[str, list]) -> None:
         """The state at the start of each range, from the ranges before it."""

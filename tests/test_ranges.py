@@ -131,3 +131,18 @@ def test_a_large_file_is_the_work_of_many_tasks(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert n_ranges >= 15 and len(per_task) >= 15
     assert sum(r["count"] for r in per_task) == 90 * expected
+
+
+def test_another_cut_is_refused(spark, tmp_path):
+    """Rows are never lost to settings that changed after the analysis."""
+    (tmp_path / "a.csv").write_text("UID;HERGANG\n" + 'k;"a\nb"\n' * 300)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        rows = ranges.Delivery(spark, str(tmp_path), VOCABULARIES, KEYS).rows()
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+        with pytest.raises(Exception, match="cut elsewhere"):
+            rows.collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
