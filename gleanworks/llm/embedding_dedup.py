@@ -4,15 +4,17 @@ Equal vectors of a label collapse to one class first. On a bounded sample of vec
 balanced binary codes of small quantisation error (iterative quantisation, several starts). The code is cut into
 substrings, one Hamming table each; classes of one label that agree on a substring meet, and the original vectors decide.
 
-How often two linked vectors agree on a bit follows from geometry, not from the data: vectors at the threshold are at
-most ``delta`` apart, so that seen from the sample's mean their directions differ by at most asin(delta / r), r being
-the larger of their distances from it. Vectors nearer to the mean than RADIUS, where codes say little about
-neighbours, are a bucket of their own; all other links have an agreement that sets the number of tables for a miss rate
-of MISS each.
+Codes are those of residuals. Vectors meet within their label only, so each label that the sample knows well has a centre
+of its own, its sample's mean; the others share the mean of the whole sample. How often two linked vectors agree on a bit
+follows from geometry, not from the data: vectors at the threshold are at most ``delta`` apart, so that seen from their
+centre their directions differ by at most asin(delta / r), r being the larger of their distances from it. Vectors nearer to
+the centre than RADIUS, where codes say little about neighbours, are a bucket of their own; all other links have an
+agreement that sets the number of tables for a miss rate of MISS each.
 
 Small buckets give pairs, of which a 64-bit part of the code discards most by its Hamming distance. The members of large
 ones are compared in blocks inside tasks: these return counts of links and a spanning forest, never pairs, so that a
-dense group costs multiplications of matrices and few rows. Where a label's large buckets together take more
+dense group costs multiplications of matrices and few rows. A task reads two blocks and compares them tile by tile: its
+memory is that of the two and of one tile, and a vector is sent once for each block of its bucket. Where a label's large buckets together take more
 comparisons than all their members among each other, the members are compared once instead.
 """
 
@@ -33,28 +35,34 @@ SAMPLE = 5000
 ITERATIONS = 20
 MISS = 3e-4
 MIN_BITS, MAX_BITS = 10, 30
-#: Vectors nearer to the sample's mean are compared without codes: their links agree on fewer than 4 bits in 5.
+#: Vectors nearer to their centre are compared without codes: their links agree on fewer than 4 bits in 5.
 RADIUS = 0.6
+#: Labels with at least so many vectors in the sample have a centre of their own.
+KNOWN = 25
 #: Buckets of at most so many members give pairs.
 SMALL = 16
 #: Numbers in the vectors of a block; buckets of more than FEW members are dealt to SPREAD blocks at least where each gets
-#: so many, so that one bucket keeps several tasks busy.
-BLOCK_NUMBERS, FEW, SPREAD = 2**18, 128, 8
+#: so many, so that one bucket keeps several tasks busy. TILE vectors of one block meet TILE of another at once.
+BLOCK_NUMBERS, FEW, SPREAD, TILE = 2**21, 128, 8, 2048
 
 
 class Codes:
-    """Learned rotations, the substring length, the number of tables, and the Hamming distance that a link can have."""
+    """Learned centres and rotations, the substring length, the number of tables, and the Hamming distance that a link can
+    have."""
 
-    def __init__(self, sample: np.ndarray, threshold: float, label_size: float, seed: int = 7):
-        """label_size: the mean size of a vector's label, in classes."""
+    def __init__(self, sample: np.ndarray, labs: np.ndarray, threshold: float, label_size: float, seed: int = 7):
+        """labs: the label of each sample vector, as a number; label_size: the mean size of a vector's label, in classes."""
         rng = np.random.default_rng(seed)
         self.dim = sample.shape[1]
         unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
-        self.mean = unit.mean(axis=0)
-        centred = unit - self.mean
+        found, counts = np.unique(labs, return_counts=True)
+        #: Sorted labels with a centre of their own; the last centre is that of all others.
+        self.known = found[counts >= KNOWN]
+        self.centres = np.stack([*(unit[labs == lab].mean(axis=0) for lab in self.known), unit.mean(axis=0)])
+        centred = unit - self.centres[self._place(labs)]
         self.bits = int(min(MAX_BITS, max(MIN_BITS, math.ceil(math.log2(max(label_size, 2))))))
         delta = math.sqrt(max(2 - 2 * threshold, 0))
-        #: Vectors nearer to the mean go to the label's inner bucket.
+        #: Vectors nearer to their centre go to the label's inner bucket.
         self.inner = max(RADIUS, 0.98 * float(np.linalg.norm(centred, axis=1).min()))
         differ = math.asin(min(1.0, delta / self.inner)) / math.pi
         self.tables = max(4, math.ceil(math.log(MISS) / math.log1p(-((1 - differ) ** self.bits))))
@@ -64,6 +72,11 @@ class Codes:
         self.rotation = np.concatenate(rotations, axis=1).astype(np.float32)
         self.radius = 64 if self.dim < 16 else min(64, math.ceil(64 * differ + 6 * math.sqrt(64 * differ * (1 - differ))))
 
+    def _place(self, labs: np.ndarray) -> np.ndarray:
+        """The row in ``centres`` of each label."""
+        at = np.searchsorted(self.known, labs)
+        return np.where(np.append(self.known, 0)[at] == labs, at, len(self.known)) if len(self.known) else np.zeros(len(labs), int)
+
     @staticmethod
     def _rotation(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
         r = np.linalg.qr(rng.normal(size=(x.shape[1], x.shape[1])))[0]
@@ -72,12 +85,12 @@ class Codes:
             r = (u @ vt).T
         return r
 
-    def encode(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def encode(self, vectors: np.ndarray, labs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(a 64-bit part of each code as int64; the substrings as int64, a row for each vector, a column for each
         table; whether the vector is an inner one)."""
         x = np.zeros((len(vectors), self.dim))
         x[:, : vectors.shape[1]] = vectors
-        x = x / np.linalg.norm(x, axis=1, keepdims=True) - self.mean
+        x = x / np.linalg.norm(x, axis=1, keepdims=True) - self.centres[self._place(labs)]
         bits = x.astype(np.float32) @ self.rotation > 0
         short = np.packbits(bits[:, :64], axis=1).view(">i8").ravel().astype(np.int64)
         parts = bits[:, : self.tables * self.bits].reshape(len(x), self.tables, self.bits)
@@ -93,7 +106,7 @@ def _coder(codes):
                 x = np.zeros((part.num_rows, c.dim))
                 for i, v in enumerate(part.column("embedding").to_pylist()):
                     x[i, : len(v)] = v
-                short, strings, inner = c.encode(x)
+                short, strings, inner = c.encode(x, part.column("lab").to_numpy())
                 # An inner vector has one more string, always the same.
                 strings = np.append(strings, np.zeros((len(x), 1), np.int64), axis=1)
                 kept = np.append(np.ones((len(x), c.tables), bool), inner[:, None], axis=1)
@@ -138,6 +151,15 @@ def forest(linked: np.ndarray) -> np.ndarray:
     return root
 
 
+def merged(component: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``component`` (the first node of each node's component) after nodes ``a`` are joined to nodes ``b``."""
+    while (component[a] != component[b]).any():
+        onto = np.arange(len(component))
+        np.minimum.at(onto, np.maximum(component[a], component[b]), np.minimum(component[a], component[b]))
+        component = onto[component]
+    return component
+
+
 def _block_linker(threshold: float):
     """(rep, copies linked to it, a member of its component) from rows sorted by (key, i, j): the pairs of two blocks of a
     bucket that no bucket with a smaller key has compared."""
@@ -146,30 +168,51 @@ def _block_linker(threshold: float):
         for group in groups(batches, ["key", "i", "j"]):
             key, i, j = (group.column(n)[0].as_py() for n in ("key", "i", "j"))
             rep, block, copies = (group.column(n).to_numpy() for n in ("rep", "block", "copies"))
+            keys = group.column("keys").combine_chunks()
             x = group.column("embedding").combine_chunks().flatten().to_numpy().reshape(len(rep), -1)
             x = x / np.linalg.norm(x, axis=1, keepdims=True)
-            left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-            before = earlier_buckets(group.column("keys").combine_chunks(), key)
-            near = x[left] @ x[right].T >= threshold
-            if i == j:
-                near &= np.arange(len(left))[:, None] < np.arange(len(left))
-            if before.shape[1] and near.any():
-                near &= before[left] @ before[right].T == 0
-            n = np.zeros(len(rep), np.int64)
-            n[left] += near @ copies[right]
-            n[right] += near.T @ copies[left]
+            del group
+            tiles = lambda b: [t for t in np.split(np.flatnonzero(block == b), range(TILE, len(rep), TILE)) if len(t)]  # noqa: B023, E731
+            n, component = np.zeros(len(rep), np.int64), np.arange(len(rep))
+            for p, left in enumerate(tiles(i)):
+                for q, right in enumerate(tiles(j)):
+                    if i == j and q < p:
+                        continue
+                    near = x[left] @ x[right].T >= threshold
+                    if i == j and p == q:
+                        near &= np.arange(len(left))[:, None] < np.arange(len(left))
+                    if not near.any():
+                        continue
+                    near = _not_met_before(near, keys, key, left, right)
+                    n[left] += near @ copies[right]
+                    n[right] += near.T @ copies[left]
+                    component = merged(component, *_spanning(near, left, right, component))
             met = np.flatnonzero(n)
-            if not len(met):
-                continue
-            linked = np.zeros((len(rep), len(rep)), bool)
-            linked[np.ix_(left, right)] = near
-            linked = linked[np.ix_(met, met)]
-            root = met[forest(linked | linked.T)]
-            yield pa.RecordBatch.from_arrays([pa.array(rep[met]), pa.array(n[met]), pa.array(rep[root])], names=["rep", "n", "other"])
+            if len(met):
+                yield pa.RecordBatch.from_arrays([pa.array(rep[met]), pa.array(n[met]), pa.array(rep[component[met]])], names=["rep", "n", "other"])
 
     return link
 
 
+def _not_met_before(near: np.ndarray, keys: pa.Array, key: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """``near`` without the pairs that share a bucket with a smaller key."""
+    before = earlier_buckets(keys.take(pa.array(np.append(left, right))), key)
+    if not before.shape[1]:
+        return near
+    return near & (before[: len(left)] @ before[len(left) :].T == 0)
+
+
+def _spanning(near: np.ndarray, left: np.ndarray, right: np.ndarray, component: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes and nodes to join them to, of the links between nodes that ``component`` does not hold together yet."""
+    a, b = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+    met = np.unique(np.append(left[a], right[b]))
+    if (component[met] == component[met[:1]]).all():
+        return met[:0], met[:0]
+    linked = np.zeros((len(met), len(met)), bool)
+    linked[np.ix_(np.searchsorted(met, left[a]), np.searchsorted(met, right[b]))] = near[np.ix_(a, b)]
+    return met, met[forest(linked | linked.T)]
+
+
 def _in_blocks(rows: DataFrame, reps: DataFrame, keys: DataFrame, width: int, threshold: float, scratch: Scratch) -> DataFrame:
     """Links within large buckets ``rows(key, rep)``: each bucket is dealt to blocks, each pair of blocks is one group."""
     size = max(64, BLOCK_NUMBERS // width)
@@ -213,10 +256,10 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     reps = scratch.write(classes.join(first, ["h1", "h2"]).select("rep", "lab", "copies", "embedding"), "representatives")
 
     width = reps.agg(F.max(F.size("embedding"))).first()[0]
-    sample = np.zeros((min(SAMPLE, n_classes), width))
-    for i, r in enumerate(reps.orderBy(F.xxhash64("embedding")).limit(SAMPLE).select("embedding").collect()):
-        sample[i, : len(r.embedding)] = r.embedding
-    codes = Codes(sample, threshold, label_size)
+    sample, labs = np.zeros((min(SAMPLE, n_classes), width)), np.zeros(min(SAMPLE, n_classes), np.int64)
+    for i, r in enumerate(reps.orderBy(F.xxhash64("embedding")).limit(SAMPLE).select("embedding", "lab").collect()):
+        sample[i, : len(r.embedding)], labs[i] = r.embedding, r.lab
+    codes = Codes(sample, labs, threshold, label_size)
 
     coded = reps.mapInArrow(_coder(spark.sparkContext.broadcast(codes)), "rep long, lab long, short long, strings array<long>")
     entries = coded.select("rep", "lab", "short", F.posexplode("strings").alias("t", "string"))
