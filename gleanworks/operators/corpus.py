@@ -8,6 +8,7 @@ import operator
 import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -149,17 +150,69 @@ def canary_of(records: DataFrame) -> DataFrame:
     return both.where("n = 0 AND fr > 0").select(F.lit("CP1252_CANARY_ZERO").alias("code"))
 
 
+#: Folders where taking a name that is free is a hard link; elsewhere it is a rename.
+LINKED = ("file",)
+
+
+def _versions(spark: SparkSession, out_dir: str) -> list[int]:
+    """The versions of a corpus in order; none where there is no corpus."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{out_dir}/manifest")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+    return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and n[:-5].isdigit())
+
+
+def _claimed(spark: SparkSession, out_dir: str, version: int, entry: str) -> bool:
+    """Make the version's manifest, whole, unless another writer has; whether it was made.
+
+    The text is written under a name of its own first. Taking the version's name is one step that fails where the name is
+    taken: a hard link in a local folder, a rename without overwriting elsewhere.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(f"{out_dir}/manifest")
+    fs = folder.getFileSystem(conf)
+    fs.mkdirs(folder)
+    draft = jvm.org.apache.hadoop.fs.Path(folder, f"_draft-{uuid.uuid4().hex}")
+    target = jvm.org.apache.hadoop.fs.Path(folder, f"{version:08d}.json")
+    out = fs.create(draft, False)
+    try:
+        out.write(bytearray(f"{entry}\n".encode()))
+    finally:
+        out.close()
+    try:
+        if fs.getScheme() in LINKED:
+            local = lambda p: jvm.java.io.File(p.toUri().getPath()).toPath()
+            jvm.java.nio.file.Files.createLink(local(target), local(draft))
+        else:
+            no_overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+            no_overwrite[0] = getattr(jvm.org.apache.hadoop.fs.Options.Rename, "NONE")
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(draft, target, no_overwrite)
+        return True
+    except Py4JJavaError as e:
+        if e.java_exception.getClass().getSimpleName() != "FileAlreadyExistsException":
+            raise
+        return False
+    finally:
+        fs.delete(draft, False)
+
+
 def commit(spark: SparkSession, out_dir: str, manifest: dict, attempt: str, tables: list[str]) -> dict:
-    """The corpus exists when its one-row manifest does."""
-    entry = manifest | {"data": attempt, "tables": sorted(tables)}
-    spark.createDataFrame([(json.dumps(entry, sort_keys=True, ensure_ascii=False),)], "manifest string").coalesce(1).write.text(f"{out_dir}/manifest")
-    return entry
+    """Claim the corpus's next version; the entry, which names it. A version exists when its one-row manifest does.
+
+    Writers that freeze at once get versions one after another, each with its own data: whoever finds a number taken tries
+    the one after the highest. Versions are never changed.
+    """
+    while True:
+        version = max(_versions(spark, out_dir), default=0) + 1
+        entry = manifest | {"data": attempt, "tables": sorted(tables), "version": version}
+        if _claimed(spark, out_dir, version, json.dumps(entry, sort_keys=True, ensure_ascii=False)):
+            return entry
 
 
 def freeze(spark: SparkSession, tables: dict[str, DataFrame], findings: DataFrame, out_dir: str, manifest: dict) -> dict:
-    """Write the tables of a corpus, all or nothing.
+    """Write the tables of a corpus as its next version, all or nothing.
 
-    A blocking finding raises before anything is written. Tables go to a folder of this attempt; the corpus exists when
+    A blocking finding raises before anything is written. Tables go to a folder of this attempt; the version exists when
     its one-row manifest does, which is written last and names that folder, so a failed attempt leaves nothing visible.
     """
     blocked_by(findings)
@@ -169,8 +222,26 @@ def freeze(spark: SparkSession, tables: dict[str, DataFrame], findings: DataFram
     return commit(spark, out_dir, manifest, attempt, list(tables))
 
 
-def read_corpus(spark: SparkSession, out_dir: str, table: str) -> DataFrame:
-    entry = json.loads(spark.read.text(f"{out_dir}/manifest").first().value)
+def manifests(spark: SparkSession, out_dir: str) -> DataFrame:
+    """version, manifest (JSON) of every version of a corpus; without a corpus there are no rows."""
+    if not _versions(spark, out_dir):
+        return spark.createDataFrame([], "version long, manifest string")
+    rows = spark.read.text(f"{out_dir}/manifest", pathGlobFilter="*.json")
+    return rows.select(F.get_json_object("value", "$.version").cast("long").alias("version"), F.col("value").alias("manifest"))
+
+
+def snapshot(spark: SparkSession, out_dir: str, version: int | None = None) -> dict:
+    """The manifest of a version, the last by default. Tables read by one snapshot belong together, whoever freezes
+    meanwhile; an unknown version raises LookupError."""
+    known = _versions(spark, out_dir)
+    if not known or (version is not None and version not in known):
+        raise LookupError(f"{out_dir} has no version {version or 1}")
+    return json.loads(spark.read.text(f"{out_dir}/manifest/{version or known[-1]:08d}.json").first().value)
+
+
+def read_corpus(spark: SparkSession, out_dir: str, table: str, version: int | dict | None = None) -> DataFrame:
+    """A table of a version (a number, or a snapshot), the last by default."""
+    entry = version if isinstance(version, dict) else snapshot(spark, out_dir, version)
     return spark.read.parquet(f"{entry['data']}/{table}")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 
 import pandas as pd
@@ -592,7 +593,7 @@ def _frozen(spark, sf):
     cells = cell("segment", F.col("c_mktsegment")).union(cell("anonymised", F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("Tel. 044/123 45 67 "), "c_name")).otherwise("")))
     findings = spark.createDataFrame([("ROW_RECOVERED", None)], "code string, detail map<string,string>")
     out = scratch_dir(spark, "corpus")
-    corpus.freeze_delivery(spark, records, cells, findings, out, {"name": "customers", "version": 1}, anonymised=("anonymised",))
+    corpus.freeze_delivery(spark, records, cells, findings, out, {"name": "customers"}, anonymised=("anonymised",))
     return out
 
 
@@ -612,6 +613,22 @@ def freeze_manifest(spark, sf):
     return facts.select("m.record_count", F.col("m.cp1252_canary_count").alias("canary"), F.col("m.language_counts")["de"].alias("german")).join(phones).join(census_rows)
 
 
+@query(
+    "corpus_versions",
+    """SELECT v AS version, count(*)::BIGINT AS records, (sum(o_totalprice::DECIMAL(18, 2)) * 100)::BIGINT AS cents, max(count(*)) OVER ()::BIGINT AS latest
+ FROM orders, (VALUES (1, 1996), (2, 1999), (3, 2100)) t(v, until) WHERE year(o_orderdate) <= until GROUP BY v""",
+)
+def corpus_versions(spark, sf):
+    """Orders frozen three times as they grow; every version is read again after the last."""
+    orders = read(spark, sf, "orders").select("o_orderkey", F.col("o_totalprice").cast("decimal(18,2)").alias("price"), F.year("o_orderdate").alias("year"))
+    out = scratch_dir(spark, "corpus")
+    none = spark.createDataFrame([], "code string")
+    entries = [corpus.freeze(spark, {"record": orders.where(F.col("year") <= until)}, none, out, {"name": "orders"}) for until in (1996, 1999, 2100)]
+    latest = corpus.read_corpus(spark, out, "record").agg(F.count("*").alias("latest"))
+    versions = [corpus.read_corpus(spark, out, "record", e["version"]).agg(F.count("*").alias("records"), (F.sum("price") * 100).cast("long").alias("cents")).select(F.lit(e["version"]).alias("version"), "records", "cents") for e in entries]
+    return functools.reduce(DataFrame.union, versions).join(latest)
+
+
 # --- exports, written and read back ------------------------------------------------------------------------------------
 
 

@@ -1,6 +1,7 @@
 """Files to rows and findings, code lists, exports, freezing, streams."""
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -204,6 +205,40 @@ def test_freeze_delivery(spark, tmp_path):
     assert not (tmp_path / "e").exists()
 
 
+@pytest.mark.parametrize("linked", [("file",), ()], ids=["link", "rename"])
+def test_a_version_has_one_writer(spark, tmp_path, monkeypatch, linked):
+    """A number that is taken is refused, whichever way names are taken, and nothing of the attempt stays."""
+    monkeypatch.setattr(corpus, "LINKED", linked)
+    out = f"file://{tmp_path}/c"
+    assert corpus.manifests(spark, out).collect() == []
+    assert corpus._claimed(spark, out, 1, '{"a": "ö"}')
+    assert not corpus._claimed(spark, out, 1, '{"a": "other"}')
+    assert sorted(f.name for f in (tmp_path / "c" / "manifest").iterdir() if not f.name.endswith(".crc")) == ["00000001.json"]
+    assert corpus.snapshot(spark, out) == {"a": "ö"}
+    with pytest.raises(LookupError):
+        corpus.snapshot(spark, out, 2)
+    with pytest.raises(LookupError):
+        corpus.snapshot(spark, f"{tmp_path}/none")
+
+
+def test_writers_at_once_get_a_version_each(spark, tmp_path):
+    out = f"{tmp_path}/c"
+    none = spark.createDataFrame([], "code string")
+    freeze = lambda k: corpus.freeze(spark, {"record": spark.range(k, k + 3).withColumnRenamed("id", "n")}, none, out, {"name": "n", "writer": k})
+    first = freeze(100)
+    held = corpus.snapshot(spark, out)
+    with ThreadPoolExecutor(6) as pool:
+        entries = list(pool.map(freeze, range(6)))
+    assert sorted(e["version"] for e in entries) == [2, 3, 4, 5, 6, 7] and first["version"] == 1
+    assert sorted(r.version for r in corpus.manifests(spark, out).collect()) == list(range(1, 8))
+    for e in entries:
+        assert corpus.snapshot(spark, out, e["version"]) == e
+        assert sorted(r.n for r in corpus.read_corpus(spark, out, "record", e["version"]).collect()) == [e["writer"] + i for i in range(3)]
+    assert held == first and sorted(r.n for r in corpus.read_corpus(spark, out, "record", held).collect()) == [100, 101, 102]
+    last = next(e for e in entries if e["version"] == 7)
+    assert corpus.read_corpus(spark, out, "record").agg(F.min("n")).first()[0] == last["writer"]
+
+
 def test_derivation_catalogue():
     specs = [
         derive.Derivation("count_objects"), derive.Derivation("any_person_matches", derive.Filter("c", "in", ("1", "2"))), derive.Derivation("any_object_matches", derive.Filter("c", "is_empty")),
