@@ -196,19 +196,29 @@ def _claimed(spark: SparkSession, out_dir: str, version: int, entry: str) -> boo
         fs.delete(draft, False)
 
 
-def commit(spark: SparkSession, out_dir: str, manifest: dict, attempt: str, tables: list[str]) -> dict:
-    """Claim the corpus's next version; the entry, which names it. A version exists when its one-row manifest does.
+def commit_next(spark: SparkSession, out_dir: str, following: Callable[[dict | None], dict | None]) -> dict | None:
+    """Claim the next version of what ``out_dir`` holds; its entry, which names the version.
 
-    Writers that freeze at once get versions one after another, each with its own data: whoever finds a number taken tries
-    the one after the highest. Versions are never changed.
+    ``following`` takes the last version's entry (None where there is none) and returns the next one's, or None to leave
+    things as they are. Of writers at once, whoever finds the number taken is asked again, for the version after that one;
+    so none is lost. A version exists when its one-row manifest does, and is never changed.
     """
     while True:
-        version = max(_versions(spark, out_dir), default=0) + 1
-        entry = manifest | {"data": attempt, "tables": sorted(tables), "version": version}
+        known = _versions(spark, out_dir)
+        entry = following(snapshot(spark, out_dir, known[-1]) if known else None)
+        if entry is None:
+            return None
+        version = known[-1] + 1 if known else 1
+        entry = entry | {"version": version}
         if _claimed(spark, out_dir, version, json.dumps(entry, sort_keys=True, ensure_ascii=False)):
             return entry
 
 
+def commit(spark: SparkSession, out_dir: str, manifest: dict, attempt: str, tables: list[str]) -> dict:
+    """Claim the corpus's next version for the tables of an attempt; the entry."""
+    return commit_next(spark, out_dir, lambda _: manifest | {"data": attempt, "tables": sorted(tables)})
+
+
 def freeze(spark: SparkSession, tables: dict[str, DataFrame], findings: DataFrame, out_dir: str, manifest: dict) -> dict:
     """Write the tables of a corpus as its next version, all or nothing.
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import query, read, scratch_dir
 from ..operators import census, codelists, corpus, derive, integrity, overlap, paging
+from ..operators.census_store import CensusStore
 from ..operators.derive import Filter
 from ..sources import exports
 
@@ -68,6 +69,22 @@ def melt_cells(spark, sf):
     return census.melt_cells(read(spark, sf, "customer").select(*COLUMNS["customer"]), "customer", "c_custkey").unionByName(census.melt_cells(read(spark, sf, "orders").select(*COLUMNS["orders"]), "orders", "o_orderkey"))
 
 
+@query("census_growing", _CENSUS)
+def census_growing(spark, sf):
+    """The census of a store that got the tables as two deliveries, the later with orders and items of later years."""
+    dates = {"orders": "o_orderdate", "lineitem": "l_shipdate"}
+
+    def cells(t: str, early: bool) -> DataFrame:
+        rows = read(spark, sf, t)
+        is_early = F.coalesce(F.year(dates[t]) <= 1997, F.lit(False)) if t in dates else F.lit(True)
+        return census.melt_cells(rows.where(is_early if early else ~is_early).select(*COLUMNS[t]), t, TABLES[t][0])
+
+    store = CensusStore(spark, scratch_dir(spark, "census"), buckets=16)
+    for early in (True, False):
+        store.add(functools.reduce(DataFrame.unionByName, [cells(t, early) for t in ALL]).withColumn("seq", F.col("row_key").cast("long")))
+    return store.columns("customer")
+
+
 @query("census_columns", _CENSUS)
 def census_columns(spark, sf):
     return _census(spark, sf)
