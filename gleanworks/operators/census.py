@@ -1,7 +1,7 @@
 """Column census: population, distinct values, most frequent values, type hints and buckets of every column.
 
-One pass: wide rows become (table, column, value) cells in the same stage that scans them, and values are counted with
-map-side combine, so what is shuffled is the distinct values of each column and task, not the cells.
+Values are counted with map-side combine, so what is shuffled is the distinct values of each column and task, not the cells.
+A wide table is counted column by column, each as the numbers or dates that it holds, and distinct values alone are spelt.
 """
 
 from __future__ import annotations
@@ -39,6 +39,40 @@ def value_table(cells: DataFrame, sequence: Column) -> DataFrame:
     return cells.where("value_raw <> ''").groupBy("table_name", "column_name", "value_raw").agg(F.count("*").alias("n"), F.min(sequence).alias("first"))
 
 
+#: Types whose distinct values have distinct spellings.
+_SPELT_APART = (T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DecimalType, T.DateType, T.StringType)
+
+
+def column_counts(df: DataFrame, table: str, key: str) -> list[DataFrame]:
+    """The value table of ``melt_cells(df, table, key)`` in the sequence of the key, a part for each column, without a row or
+    a text for each cell."""
+    cells = []
+    for f in df.schema:
+        value, kind = F.col(f.name), f.dataType
+        if isinstance(kind, (T.DoubleType, T.FloatType)):
+            value, kind = value.cast("decimal(18,2)"), T.DecimalType(18, 2)
+        counted = df.select(value.alias("v"), F.col(key).try_cast("long").alias("s")).groupBy("v").agg(F.count("*").alias("n"), F.min("s").alias("first"))
+        spelt = counted.select(F.lit(table).alias("table_name"), F.lit(f.name).alias("column_name"), F.col("v").cast("string").alias("value_raw"), "n", "first").where("value_raw <> ''")
+        if not isinstance(kind, _SPELT_APART):
+            spelt = spelt.groupBy("table_name", "column_name", "value_raw").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+        cells.append(spelt)
+    return cells
+
+
+def top_of_columns(columns: list[DataFrame], k: int = TOP) -> DataFrame:
+    """``top_values`` of a value table in parts of one column each: a task holds k values, and sorts none of the others.
+
+    Totals ask for the first place too, which no rank is before, so that they and the ranks read the same counts and these
+    are made once.
+    """
+    order = [F.desc("n"), F.asc("first"), F.asc("value_raw")]
+    best = functools.reduce(DataFrame.unionAll, [c.orderBy(*order).limit(k) for c in columns])
+    total = functools.reduce(DataFrame.unionAll, columns).groupBy("table_name", "column_name").agg(F.sum("n").alias("total"), F.min("first").alias("_first"))
+    ranked = best.withColumn("value_rank", F.row_number().over(Window.partitionBy("table_name", "column_name").orderBy(*order)))
+    known = ranked.join(total, ["table_name", "column_name"]).where("first IS NULL OR first >= _first")
+    return known.select("table_name", "column_name", "value_rank", "value_raw", "n", F.round(F.col("n") / F.col("total"), 9).alias("share"))
+
+
 def census_columns(values: DataFrame, headers: DataFrame, record_count: Column) -> DataFrame:
     """Per column of ``headers(table_name, column_name)``: populated_count, populated_rate, distinct_count,
     top_value_share, long_tail, bucket. The rate is per accident in every table, so a child's may exceed 1."""

@@ -1,5 +1,6 @@
 """Files to rows and findings, code lists, exports, freezing, streams."""
 
+import datetime
 import json
 from concurrent.futures import ThreadPoolExecutor
 
@@ -249,3 +250,18 @@ def test_derivation_catalogue():
     for bad in ('{"type": "mean"}', '{"type": "distinct_count", "table": "objekt"}', '{"type": "any_object_matches", "filter": null}', '{"type": "max_ordinal", "table": "objekt", "column": "c", "ordered_codes": ["a", "a"]}', "[]"):
         with pytest.raises(ValueError):
             derive.derivation_from_json(bad)
+
+
+def test_columns_are_counted_as_what_they_hold(spark):
+    """Counts of each column are those of its cells as text, and no cell becomes a row or a text of its own."""
+    rows = [(k, [None, "", "a", "B"][k % 4], [0.004, -0.001, 1.5, None][k % 4], bool(k % 2), datetime.datetime(2020, 1, 1 + k % 3), datetime.date(2021, 1, 1 + k % 5)) for k in range(60)]
+    df = spark.createDataFrame(rows, "k long, s string, d double, b boolean, t timestamp, day date")
+    cells = census.value_table(census.melt_cells(df, "x", "k"), F.col("row_key").cast("long"))
+    columns = census.column_counts(df, "x", "k")
+    counted = columns[0]
+    for c in columns[1:]:
+        counted = counted.unionAll(c)
+    names = ["table_name", "column_name", "value_raw", "n", "first"]
+    assert sorted(map(tuple, counted.select(names).collect())) == sorted(map(tuple, cells.select(names).collect()))
+    assert sorted(map(tuple, census.top_of_columns(columns, 3).collect())) == sorted(map(tuple, census.top_values(cells, 3).collect()))
+    assert "Expand" not in counted._jdf.queryExecution().executedPlan().toString()
