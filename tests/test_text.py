@@ -6,6 +6,7 @@ from decimal import Decimal, getcontext
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from gleanworks.functions import stats, text
@@ -179,3 +180,44 @@ def test_decimals_equal_decimal_arithmetic(spark):
     for precision in (2, 0, None):
         got = rows.select("v", text.normalise_decimal(F.col("v"), precision).alias("n")).collect()
         assert [(r.v, r.n) for r in got] == [(v, expected(v, precision)) for v in values]
+
+
+def test_examples_mask_each_text_once(spark, tmp_path):
+    spark.createDataFrame([(k, f"Tel. 079 123 45 6{k % 3} und noch 079 123 45 61") for k in range(30)], "k int, original string").write.parquet(f"{tmp_path}/t")
+    masked = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("string")
+    def counted(t):
+        masked.add(len(t))
+        return t
+
+    rows = spark.read.parquet(f"{tmp_path}/t").withColumn("original", counted.asNondeterministic()("original"))
+    rows = rows.withColumn("s", scrub.scrubbed(spark, "original")).select("k", "original", "s.*")
+    found = scrub.scrub_examples(rows, "k", values=1).collect()
+    assert [(r.value, r.hits, r.records, r.other_hits) for r in found] == [("079 123 45 60", 10, 10, 50)]
+    assert masked.value == 30
+
+
+def test_workers_hold_texts_in_parts(spark):
+    texts = pa.array(["a" * 400_000] * 7 + [None] + ["b" * 3_000_000] + ["c"] * 2500)
+    parts = list(scrub.parts(texts))
+    assert [x for p in parts for x in p.to_pylist()] == texts.to_pylist()
+    assert all(len(p) <= scrub.PART_ROWS and (len(p) == 1 or sum(map(len, filter(None, p.to_pylist()))) <= scrub.PART_BYTES) for p in parts)
+    assert list(scrub.parts(pa.array([], pa.string()))) == []
+
+
+def test_short_lists_are_looked_for_in_whole_texts(spark):
+    rules = scrub.Rules(firstnames=("Erin",), lastnames=("Müller", "Straßer", "O'Neil"))
+    texts = ["Erin", "ERINNERN", "Frau MÜLLER", "mueller", "muller", "Strasser", "STRASSER", "STRASSER ß", "Straßer", "Müller", "x 1 2", "É Erín", "O'Neil", "Ωmega", "", None, "SG 12", "SG-1", "sg 1 2", "a@b", "1 2", "12"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    got = df.select("t", scrub.may_match(F.col("t"), rules, rules.index()).alias("may"), scrub.scrubbed(spark, "t", rules).alias("s")).collect()
+    work = scrub.Scrubber(rules)
+    for r in got:
+        assert r.t is None or ((r.s.text, [h.asDict() for h in r.s.hits]) == work.scrub(r.t) and (r.may or not work.scrub(r.t)[1]))
+    assert {"ERINNERN", "x 1 2", "", "SG-1", "a@b", "12"} & {r.t for r in got if not r.may} == {"ERINNERN", "x 1 2", ""}
+
+
+def test_few_columns_of_a_small_file_are_many_tasks(spark, sf):
+    from gleanworks.plans import texts as plans
+
+    assert plans._planted(spark, sf).rdd.getNumPartitions() == 4 > spark.read.parquet(f"{sf}/customer.parquet").rdd.getNumPartitions()
