@@ -13,7 +13,7 @@ what all chunks have and answers every run with counts in its order. Every n-gra
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -71,7 +71,7 @@ class NGrams:
     def __init__(self, vocabulary: np.ndarray, ids: np.ndarray, sizes: np.ndarray, order: int):
         self.sizes, self.order = sizes, order
         self.firsts = np.cumsum(sizes) - sizes
-        tokens, place = vocabulary[ids], np.arange(len(ids)) - np.repeat(self.firsts, sizes)
+        tokens, place = vocabulary[ids], (np.arange(len(ids)) - np.repeat(self.firsts, sizes)).astype(np.int32)
         self.keys, self.at = [mix64(vocabulary * _PLACES[0] + np.uint64(1))], [ids]
         for k in range(2, order + 1):
             total = tokens * _PLACES[0] + np.uint64(k)
@@ -79,12 +79,15 @@ class NGrams:
                 # what stands before a text are start marks
                 total[j:] += np.where(place[j:] >= j, tokens[:-j], _START) * _PLACES[j]
                 total[:j] += _START * _PLACES[j]
-            keys, at = np.unique(mix64(total), return_inverse=True)
-            self.keys.append(keys), self.at.append(at)
+            total = mix64(total)
+            keys, at = np.unique(total, return_inverse=True)
+            self.keys.append(keys), self.at.append(at.astype(np.int32))
+            del total, at
+        del tokens, place
         #: Contexts of start marks alone, which end at no token.
         marks = [mix64(np.array([sum((int(_START) * int(_PLACES[j]) for j in range(k)), k) % 2**64], np.uint64)) for k in range(1, order)]
         every = np.concatenate([*self.keys, *marks])
-        self.sorted = np.argsort(every, kind="stable")
+        self.sorted = np.argsort(every, kind="stable").astype(np.int32)
         self.every = every[self.sorted]
         self.cuts = np.cumsum([len(k) for k in self.keys])
 
@@ -111,6 +114,10 @@ class NGrams:
             contexts.append(c)
         return of, contexts
 
+    def drop_keys(self) -> None:
+        """Keep the texts' places alone, once counts are found."""
+        self.keys = self.at = self.every = self.sorted = None
+
 
 def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Chunks of the documents of a partition, those of the deleted part apart."""
@@ -143,7 +150,7 @@ def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _opened(row: dict, order: int) -> NGrams:
-    return NGrams(unpacked(row["vocabulary"]), unpacked(row["ids"]).astype(np.int64), unpacked(row["sizes"]).astype(np.int64), order)
+    return NGrams(unpacked(row["vocabulary"]), unpacked(row["ids"]).astype(np.int32), unpacked(row["sizes"]).astype(np.int64), order)
 
 
 def _range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
@@ -175,6 +182,8 @@ def _answered(table: pa.Table) -> pa.Table:
     single = np.concatenate([np.unpackbits(np.frombuffer(r["single"], np.uint8), count=r["n"]) for r in rows]).astype(bool)
     deleted = np.repeat([r["deleted"] for r in rows], [r["n"] for r in rows])
     distinct, index = np.unique(keys, return_inverse=True)
+    index = index.astype(np.int32)
+    del keys
     of = lambda which: np.bincount(index[which], weights=counts[which], minlength=len(distinct)).astype(np.int64)
     kept = of(~deleted)
     total = kept + of(deleted)
@@ -190,22 +199,29 @@ def _answered(table: pa.Table) -> pa.Table:
     })
 
 
-def _estimated(chunk: pa.Table, answers: pa.Table, counts: str, order: int, n: int, v: int) -> tuple[dict, NGrams, np.ndarray, np.ndarray, np.ndarray]:
-    """(the chunk, its n-grams, counts of its tokens, the bucket of each one's context, its estimates by order; 0 is the
-    smoothed one of unigrams), from the counts that the chunk was answered."""
+def _estimated(chunk: pa.Table, answers: pa.Table, counts: str, order: int, n: int, v: int) -> tuple[dict, NGrams, np.ndarray, np.ndarray, Callable[[int], np.ndarray]]:
+    """(the chunk, its n-grams, counts of its tokens, the bucket of each one's context, its estimates of an order; 0 is the
+    smoothed one of unigrams), from the counts that the chunk was answered. Estimates are made when they are asked for, so
+    that a task need not hold those of all orders."""
     row = chunk.to_pylist()[0]
     grams = _opened(row, order)
     frames = answers.sort_by("range").column(counts).to_pylist()
-    of, contexts = grams.found(np.concatenate([unpacked(x) for x in frames]).astype(np.int64))
+    of, contexts = grams.found(np.concatenate([unpacked(x).astype(np.int64) for x in frames]))
+    grams.drop_keys()
+    del frames
     single = of[0]
-    p = np.empty((len(single), order + 1))
-    p[:, 0] = (single + 1) / (n + v + 1)
-    p[:, 1] = single / max(n, 1)
     bucket = np.full(len(single), SIZES if n else 0, np.int32)
-    for k in range(2, order + 1):
-        seen = contexts[k - 2]
-        p[:, k] = np.where(seen > 0, of[k - 1] / np.maximum(seen, 1), 0.0)
+    for k, seen in enumerate(contexts, 2):
         bucket = np.where(seen > 0, k * SIZES + np.log2(np.maximum(seen, 1)).astype(np.int32), bucket)
+
+    def p(k: int) -> np.ndarray:
+        if k == 0:
+            return (single + 1) / (n + v + 1)
+        if k == 1:
+            return single / max(n, 1)
+        seen = contexts[k - 2]
+        return np.where(seen > 0, of[k - 1] / np.maximum(seen, 1), 0.0)
+
     return row, grams, single, bucket, p
 
 
@@ -214,18 +230,18 @@ def _em_rows(chunk: pa.Table, answers: pa.Table, order: int, n: int, v: int) ->
     _, _, _, bucket, p = _estimated(chunk, answers, "kept", order, n, v)
     alike = bucket.astype(np.uint64)
     for k in range(order + 1):
-        alike = mix64(alike + p[:, k].view(np.uint64))
+        alike = mix64(alike + p(k).view(np.uint64))
     _, at, counts = np.unique(alike, return_index=True, return_counts=True)
-    listed = pa.ListArray.from_arrays(np.arange(0, len(at) * (order + 1) + 1, order + 1, dtype=np.int32), p[at].ravel())
+    listed = pa.ListArray.from_arrays(np.arange(0, len(at) * (order + 1) + 1, order + 1, dtype=np.int32), np.stack([p(k)[at] for k in range(order + 1)], axis=1).ravel())
     return pa.table({"bucket": bucket[at].astype(np.int32), "p": listed, "n": counts.astype(np.int64)})
 
 
 def _scores(chunk: pa.Table, answers: pa.Table, order: int, n: int, v: int, weights: np.ndarray) -> pa.Table:
     row, grams, single, bucket, p = _estimated(chunk, answers, "total", order, n, v)
-    base = np.log10(p[:, 0])
-    mixed = np.zeros(len(p))
+    base = np.log10(p(0))
+    mixed = np.zeros(len(base))
     for k in range(order + 1):
-        mixed += weights[bucket, k] * p[:, k]
+        mixed += weights[bucket, k] * p(k)
     total = lambda x: np.add.reduceat(x, grams.firsts)  # noqa: E731  a text has its end token at least
     return pa.table({"doc_id": pa.array(row["doc_ids"], pa.int64()), "held_out": row["held_out"], "n_tokens": grams.sizes, "n_known": total((single > 0).astype(np.int64)), "base_score": total(base), "score": total(np.log10(mixed))})
 

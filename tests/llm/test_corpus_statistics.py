@@ -269,3 +269,32 @@ def test_scores_without_training_or_rows(spark):
 def test_held_out_texts_are_better_than_unigrams(spark, sf):
     rows = ngram_lm.score_texts(spark.read.parquet(f"{sf}/documents.parquet")).where("held_out").collect()
     assert sum(r.score for r in rows) > 1.05 * sum(r.base_score for r in rows)
+
+
+def test_a_chunk_of_n_grams_is_narrow():
+    """What a task holds of a chunk of a million tokens while it scores, numpy's arrays at their most."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from gleanworks.llm import ngram_lm as lm
+
+    rng = np.random.default_rng(1)
+    n = 1_000_000
+    vocabulary = np.sort(rng.integers(0, 2**63, 50_000, dtype=np.uint64))
+    ids = rng.integers(0, len(vocabulary), n).astype(np.uint64)
+    sizes = np.full(n // 100, 100, np.uint64)
+    row = {"vocabulary": lm.packed(vocabulary), "ids": lm.packed(ids), "sizes": lm.packed(sizes)}
+    grams = lm._opened(row, 2)
+    asked = len(grams.every)
+    del grams
+    many = len(sizes)
+    chunk = pa.table({"doc_ids": [list(range(many))], "held_out": [[False] * many]} | {k: [v] for k, v in row.items()})
+    answers = pa.table({"range": [0], "total": [lm.packed(np.ones(asked, np.uint64))]})
+    tracemalloc.start()
+    scored = lm._scores(chunk, answers, 2, n, len(vocabulary), lm.start_weights(2))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert scored.num_rows == many
+    assert most < 90 * n
