@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,6 +31,8 @@ ORDER, FOLDS = 2, 8
 HELD_OUT, OUT_OF = 2, 7
 #: Bytes of text in a chunk, and in the texts for each range of keys.
 CHUNK_BYTES, RANGE_BYTES = 8_000_000, 16_000_000
+#: Tokens of a chunk that are worked on at once.
+SLICE = 1 << 16
 ROUNDS, TOLERANCE = 25, 1e-6
 #: Buckets of contexts: the order of the longest context seen, and the binary logarithm of its count.
 SIZES = 64
@@ -42,15 +45,32 @@ EM_ROW = "bucket int, p array<double>, n long"
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
+def distinct(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As np.unique with return_inverse, with 32-bit places and about half its memory."""
+    order = np.argsort(a)
+    found = a[order]
+    first = np.concatenate((found[:1] == found[:1], found[1:] != found[:-1]))
+    found = found[first]
+    rank = np.cumsum(first, dtype=np.int32)
+    rank -= 1
+    at = np.empty(len(a), np.int32)
+    at[order] = rank
+    return found, at
+
+
 def packed(a: np.ndarray) -> bytes:
     """Numbers as byte planes, the lowest first, in one zstandard frame: planes of zeros cost nothing."""
-    planes = a.astype("<u8").view(np.uint8).reshape(-1, 8).T
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    out = zstandard.ZstdCompressor(level=1).compressobj(size=8 * len(a))
+    return b"".join([*(out.compress(((a >> a.dtype.type(8 * i)) & a.dtype.type(255)).astype(np.uint8).tobytes()) if i < a.itemsize else out.compress(bytes(len(a))) for i in range(8)), out.flush()])
 
 
-def unpacked(frame: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(frame), np.uint8)
-    return np.ascontiguousarray(raw.reshape(8, -1).T).view("<u8").ravel()
+def unpacked(frame: bytes, kind: type = np.uint64) -> np.ndarray:
+    """``kind`` may be narrower than what was packed, where the numbers fit."""
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(frame), np.uint8).reshape(8, -1)
+    out = np.empty((raw.shape[1], np.dtype(kind).itemsize), np.uint8)
+    for i in range(out.shape[1]):
+        out[:, i] = raw[i]
+    return out.view(np.dtype(kind).newbyteorder("<")).ravel()
 
 
 def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -71,19 +91,24 @@ class NGrams:
     def __init__(self, vocabulary: np.ndarray, ids: np.ndarray, sizes: np.ndarray, order: int):
         self.sizes, self.order = sizes, order
         self.firsts = np.cumsum(sizes) - sizes
-        tokens, place = vocabulary[ids], (np.arange(len(ids)) - np.repeat(self.firsts, sizes)).astype(np.int32)
+        tokens = vocabulary[ids]
         self.keys, self.at = [mix64(vocabulary * _PLACES[0] + np.uint64(1))], [ids]
         for k in range(2, order + 1):
-            total = tokens * _PLACES[0] + np.uint64(k)
+            total = tokens * _PLACES[0]
+            total += np.uint64(k)
             for j in range(1, k):
-                # what stands before a text are start marks
-                total[j:] += np.where(place[j:] >= j, tokens[:-j], _START) * _PLACES[j]
-                total[:j] += _START * _PLACES[j]
-            total = mix64(total)
-            keys, at = np.unique(total, return_inverse=True)
-            self.keys.append(keys), self.at.append(at.astype(np.int32))
+                for a in range(j, len(total), SLICE):
+                    total[a : a + SLICE] += tokens[a - j : a - j + SLICE][: len(total) - a] * _PLACES[j]
+                # what stands before a text are start marks: a text's first j tokens are mended
+                for i in range(j):
+                    at = self.firsts[sizes > i] + i
+                    total[at] += (_START - tokens[np.maximum(at - j, 0)] * (at >= j)) * _PLACES[j]
+            for a in range(0, len(total), SLICE):
+                total[a : a + SLICE] = mix64(total[a : a + SLICE])
+            keys, at = distinct(total)
+            self.keys.append(keys), self.at.append(at)
             del total, at
-        del tokens, place
+        del tokens
         #: Contexts of start marks alone, which end at no token.
         marks = [mix64(np.array([sum((int(_START) * int(_PLACES[j]) for j in range(k)), k) % 2**64], np.uint64)) for k in range(1, order)]
         every = np.concatenate([*self.keys, *marks])
@@ -119,18 +144,30 @@ class NGrams:
         self.keys = self.at = self.every = self.sorted = None
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch that follow one another, with about a sixteenth of a chunk's bytes of text or one longer text."""
+    sizes = pc.binary_length(batch.column("text")).to_numpy().astype(np.int64)
+    of = (np.cumsum(sizes) - sizes) // max(CHUNK_BYTES // 16, 1)
+    cuts = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1], [True]))) if len(of) else of
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        yield batch.slice(a, b - a)
+
+
 def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chunks of the documents of a partition, those of the deleted part apart."""
-    held: dict[bool, list] = {}
+    """Chunks of the documents of a partition, those of the deleted part apart. Texts become tokens a slice at a time, so that a
+    task holds no more of a batch than the batch itself."""
+    held: dict[bool, list] = {True: [], False: []}
     size = {True: 0, False: 0}
     made = 0
 
     def chunk(deleted: bool) -> pa.RecordBatch:
         nonlocal made
-        doc_ids, held_out, learn, texts = zip(*held.pop(deleted), strict=True)
-        size[deleted] = 0
-        tokens, sizes = _tokens(texts)
-        vocabulary, ids = np.unique(tokens, return_inverse=True)
+        rows, tokens, sizes = zip(*held[deleted], strict=True)
+        held[deleted], size[deleted] = [], 0
+        doc_ids, held_out, learn = (pa.concat_arrays([r.column(n) for r in rows]).to_pylist() for n in ("doc_id", "held_out", "learn"))
+        tokens, sizes = np.concatenate(tokens), np.concatenate(sizes)
+        vocabulary, ids = distinct(tokens)
+        del tokens
         learned = int(sizes[np.array(learn, bool)].sum())
         number = (TaskContext.get().partitionId() << 32) + made
         made += 1
@@ -139,18 +176,24 @@ def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=[f.split()[0] for f in CHUNK.split(", ")])
 
     for batch in batches:
-        columns = (batch.column(n).to_pylist() for n in ("doc_id", "held_out", "learn", "text", "is_deleted"))
-        for *row, deleted in zip(*columns, strict=True):
-            held.setdefault(deleted, []).append(row)
-            size[deleted] += len(row[-1])
-            if size[deleted] >= CHUNK_BYTES:
-                yield chunk(deleted)
-    for deleted in list(held):
-        yield chunk(deleted)
+        for rows in _slices(batch):
+            tokens, sizes = _tokens(rows.column("text").to_pylist())
+            is_deleted = rows.column("is_deleted").to_numpy(zero_copy_only=False)
+            lengths = pc.binary_length(rows.column("text")).to_numpy()
+            for deleted in (False, True):
+                mine = is_deleted == deleted
+                if mine.any():
+                    held[deleted].append((rows.select(["doc_id", "held_out", "learn"]).filter(pa.array(mine)), tokens[np.repeat(mine, sizes)], sizes[mine]))
+                    size[deleted] += int(lengths[mine].sum())
+                if size[deleted] >= CHUNK_BYTES:
+                    yield chunk(deleted)
+    for deleted in held:
+        if held[deleted]:
+            yield chunk(deleted)
 
 
 def _opened(row: dict, order: int) -> NGrams:
-    return NGrams(unpacked(row["vocabulary"]), unpacked(row["ids"]).astype(np.int32), unpacked(row["sizes"]).astype(np.int64), order)
+    return NGrams(unpacked(row["vocabulary"]), unpacked(row["ids"], np.int32), unpacked(row["sizes"], np.int64), order)
 
 
 def _range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
@@ -161,7 +204,8 @@ def _range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
 def _runs(batches: Iterator[pa.RecordBatch], order: int, ranges: int) -> Iterator[pa.RecordBatch]:
     """What each chunk asks: its n-grams by range, the keys as differences, and its own counts."""
     for batch in batches:
-        for row in batch.to_pylist():
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1).to_pylist()[0]
             grams = _opened(row, order)
             keys, counts, single = grams.every, grams.counts(np.array(row["learn"], bool)), grams.single
             of = _range_of(keys, ranges)
@@ -170,6 +214,7 @@ def _runs(batches: Iterator[pa.RecordBatch], order: int, ranges: int) -> Iterato
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 steps = np.diff(keys[a:b], prepend=np.uint64(0))
                 found.append((int(of[a]), row["chunk"], row["deleted"], b - a, np.packbits(single[a:b]).tobytes(), packed(steps), packed(counts[a:b])))
+            del grams, keys, counts, single, of, row
             kinds = [pa.int32(), pa.int64(), pa.bool_(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*found, strict=True), kinds, strict=True)], names=[f.split()[0] for f in RUN.split(", ")])
 
@@ -181,13 +226,13 @@ def _answered(table: pa.Table) -> pa.Table:
     counts = np.concatenate([unpacked(r["counts"]) for r in rows]).astype(np.int64)
     single = np.concatenate([np.unpackbits(np.frombuffer(r["single"], np.uint8), count=r["n"]) for r in rows]).astype(bool)
     deleted = np.repeat([r["deleted"] for r in rows], [r["n"] for r in rows])
-    distinct, index = np.unique(keys, return_inverse=True)
-    index = index.astype(np.int32)
-    del keys
-    of = lambda which: np.bincount(index[which], weights=counts[which], minlength=len(distinct)).astype(np.int64)
+    found, index = distinct(keys)
+    many = len(found)
+    del keys, found
+    of = lambda which: np.bincount(index[which], weights=counts[which], minlength=many).astype(np.int64)
     kept = of(~deleted)
     total = kept + of(deleted)
-    word = np.zeros(len(distinct), bool)
+    word = np.zeros(many, bool)
     word[index[single]] = True
     ends = np.cumsum([r["n"] for r in rows])
     slices = [index[e - r["n"] : e] for e, r in zip(ends, rows, strict=True)]
@@ -206,7 +251,7 @@ def _estimated(chunk: pa.Table, answers: pa.Table, counts: str, order: int, n: i
     row = chunk.to_pylist()[0]
     grams = _opened(row, order)
     frames = answers.sort_by("range").column(counts).to_pylist()
-    of, contexts = grams.found(np.concatenate([unpacked(x).astype(np.int64) for x in frames]))
+    of, contexts = grams.found(np.concatenate([unpacked(x, np.int64) for x in frames]))
     grams.drop_keys()
     del frames
     single = of[0]

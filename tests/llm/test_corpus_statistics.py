@@ -298,3 +298,47 @@ def test_a_chunk_of_n_grams_is_narrow():
     tracemalloc.stop()
     assert scored.num_rows == many
     assert most < 90 * n
+
+
+def test_a_task_holds_little_beside_its_batch(monkeypatch):
+    """What a task holds while it makes chunks of a batch of 20 MB of text, and while it lists a chunk's n-grams; numpy's and Python's share."""
+    import tracemalloc
+    import types
+
+    import numpy as np
+    import pyarrow as pa
+
+    from gleanworks.llm import ngram_lm as lm
+
+    monkeypatch.setattr(lm, "TaskContext", types.SimpleNamespace(get=lambda: types.SimpleNamespace(partitionId=lambda: 0)))
+    rng = np.random.default_rng(2)
+    many = 5000
+    texts = [b" ".join(b"%x" % x for x in rng.integers(0, 2**18, 700)) for _ in range(many)]
+    deleted = [k % 8 == 0 for k in range(many)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(many), pa.int64()), pa.array([False] * many), pa.array([True] * many), pa.array(texts, pa.binary()), pa.array(deleted)], names=["doc_id", "held_out", "learn", "text", "is_deleted"])
+    del texts
+    tracemalloc.start()
+    chunks = list(lm._chunked(iter([batch])))
+    made = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    runs = list(lm._runs(iter(chunks), 2, 24))
+    listed = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(d for c in chunks for d in c.column("doc_ids")[0].as_py()) == list(range(many)) and len(chunks) > 2
+    assert sum(c.column("kept_tokens")[0].as_py() + c.column("deleted_tokens")[0].as_py() for c in chunks) == 701 * many
+    assert sum(r.num_rows for r in runs) >= 24
+    assert made < 60e6 and listed < 150e6
+
+
+def test_n_grams_of_short_chunks():
+    """A chunk of fewer tokens than the order; start marks stand before each text, whatever stands before it in the chunk."""
+    import numpy as np
+
+    from gleanworks.llm import ngram_lm as lm
+
+    vocabulary = np.array([5, 9], np.uint64)
+    one = lm.NGrams(vocabulary, np.array([0], np.int32), np.array([1]), 5)
+    both = lm.NGrams(vocabulary, np.array([0, 1, 0], np.int32), np.array([1, 2]), 5)
+    after = lm.NGrams(vocabulary, np.array([1, 0], np.int32), np.array([2]), 5)
+    for k in range(1, 5):
+        assert both.keys[k][both.at[k]].tolist() == one.keys[k][one.at[k]].tolist() + after.keys[k][after.at[k]].tolist()
