@@ -227,7 +227,7 @@ def recovered_rows(rows: DataFrame, files: DataFrame) -> DataFrame:
     """
     f = files.select("path", "key_index", F.size("header").alias("expected"))
     blank = F.forall("fields", lambda x: F.trim(x) == "")
-    r = rows.join(f, "path")
+    r = rows.join(F.broadcast(f), "path")  # a shuffle by path would give each file to one task
     dropped = r.where(F.col("error").isNull() & blank)
     kept = r.where(~(F.col("error").isNull() & blank))
     own_key = F.get("fields", F.col("key_index"))

@@ -181,6 +181,17 @@ def test_islands_over_the_borders_of_blocks(spark, monkeypatch):
     assert found() == whole and len(whole) > 30
 
 
+def test_a_long_file_is_no_task_of_its_own(spark):
+    """Rows meet what is known of their file without a shuffle by path, whatever Spark takes the sizes for."""
+    import re
+
+    df = spark.createDataFrame([("a", "text", ";", k, [f"{k:032d}", "x"], 1, None) for k in range(50)], delivery.ROWS)
+    files = spark.createDataFrame([("a", 0, ["UID", "HERGANG"])], "path string, key_index int, header array<string>")
+    found = delivery.recovered_rows(df, files)
+    assert not re.search(r"(SortMergeJoin|ShuffledHashJoin) \[path#\d+\], \[path#\d+\]", found._jdf.queryExecution().executedPlan().toString())
+    assert found.where("outcome = 'ok'").count() == 50
+
+
 def test_freeze_delivery(spark, tmp_path):
     """The freeze masks, detects and counts in one step, keeps no original text, and a slow rule leaves no corpus."""
     texts = {"r1": "Herr Simon rief 079 123 45 67 an, er ist in der Stadt und wartet", "r2": "", "r3": "a" * 60 + "!"}
