@@ -276,3 +276,25 @@ def test_columns_are_counted_as_what_they_hold(spark):
     assert sorted(map(tuple, counted.select(names).collect())) == sorted(map(tuple, cells.select(names).collect()))
     assert sorted(map(tuple, census.top_of_columns(columns, 3).collect())) == sorted(map(tuple, census.top_values(cells, 3).collect()))
     assert "Expand" not in counted._jdf.queryExecution().executedPlan().toString()
+
+
+def test_duplicate_keys_are_dealt_to_all_partitions(spark):
+    """However few bytes the keys take, their counts are the work of as many tasks as the session asks for."""
+    from gleanworks.operators import integrity
+
+    rows = spark.createDataFrame([("a", 1), ("b", 1), ("a", 2), ("b", None), ("b", 3), ("b", 3)], "file string, key long")
+    found = integrity.duplicate_keys(rows, ["key"], "file")
+    assert sorted((r.key, r.n, r.files) for r in found.collect()) == [(1, 2, ["a", "b"]), (3, 2, ["b"])]
+    assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_persons_are_counted_by_object(spark):
+    from gleanworks.operators import integrity
+
+    unfall = spark.createDataFrame([("u", 1, "2", "3"), ("u", 2, "1", "4"), ("u", 3, "0", "x")], "file string, key long, objects string, persons string")
+    objekt = spark.createDataFrame([("o", 10, 1), ("o", 11, 1), ("o", 12, 2)], "file string, key long, parent long")
+    person = spark.createDataFrame([("p", 100 + k, o) for k, o in enumerate([10, 10, 11, 12, 12, None, 99])], "file string, key long, parent long")
+    found = integrity.validate_delivery(unfall, objekt, person, spark.createDataFrame([("t", k) for k in (1, 2, 3)], "file string, key long")).collect()
+    assert {(r.code, r.key, r.detail.get("declared"), r.detail.get("actual")) for r in found if r.code.startswith("COUNT")} == {("COUNT_MISMATCH_PERS", "2", "4", "2")}
+    # counted before they are joined: the join's rows are objects
+    assert integrity.count_mismatches(unfall, objekt.selectExpr("parent", "CAST(2 AS long) AS n"), "key", "parent", "objects", "n").collect()[0].actual in (2, 4)
