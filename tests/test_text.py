@@ -9,9 +9,11 @@ from hypothesis import strategies as st
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from gleanworks import catalog
 from gleanworks.functions import stats, text
 from gleanworks.operators import review, scrub
 from gleanworks.operators.extraction import canonical_answer, parse_output
+from gleanworks.plans import texts as plans
 from gleanworks.sources import delivery
 
 
@@ -198,6 +200,53 @@ def test_examples_mask_each_text_once(spark, tmp_path):
     assert masked.value == 30
 
 
+def test_a_preview_is_the_tally_with_the_examples(spark, sf):
+    got = catalog.QUERIES["scrub_preview"](spark, sf).collect()
+    part = {p: [r for r in got if r.part == p] for p in ("records", "rule", "entry", "value")}
+    assert [r.part for r in got] == [p for p in part for _ in part[p]]
+    assert {(r.rule_id, r.hits, r.records) for r in part["rule"]} == set(map(tuple, catalog.QUERIES["scrub_tally"](spark, sf).collect()))
+    most = [tuple(r) for r in catalog.QUERIES["name_match"](spark, sf).collect() if r.hits >= scrub.MOST_HIT]
+    assert most and [(r.value, r.hits) for r in part["entry"]] == most
+    same = ("rule_id", "value", "hits", "records", "other_hits", "examples")
+    listed = scrub.scrub_examples(plans._scrubbed(spark, sf, plans.RULES), "doc_id").select(*same[:-1], plans._shown()).collect()
+    assert sorted(tuple(r[c] for c in same) for r in part["value"]) == sorted(map(tuple, listed))
+    masked = plans._scrubbed(spark, sf, plans.RULES).where("original <> ''").select("doc_id", (F.size("hits") > 0).alias("hit")).collect()
+    assert [(r.records, r.changed, r.timed_out, r.fingerprint) for r in part["records"]] == [(len({r.doc_id for r in masked}), len({r.doc_id for r in masked if r.hit}), None, plans.RULES.fingerprint())]
+
+
+def test_a_preview_counts_records_and_names_the_slow_rule(spark):
+    """A record has two texts, one none, one an empty one; over another a rule takes too long. Only rules that run are listed."""
+    rules = scrub.Rules(patterns=(("slow", "Slow", r"(?:a|aa)+$"),), lastnames=("Meier", "Al"), firstnames=("Le",), seconds=0.2)
+    rows = [("1", "Herr Meier, 079 123 45 67"), ("1", "Nr. und Tel. 079-123-45-67 MEIER"), ("2", "nichts"), ("3", None), ("4", ""), ("5", "a" * 60 + "!"), ("6", "044 123 45 67 und Meier")]
+    df = spark.createDataFrame(rows, "k string, original string").withColumn("s", scrub.scrubbed(spark, "original", rules)).select("k", "original", "s.*")
+    got = scrub.scrub_preview(df, rules, "k", least=3, values=1).collect()
+    assert [(r.records, r.changed, r.timed_out) for r in got if r.part == "records"] == [(3, 2, "slow")]
+    counted = [(r.rule_id, r.tag, r.source, r.hits, r.records) for r in got if r.part == "rule"]
+    assert counted == [("license-plate", "LicensePlate", "mandatory", 0, 0), ("phone", "Phone", "mandatory", 3, 2), ("email", "Email", "mandatory", 0, 0), ("slow", "Slow", "imported", 0, 0), ("names-lastname", "Lastname", "list", 3, 2)]
+    assert [(r.value, r.hits) for r in got if r.part == "entry"] == [("meier", 3)]
+    assert [(r.rule_id, r.value, r.hits, r.records, r.other_hits) for r in got if r.part == "value"] == [("phone", "079 123 45 67", 2, 1, 1), ("names-lastname", "Meier", 3, 2, 0)]
+    shown = got[-1].examples
+    assert [(e.record_key, e.placeholder, e.before, e.matched, e.after) for e in shown] == [("1", "<Lastname_1>", "Herr", "Meier", ", <Phone_1>"), ("1", "<Lastname_1>", "Nr. und Tel. <Phone_1>", "MEIER", ""), ("6", "<Lastname_1>", "<Phone_1> und", "Meier", "")]
+    empty = scrub.scrub_preview(df.where("k IN ('3', '4')"), rules, "k").collect()
+    assert [(r.records, r.changed, r.timed_out) for r in empty if r.part == "records"] == [(0, 0, None)] and {r.hits for r in empty if r.part == "rule"} == {0} and len(empty) == 6
+
+
+def test_a_preview_masks_each_text_once(spark, tmp_path):
+    spark.createDataFrame([(k, f"Tel. 079 123 45 6{k % 3}" if k % 2 else "kein Anruf") for k in range(30)], "k int, original string").write.parquet(f"{tmp_path}/t")
+    masked = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("string")
+    def counted(t):
+        masked.add(len(t))
+        return t
+
+    rows = spark.read.parquet(f"{tmp_path}/t").withColumn("original", counted.asNondeterministic()("original"))
+    rows = rows.withColumn("s", scrub.scrubbed(spark, "original")).select("k", "original", "s.*")
+    found = scrub.scrub_preview(rows, scrub.Rules(), "k").collect()
+    assert [(r.records, r.changed) for r in found if r.part == "records"] == [(30, 15)] and sum(r.hits for r in found if r.part == "value") == 15
+    assert masked.value == 30
+
+
 def test_workers_hold_texts_in_parts(spark):
     texts = pa.array(["a" * 400_000] * 7 + [None] + ["b" * 3_000_000] + ["c"] * 2500)
     parts = list(scrub.parts(texts))
